@@ -1,9 +1,12 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact_dedup
+from . import exact_dedup, html_text, language, packing
 
 QUERIES = {
+    "op2_language_mixture": language.op2_language_mixture,
+    "op3_text_density": html_text.op3_text_density,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_pattern_packing": packing.op10_pattern_packing,
 }
 SQL = {
     "op8_exact_dedup": exact_dedup.SQL,
