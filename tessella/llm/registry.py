@@ -1,11 +1,13 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, html_text, language, packing
+from . import byte_bpe, exact_dedup, html_text, language, packing, suffix_tree
 
 QUERIES = {
     "op2_language_mixture": language.op2_language_mixture,
     "op3_text_density": html_text.op3_text_density,
+    "op7_suffix_tree_score": suffix_tree.op7_suffix_tree_score,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_word_shuffle_bpe": byte_bpe.op9_word_shuffle_bpe,
     "op10_pattern_packing": packing.op10_pattern_packing,
 }
 SQL = {
