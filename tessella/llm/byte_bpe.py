@@ -1,13 +1,13 @@
 """Byte-level BPE: every distinct pre-token is encoded once, globally.
 
 Texts are split into pre-tokens and dealt to blocks of about ``BLOCK_BYTES``.  A
-block sends each pre-token that occurs in it once, with its number in the block;
-distinct pre-tokens of all blocks are merged into ids once; the ids join back
-by pre-token and return to the block, where documents are put together by
-position.  So what is shuffled for words is one row per block and distinct word
-instead of one per occurrence, and a very frequent word has one row per block.
-Decoding looks the ids up in the token-byte table, whose size is the
-vocabulary's.
+block sends each pre-token that occurs in it once, with its number in the block.
+The shuffle by pre-token brings equal ones together in sorted order, where they
+are encoded once, and the ids go back to each block that asked; there documents
+are put together by position.  So what is shuffled for words is one row per block
+and distinct word instead of one per occurrence; a very frequent word has one
+row per block, and its rows are streamed, never gathered.  Decoding looks the ids
+up in the token-byte table, whose size is the vocabulary's.
 
 The texts are read twice, once for words and once for positions, and both must
 see the same blocks.  That holds for a table of files; pass ``stable=False`` for
@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import public_tokenizers
@@ -41,9 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, table, utf8
 
-BLOCK_BYTES = 8 << 20
-#: Longer pre-tokens are merged with a heap.
-SHORT = 40
+BLOCK_BYTES = 16 << 20
 
 
 @lru_cache(maxsize=2)
@@ -52,58 +51,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: neighbours whose union has the lowest rank merge first, leftmost of equals."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    if len(word) > SHORT:
-        return _merge_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    get, top = ranks.get, 1 << 60
-    costs = [get(a + b, top) for a, b in zip(parts, parts[1:])]
-    while costs and (low := min(costs)) < top:
-        i = costs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del costs[i]
-        if i:
-            costs[i - 1] = get(parts[i - 1] + parts[i], top)
-        if i < len(costs):
-            costs[i] = get(parts[i] + parts[i + 1], top)
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    n = len(word)
-    end, after, before = list(range(1, n + 1)), [*range(1, n), -1], list(range(-1, n - 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i]
-        if end[i] < 0 or j < 0 or end[j] != stop:
-            continue
-        end[i], after[i], end[j] = stop, after[j], -1
-        if after[j] >= 0:
-            before[after[j]] = i
-        for a in (before[i], i):
-            if a >= 0 and after[a] >= 0 and (r := ranks.get(word[a : end[after[a]]])) is not None:
-                heapq.heappush(heap, (r, a, end[after[a]]))
-    return [ranks[word[i : end[i]]] for i in range(n) if end[i] > 0]
-
-
-def _numbered(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, pa.RecordBatch, list[list[str]], dict[str, int]]]:
-    """Blocks: number, rows, each text's pre-tokens, and the pre-tokens' numbers by first occurrence."""
-    split, block = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+@lru_cache(maxsize=2)
+def _merger(path: str, pattern: str):
+    """A function from one pre-token to its ids."""
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Numbers of blocks and their rows, of which there is at least one."""
+    block = TaskContext.get().partitionId() << 32
     for batch in batches:
         _, offsets = utf8(batch["text"])
         for start, end in slices(offsets, BLOCK_BYTES):
-            rows = batch.slice(start, end - start)
-            texts = [split(x or "") for x in rows["text"].to_pylist()]
-            numbers: dict[str, int] = {}
-            for words in texts:
-                numbers.update(dict.fromkeys(words))
-            yield block, rows, texts, dict(zip(numbers, range(len(numbers))))
+            yield block, batch.slice(start, end - start)
             block += 1
 
 
@@ -115,30 +77,43 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
     if not stable:
         docs = materialise(docs, "texts")
 
+    small = np.dtype("<u2" if max(load_ranks(rank_path).values()) < 1 << 16 else "<u4")
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, numbers in _numbered(batches, pattern):
-            yield pa.record_batch(
-                [pa.array(np.full(len(numbers), block, np.int64)), pa.array(np.arange(len(numbers), dtype=np.int32)), pa.array([w.encode() for w in numbers], pa.binary())],
-                names=["block", "number", "word"],
-            )
+        split = regex.compile(pattern).findall
+        for block, rows in _blocks(batches):
+            seen: dict[str, None] = {}
+            for text in rows["text"]:
+                seen.update(dict.fromkeys(split(text.as_py() or "")))
+            yield pa.record_batch([pa.array(np.full(len(seen), block, np.int64)), pa.array(np.arange(len(seen), dtype=np.int32)), pa.array(seen, pa.string())], names=["block", "number", "word"])
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, texts, numbers in _numbered(batches, pattern):
-            at = np.fromiter((numbers[w] for words in texts for w in words), np.uint32, sum(map(len, texts)))
+        split = regex.compile(pattern).findall
+        for block, rows in _blocks(batches):
+            numbers: defaultdict[str, int] = defaultdict(count().__next__)
+            number, at, sizes = numbers.__getitem__, [], []
+            for text in rows["text"]:
+                found = split(text.as_py() or "")
+                at.append(np.fromiter(map(number, found), np.uint32, len(found)))
+                sizes.append(len(found))
             sent = [
                 pa.array([block], pa.int64()),
                 pa.array([rows["doc_id"].to_pylist()], pa.list_(rows["doc_id"].type)),
-                pa.array([[len(x) for x in texts]], pa.list_(pa.int32())),
-                pa.array([zstandard.compress(at.tobytes(), 1)], pa.binary()),
+                pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([zstandard.compress(np.concatenate(at).tobytes(), 1)], pa.binary()),
                 pa.array([zlib.crc32("".join(numbers).encode())], pa.int64()),
             ]
             yield pa.record_batch(sent, names=["block", "doc_ids", "sizes", "at", "checksum"])
 
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(rank_path)
+    def encode_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, last, ids = _merger(rank_path, pattern), None, b""
         for batch in batches:
-            ids = [np.array(merge(w, ranks), "<u4").tobytes() for w in batch["word"].to_pylist()]
-            yield pa.record_batch([batch["word"], pa.array(ids, pa.binary())], names=["word", "ids"])
+            out = []
+            for word in batch["word"].to_pylist():
+                if word != last:
+                    last, ids = word, np.array(ids_of(word), small).tobytes()
+                out.append(ids)
+            yield pa.record_batch([batch["block"], batch["number"], pa.array(out, pa.binary())], names=["block", "number", "ids"])
 
     def assemble(block: pa.Table, found: pa.Table) -> pa.Table:
         token = [b""] * (1 + max(load_ranks(rank_path).values()))
@@ -146,7 +121,7 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
             token[rank] = text
         order = np.argsort(found["number"].to_numpy())
         blobs = found["ids"].to_pylist()
-        ids = [np.frombuffer(blobs[i], "<u4").tolist() for i in order]
+        ids = [np.frombuffer(blobs[i], small).tolist() for i in order]
         decoded = [b"".join([token[i] for i in x]) for x in ids]
         if block.num_rows != 1 or zlib.crc32(b"".join(decoded)) != block["checksum"][0].as_py():
             raise RuntimeError("the texts changed between two reads; pass stable=False")
@@ -154,30 +129,29 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
         at, start = np.frombuffer(zstandard.decompress(block["at"][0].as_py()), np.uint32), 0
         if emit == "ids":
             flat = np.fromiter((i for x in ids for i in x), np.int32)
-            count = np.array([len(x) for x in ids] or [0])
-            first = np.concatenate(([0], np.cumsum(count)))
+            lengths = np.array([len(x) for x in ids] or [0])
+            first = np.concatenate(([0], np.cumsum(lengths)))
             out, bounds = [], [0]
             for n in sizes:
                 out += [flat[first[w] : first[w + 1]] for w in at[start : start + n]]
-                bounds.append(bounds[-1] + int(count[at[start : start + n]].sum()) if n else bounds[-1])
+                bounds.append(bounds[-1] + int(lengths[at[start : start + n]].sum()) if n else bounds[-1])
                 start += n
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
             return pa.table([names, lists], names=["doc_id", "ids"])
         digits = [b" ".join([b"%d" % i for i in x]) for x in ids]
-        count = np.array([len(x) for x in ids] or [0])
+        lengths = np.array([len(x) for x in ids] or [0])
         rows: tuple[list, list, list] = ([], [], [])
         for n in sizes:
             own = at[start : start + n]
             listed, start = own.tolist(), start + n
-            rows[0].append(int(count[own].sum()))
+            rows[0].append(int(lengths[own].sum()))
             rows[1].append(hashlib.sha256(b" ".join([digits[w] for w in listed])).hexdigest())
             rows[2].append(hashlib.sha256(b"".join([decoded[w] for w in listed])).hexdigest())
         return pa.table([names, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = key.simpleString()
-    seen = materialise(docs.mapInArrow(words, "block long, number int, word binary"), "pretokens")
-    coded = seen.select("word").distinct().mapInArrow(encode_words, "word binary, ids binary")
-    found = seen.join(coded, "word").select("block", "number", "ids")
+    asked = docs.mapInArrow(words, "block long, number int, word string")
+    found = asked.repartition("word").sortWithinPartitions("word").mapInArrow(encode_sorted, "block long, number int, ids binary")
     blocks = docs.mapInArrow(positions, f"block long, doc_ids array<{kind}>, sizes array<int>, at binary, checksum long")
     shape = f"doc_id {kind}, ids array<int>" if emit == "ids" else f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, shape)
