@@ -1,13 +1,13 @@
 """Byte-level BPE: every distinct pre-token is encoded once, globally.
 
 Texts are split into pre-tokens and dealt to blocks of about ``BLOCK_BYTES``.  A
-block sends each pre-token that occurs in it once, with its number in the block.
-The shuffle by pre-token brings equal ones together in sorted order, where they
-are encoded once, and the ids go back to each block that asked; there documents
-are put together by position.  So what is shuffled for words is one row per block
-and distinct word instead of one per occurrence; a very frequent word has one
-row per block, and its rows are streamed, never gathered.  Decoding looks the ids
-up in the token-byte table, whose size is the vocabulary's.
+block sends each pre-token that occurs in it once, to the task that its hash
+names, many to a row and compressed.  Equal pre-tokens of all blocks meet there
+and are encoded once, and the ids go back to each block that asked; there
+documents are put together by position.  So what is shuffled for words is one
+entry per block and distinct word instead of one per occurrence, and a very
+frequent word has one entry per block.  Decoding looks the ids up in the
+token-byte table, whose size is the vocabulary's.
 
 The texts are read twice, once for words and once for positions, and both must
 see the same blocks.  That holds for a table of files; pass ``stable=False`` for
@@ -27,7 +27,7 @@ import base64
 import hashlib
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import count
 
@@ -43,6 +43,11 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, table, utf8
 
 BLOCK_BYTES = 16 << 20
+#: Buckets of words for each shuffle partition.
+BUCKETS = 4
+#: A task forgets the ids of words beyond so many, and would encode them again.
+REMEMBERED = 2_000_000
+CHANGED = "the texts changed between two reads; pass stable=False"
 
 
 @lru_cache(maxsize=2)
@@ -79,13 +84,30 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
 
     small = np.dtype("<u2" if max(load_ranks(rank_path).values()) < 1 << 16 else "<u4")
 
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucket_of(seen: Iterable[str]) -> tuple[np.ndarray, list[bytes]]:
+        raw = [w.encode() for w in seen]
+        return np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % np.uint32(buckets), raw
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
         for block, rows in _blocks(batches):
             seen: dict[str, None] = {}
             for text in rows["text"]:
                 seen.update(dict.fromkeys(split(text.as_py() or "")))
-            yield pa.record_batch([pa.array(np.full(len(seen), block, np.int64)), pa.array(np.arange(len(seen), dtype=np.int32)), pa.array(seen, pa.string())], names=["block", "number", "word"])
+            of, raw = bucket_of(seen)
+            order = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
+            lengths, sorted_ = np.fromiter(map(len, raw), np.uint32, len(raw))[order], [raw[i] for i in order.tolist()]
+            parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if len(raw) else []
+            yield pa.record_batch(
+                [
+                    pa.array([block] * len(parts), pa.int64()), pa.array([int(of[order[i]]) for i, _ in parts], pa.int32()),
+                    pa.array([zstandard.compress(lengths[i:j].tobytes()) for i, j in parts], pa.binary()), pa.array([zstandard.compress(b"".join(sorted_[i:j])) for i, j in parts], pa.binary()),
+                ],
+                names=["block", "bucket", "lengths", "words"],
+            )
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
@@ -101,34 +123,50 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
                 pa.array([rows["doc_id"].to_pylist()], pa.list_(rows["doc_id"].type)),
                 pa.array([sizes], pa.list_(pa.int32())),
                 pa.array([zstandard.compress(np.concatenate(at).tobytes(), 1)], pa.binary()),
+                pa.array([zstandard.compress(bucket_of(numbers)[0].tobytes(), 1)], pa.binary()),
                 pa.array([zlib.crc32("".join(numbers).encode())], pa.int64()),
             ]
-            yield pa.record_batch(sent, names=["block", "doc_ids", "sizes", "at", "checksum"])
+            yield pa.record_batch(sent, names=["block", "doc_ids", "sizes", "at", "buckets", "checksum"])
 
-    def encode_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last, ids = _merger(rank_path, pattern), None, b""
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, known = _merger(rank_path, pattern), {}
         for batch in batches:
-            out = []
-            for word in batch["word"].to_pylist():
-                if word != last:
-                    last, ids = word, np.array(ids_of(word), small).tobytes()
-                out.append(ids)
-            yield pa.record_batch([batch["block"], batch["number"], pa.array(out, pa.binary())], names=["block", "number", "ids"])
+            sizes, out = [], []
+            for lengths, words in zip(batch["lengths"].to_pylist(), batch["words"].to_pylist()):
+                text, at, ids = zstandard.decompress(words), 0, []
+                for n in np.frombuffer(zstandard.decompress(lengths), np.uint32).tolist():
+                    word = text[at : at + n]
+                    at += n
+                    found = known.get(word)
+                    if found is None:
+                        known[word] = found = np.array(ids_of(word.decode()), small).tobytes()
+                    ids.append(found)
+                sizes.append(zstandard.compress(np.fromiter(map(len, ids), np.uint32, len(ids)).tobytes()))
+                out.append(zstandard.compress(b"".join(ids)))
+                if len(known) > REMEMBERED:
+                    known.clear()
+            yield pa.record_batch([batch["block"], batch["bucket"], pa.array(sizes, pa.binary()), pa.array(out, pa.binary())], names=["block", "bucket", "sizes", "ids"])
 
     def assemble(block: pa.Table, found: pa.Table) -> pa.Table:
         token = [b""] * (1 + max(load_ranks(rank_path).values()))
         for text, rank in load_ranks(rank_path).items():
             token[rank] = text
-        order = np.argsort(found["number"].to_numpy())
-        blobs = found["ids"].to_pylist()
-        ids = [np.frombuffer(blobs[i], small).tolist() for i in order]
+        found = found.sort_by("bucket")
+        of = np.frombuffer(zstandard.decompress(block["buckets"][0].as_py()), np.uint32)
+        flat = np.frombuffer(b"".join(map(zstandard.decompress, found["ids"].to_pylist())), small)
+        ends = np.cumsum(np.frombuffer(b"".join(map(zstandard.decompress, found["sizes"].to_pylist())), np.uint32) // small.itemsize)
+        if len(ends) != len(of):
+            raise RuntimeError(CHANGED)
+        ids: list[list[int]] = [[]] * len(of)
+        for number, part in zip(np.argsort(of, kind="stable").tolist(), np.split(flat, ends[:-1])):
+            ids[number] = part.tolist()
         decoded = [b"".join([token[i] for i in x]) for x in ids]
         if block.num_rows != 1 or zlib.crc32(b"".join(decoded)) != block["checksum"][0].as_py():
-            raise RuntimeError("the texts changed between two reads; pass stable=False")
+            raise RuntimeError(CHANGED)
         sizes, names = block["sizes"][0].as_py(), block["doc_ids"].chunk(0)[0].values
         at, start = np.frombuffer(zstandard.decompress(block["at"][0].as_py()), np.uint32), 0
         if emit == "ids":
-            flat = np.fromiter((i for x in ids for i in x), np.int32)
+            flat = np.fromiter((i for x in ids for i in x), np.int32)  # by number
             lengths = np.array([len(x) for x in ids] or [0])
             first = np.concatenate(([0], np.cumsum(lengths)))
             out, bounds = [], [0]
@@ -150,9 +188,9 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
         return pa.table([names, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = key.simpleString()
-    asked = docs.mapInArrow(words, "block long, number int, word string")
-    found = asked.repartition("word").sortWithinPartitions("word").mapInArrow(encode_sorted, "block long, number int, ids binary")
-    blocks = docs.mapInArrow(positions, f"block long, doc_ids array<{kind}>, sizes array<int>, at binary, checksum long")
+    asked = docs.mapInArrow(words, "block long, bucket int, lengths binary, words binary")
+    found = asked.repartition("bucket").mapInArrow(encode_words, "block long, bucket int, sizes binary, ids binary")
+    blocks = docs.mapInArrow(positions, f"block long, doc_ids array<{kind}>, sizes array<int>, at binary, buckets binary, checksum long")
     shape = f"doc_id {kind}, ids array<int>" if emit == "ids" else f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, shape)
 
