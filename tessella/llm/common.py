@@ -48,25 +48,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (columns u, v): one row per node, (v, c), c the smallest node.
 
-    Minimum labels travel along the links, then each label is replaced by its
-    own label (pointer jumping), so long chains need logarithmically many
-    rounds.  Every round reads two written tables, hence both sides of each
-    join are plain shuffles that adaptive execution can split at hot nodes.
+    Each round hooks every node that has a smaller neighbour to the smallest one,
+    replaces parents by their own parents until all point to roots, and keeps
+    only the links between different roots, of which there are at most half as
+    many nodes.  All joins read written tables, so both sides are plain shuffles
+    that adaptive execution can split at hot nodes.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = materialise(both.where("u <> v").distinct(), f"{tag}-edges")
-    labels = materialise(both.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.col("u")).alias("c")), f"{tag}-labels")
-    while True:
-        sent = both.join(labels.select(F.col("v").alias("u"), "c"), "u").select("v", "c")
-        low = materialise(
-            sent.select("v", "c", F.lit(None).cast("long").alias("was")).union(labels.select("v", "c", F.col("c").alias("was"))).groupBy("v").agg(F.min("c").alias("c"), F.max("was").alias("was")),
-            f"{tag}-low",
-        )
-        jump = low.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        labels = materialise(low.join(jump, "c").select("v", F.least("c", "cc").alias("c"), "was"), f"{tag}-labels")
-        if labels.where("c <> was").isEmpty():
-            return labels.select("v", "c")
-        labels = labels.select("v", "c")
+    low, high = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    left = materialise(edges.where("u <> v").select(low, high).distinct(), f"{tag}-links")
+    found = None
+    while not left.isEmpty():
+        roots = materialise(left.groupBy("v").agg(F.min("u").alias("c")), f"{tag}-parents")
+        while True:
+            up = roots.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+            roots = materialise(roots.join(up, "c", "left").select("v", F.coalesce("cc", "c").alias("c"), F.col("cc").isNotNull().alias("moved")), f"{tag}-roots")
+            if roots.where("moved").isEmpty():
+                break
+            roots = roots.select("v", "c")
+        roots = roots.select("v", "c")
+        if found is None:
+            found = roots
+        else:
+            up = roots.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+            found = materialise(found.join(up, "c", "left").select("v", F.coalesce("cc", "c").alias("c")).union(roots), f"{tag}-found")
+        of_u, of_v = (roots.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "uv")
+        ends = left.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+        left = materialise(ends.where("u <> v").select(low, high).distinct(), f"{tag}-links")
+    if found is None:
+        return left.select("v", F.col("u").alias("c"))
+    return materialise(found.union(found.select(F.col("c").alias("v"), "c").distinct()), f"{tag}-components")
 
 
 # --- Arrow and numpy -------------------------------------------------------
