@@ -1,0 +1 @@
+"""The inventory has no streaming operator; segments of a stream are out of scope."""
