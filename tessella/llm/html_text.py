@@ -34,6 +34,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OUT = frozenset("head nav footer aside form button select option datalist menu dialog object embed canvas audio video map input fieldset".split()) | RAW
+#: Elements that stand in a paragraph without ending it.
+FLOWING = INLINE | RAW | frozenset("button select option object embed canvas audio video map meta link".split())
 #: Elements that an opening tag of the kind ends, up to the element named.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Words of class and id attributes for parts that are not article.
@@ -103,7 +105,7 @@ def parse(page: str) -> Node:
             continue
         if tag == "body":
             close(1)
-        elif tag not in INLINE:
+        elif tag not in FLOWING:
             if tag in ENDS:
                 ends, until = ENDS[tag]
                 k = len(stack) - 1
