@@ -13,17 +13,16 @@ by document and position, over all tasks; neighbours of equal name repeat.  In t
 sorted order the first document of a name keeps its passage and the others are
 marked.  A very frequent name simply spans several tasks, as document and
 position are part of the order; where a name crosses from task to task, one row
-per task tells.  Marked stretches of a document that touch are one match, and
-each match is extended left and right, word by word, as far as the text agrees
-with that of the keeping document there; less than ``window`` words can be missing
-on a side.  Matches of at least ``min_words`` words are reported.
-
-A passage of at least ``min_words`` words that also stands in a document with a
-smaller doc_id is reported; a reported word always stands in a stretch of ``part``
-words that does.  Where documents hold slightly different versions of a passage,
-the keeping document of a stretch may be another one than that with the longest
-match, and a match can then end up to ``window`` words early.  Repeats inside one
-document don't count.
+per task tells.  Marked stretches of a document that touch and agree with the same
+place of the same keeping document are one match, and each match is extended left
+and right, word by word, by up to ``min_words`` words as far as the two texts agree.
+Matches of at least ``min_words`` words are reported, overlapping ones as one.
+
+So a reported word always stands in a passage of ``min_words`` words that an earlier
+document holds.  A passage is found if for one of its suffixes the document with the
+smallest doc_id holds the passage too; where documents hold many versions of a
+passage, words at the edge of a version can be missed.  Repeats inside one document
+don't count.
 
 Results for odd input: null and empty texts have no passages.  Repeated rows
 (same doc_id and text) count as one document.  Rows without doc_id are neither
@@ -120,30 +119,31 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int
     crossing = marked.where("state > 0").groupBy("name").agg(F.min(F.struct("keeper", "at")).alias("k"))  # a few rows per task
     late = marked.where("state = 1").select("doc_id", "start", "name").join(crossing, "name").where("k.keeper < doc_id").select("doc_id", "start", "k.keeper", "k.at")
     found = marked.where("state = 0").select("doc_id", "start", "keeper", "at").union(late)
-    found = found.select("doc_id", "start", (F.col("start") + part).alias("end"), F.struct("start", "keeper", "at").alias("p"))
-    matches = materialise(_merged(found, F.min("p").alias("l"), F.max("p").alias("r")), "matches")
-    left = matches.select("doc_id", "start", F.lit("l").alias("side"), F.col("start").alias("own"), F.col("l.keeper").alias("keeper"), F.col("l.at").alias("at"))
-    right = matches.select("doc_id", "start", F.lit("r").alias("side"), F.col("end").alias("own"), F.col("r.keeper").alias("keeper"), (F.col("r.at") + part).alias("at"))
-    ends = materialise(left.union(right), "ends")
-    near = materialise(_contexts(docs, ends, window), "contexts")
+    found = found.select("doc_id", "keeper", (F.col("at") - F.col("start")).alias("shift"), "start", (F.col("start") + part).alias("end"))
+    match = ["doc_id", "keeper", "shift"]
+    matches = materialise(_merged(found, match), "matches")
+    ends = matches.select(*match, "start", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("start").alias("own")), F.struct(F.lit("r").alias("side"), F.col("end").alias("own")))).alias("x"))
+    ends = materialise(ends.select(*match, "start", "x.*", (F.col("x.own") + F.col("shift")).alias("at")), "ends")
+    near = materialise(_contexts(docs, ends, min_words), "contexts")
     own = near.select("doc_id", "side", F.col("at").alias("own"), F.col("words").alias("a"))
     kept = near.select(F.col("doc_id").alias("keeper"), "side", "at", F.col("words").alias("b"))
     both = ends.join(own, ["doc_id", "side", "own"]).join(kept, ["keeper", "side", "at"])
     differs = F.array_position(F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
     more = both.withColumn("n", F.when(differs > 0, differs - 1).otherwise(F.least(F.size("a"), F.size("b"))).cast("int"))
-    reach = more.groupBy("doc_id", "start").agg(F.max(F.when(F.col("side") == "l", F.col("n"))).alias("ln"), F.max(F.when(F.col("side") == "r", F.col("n"))).alias("rn"))
-    whole = matches.join(reach, ["doc_id", "start"]).select("doc_id", (F.col("start") - F.col("ln")).alias("start"), (F.col("end") + F.col("rn")).alias("end"), F.col("l.keeper").alias("keeper"))
-    spans = _merged(whole, F.min("keeper").alias("first_doc_id")).where(F.col("end") - F.col("start") >= min_words)
+    edge = lambda side, sign: F.max(F.when(F.col("side") == side, F.col("own") + sign * F.col("n")))
+    whole = more.groupBy(*match, "start").agg(edge("l", -1).alias("begin"), edge("r", 1).alias("end"))
+    whole = whole.where(F.col("end") - F.col("begin") >= min_words).select("doc_id", F.col("begin").alias("start"), "end", "keeper")
+    spans = _merged(whole, ["doc_id"], F.min("keeper").alias("first_doc_id"))
     return spans.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "first_doc_id")
 
 
-def _merged(pieces: DataFrame, *aggregates: Column) -> DataFrame:
-    """Stretches (doc_id, start, end) that touch become one."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+def _merged(pieces: DataFrame, key: list[str], *aggregates: Column) -> DataFrame:
+    """Stretches (start, end) of a key that touch become one."""
+    order = Window.partitionBy(*key).orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.coalesce(F.col("start") > before, F.lit(True)).cast("int")
     runs = pieces.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggregates).drop("run")
+    return runs.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggregates).drop("run")
 
 
 def _contexts(docs: DataFrame, ends: DataFrame, window: int) -> DataFrame:
