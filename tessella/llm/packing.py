@@ -37,6 +37,8 @@ END = 0
 SALTS = 256
 #: Choices of a second length that are tried for each first one.
 TRIPLES = 6
+#: Shares of the fit that are tried, the first that needs the fewest sequences wins.
+SHARES = (1.0, 0.95, 0.85, 0.7, 0.5, 0.25, 0.1)
 #: Texts with other characters go through ``tokenizers`` itself.
 PLAIN = re.compile("[^\\x00-ɏ‐-‧]")
 
@@ -140,24 +142,41 @@ def _least_squares(patterns: np.ndarray, counts: np.ndarray, rounds: int = 400)
 
 
 def plan(counts: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
-    """Sequences for a histogram of lengths: ([(length, how many), ...], repeats)."""
+    """Sequences for a histogram of lengths: ([(length, how many), ...], repeats).
+
+    The fit says nothing of how far to round it down, so several shares of it are
+    rounded and packed, and the plan with the fewest sequences is taken.
+    """
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    cap, out = len(left) - 1, []
+    least = -(-int(left @ np.arange(len(left))) // (len(left) - 1))
     patterns = _patterns(left)
-    if len(patterns):
-        fit = np.rint(_least_squares(patterns, left)).astype(np.int64)
-        for i in np.argsort(-fit, kind="stable"):
-            if fit[i] < 1:
-                break
-            need: dict[int, int] = {}
-            for a in patterns[i][patterns[i] > 0].tolist():
-                need[a] = need.get(a, 0) + 1
-            n = min(int(fit[i]), *(int(left[a]) // m for a, m in need.items()))
-            if n > 0:
-                for a, m in need.items():
-                    left[a] -= n * m
-                out.append((list(need.items()), n))
+    fit = _least_squares(patterns, left) if len(patterns) else np.zeros(0)
+    best, fewest = [], 0
+    for share in SHARES:
+        groups = _pack_plan(left.copy(), patterns, np.rint(fit * share).astype(np.int64))
+        n = sum(repeats for _, repeats in groups)
+        if not best or n < fewest:
+            best, fewest = groups, n
+        if fewest == least:
+            break
+    return best
+
+
+def _pack_plan(left: np.ndarray, patterns: np.ndarray, fit: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns repeated as often as ``fit`` says and the lengths allow, then the rest best fit."""
+    cap, out = len(left) - 1, []
+    for i in np.argsort(-fit, kind="stable"):
+        if fit[i] < 1:
+            break
+        need: dict[int, int] = {}
+        for a in patterns[i][patterns[i] > 0].tolist():
+            need[a] = need.get(a, 0) + 1
+        n = min(int(fit[i]), *(int(left[a]) // m for a, m in need.items()))
+        if n > 0:
+            for a, m in need.items():
+                left[a] -= n * m
+            out.append((list(need.items()), n))
     open_: dict[int, list[tuple[list[tuple[int, int]], int]]] = {cap: []}
     for a in range(cap, 0, -1):
         c = int(left[a])
@@ -173,8 +192,7 @@ def plan(counts: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
                 open_[free].append((have, bins - full))
             open_.setdefault(free - m * a, []).append(([*have, (a, m)], full))
             c -= full * m
-    out += [group for f, groups in open_.items() for group in groups if group[0]]
-    return out
+    return out + [group for groups in open_.values() for group in groups if group[0]]
 
 
 def _places(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarray]:
