@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation.  Native: DataFrame functions only.
 
 Documents with equal texts are linked.  Every document starts in a shard that its
-id's hash names.  In each round linked documents move towards the shard that
+id's hash names; the parts of a text too frequent for one atom (below) start in as
+many shards in a row as they fill.  In each round linked documents move towards the shard that
 holds most of their neighbours and has room; a shard takes in no larger share of
 those that ask than its quota of rows, with those that leave, allows.  Documents
 move in atoms, the documents of one text, or a hashed part of them where the text
@@ -71,7 +72,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     linked = materialise(base.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "linked")
     most = max(1, min(64, rows // (shards * 4)), rows // (shards * PARTS))
     part = F.when(F.col("n") > most, F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.ceil(F.col("n") / most))).otherwise(0).cast("int")
-    labelled = base.join(linked, "g", "left").select(*base.columns, F.col("n").isNotNull().alias("bound"), F.coalesce(part, F.lit(0)).alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    labelled = base.join(linked, "g", "left").select(*base.columns, "n", F.col("n").isNotNull().alias("bound"), F.coalesce(part, F.lit(0)).alias("part"))
+    turn = F.floor(F.col("part") * most / F.lit(max(1.0, rows / shards)))
+    shard = F.when(F.col("n") > most, F.pmod(F.pmod(F.xxhash64("g"), F.lit(shards)) + turn, F.lit(shards))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(shards))).cast("int")
+    labelled = labelled.withColumn("shard", shard).drop("n")
     labelled = materialise(labelled, "labelled")
     alone = {s: n for s, n in labelled.where("not bound").groupBy("shard").count().collect()}
     atoms = materialise(labelled.where("bound").groupBy("g", "part", "shard").agg(F.count("*").alias("n")), "atoms")
