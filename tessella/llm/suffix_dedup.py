@@ -15,7 +15,7 @@ marked.  A very frequent name simply spans several tasks, as document and
 position are part of the order; where a name crosses from task to task, one row
 per task tells.  Marked stretches of a document that touch and agree with the same
 place of the same keeping document are one match, and each match is extended left
-and right, word by word, by up to ``min_words`` words as far as the two texts agree.
+and right, word by word, by up to ``window`` words as far as the two texts agree.
 Matches of at least ``min_words`` words are reported, overlapping ones as one.
 
 So a reported word always stands in a passage of ``min_words`` words that an earlier
@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,16 +123,15 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int
     found = found.select("doc_id", "keeper", (F.col("at") - F.col("start")).alias("shift"), "start", (F.col("start") + part).alias("end"))
     match = ["doc_id", "keeper", "shift"]
     matches = materialise(_merged(found, match), "matches")
-    ends = matches.select(*match, "start", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("start").alias("own")), F.struct(F.lit("r").alias("side"), F.col("end").alias("own")))).alias("x"))
+    ends = matches.select(*match, "start", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("start").alias("own")), F.struct(F.lit(False).alias("left"), F.col("end").alias("own")))).alias("x"))
     ends = materialise(ends.select(*match, "start", "x.*", (F.col("x.own") + F.col("shift")).alias("at")), "ends")
-    near = materialise(_contexts(docs, ends, min_words), "contexts")
-    own = near.select("doc_id", "side", F.col("at").alias("own"), F.col("words").alias("a"))
-    kept = near.select(F.col("doc_id").alias("keeper"), "side", "at", F.col("words").alias("b"))
-    both = ends.join(own, ["doc_id", "side", "own"]).join(kept, ["keeper", "side", "at"])
+    near = materialise(_contexts(docs, ends, window), "contexts")
+    own = near.select("doc_id", "left", F.col("at").alias("own"), F.col("words").alias("a"))
+    kept = near.select(F.col("doc_id").alias("keeper"), "left", "at", F.col("words").alias("b"))
+    both = ends.join(own, ["doc_id", "left", "own"]).join(kept, ["keeper", "left", "at"])
     differs = F.array_position(F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
     more = both.withColumn("n", F.when(differs > 0, differs - 1).otherwise(F.least(F.size("a"), F.size("b"))).cast("int"))
-    edge = lambda side, sign: F.max(F.when(F.col("side") == side, F.col("own") + sign * F.col("n")))
-    whole = more.groupBy(*match, "start").agg(edge("l", -1).alias("begin"), edge("r", 1).alias("end"))
+    whole = more.groupBy(*match, "start").agg(F.max(F.when(F.col("left"), F.col("own") - F.col("n"))).alias("begin"), F.max(F.when(~F.col("left"), F.col("own") + F.col("n"))).alias("end"))
     whole = whole.where(F.col("end") - F.col("begin") >= min_words).select("doc_id", F.col("begin").alias("start"), "end", "keeper")
     spans = _merged(whole, ["doc_id"], F.min("keeper").alias("first_doc_id"))
     return spans.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "first_doc_id")
@@ -147,26 +147,31 @@ def _merged(pieces: DataFrame, key: list[str], *aggregates: Column) -> DataFrame
 
 
 def _contexts(docs: DataFrame, ends: DataFrame, window: int) -> DataFrame:
-    """Hashes of the words beyond each end of ``ends`` in the document and in the keeping one, nearest first."""
+    """Short hashes of the ``window`` words beyond each end of ``ends`` in both documents, nearest first."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch["text"])
-            rows: tuple[list, list, list, list] = ([], [], [], [])
-            for i, (doc, asked) in enumerate(zip(batch["doc_id"].to_pylist(), batch["asked"].to_pylist())):
-                starts, ends_, _ = words(data, offsets[i : i + 2])
-                for x in asked:
-                    at, left = x["at"], x["side"] == "l"
-                    part = slice(max(at - window, 0), at) if left else slice(at, at + window)
-                    h = word_hashes(data, starts[part], ends_[part]).view(np.int64)
-                    for column, value in zip(rows, (doc, x["side"], at, (h[::-1] if left else h).tolist())):
-                        column.append(value)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64())))], names=["doc_id", "side", "at", "words"])
-
-    asked = ends.select("doc_id", "side", F.col("own").alias("at")).union(ends.select("keeper", "side", "at")).distinct()
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("side", "at")).alias("asked"))  # at most two for each word of the document
+            ids, counts = batch["doc_id"].to_numpy(), pc.list_value_length(batch["asked"]).to_numpy()
+            asked = batch["asked"].flatten()
+            place, left = asked.field("at").to_numpy().astype(np.int64), asked.field("left").to_numpy(zero_copy_only=False)
+            bound = np.concatenate(([0], np.cumsum(counts)))
+            for a, b in slices(offsets, CHUNK):
+                starts, ends_, first = words(data, offsets[a : b + 1])
+                h = word_hashes(data, starts, ends_).astype(np.uint32).view(np.int32)
+                of = np.repeat(np.arange(b - a), counts[a:b])
+                at, back = place[bound[a] : bound[b]], left[bound[a] : bound[b]]
+                n = np.minimum(np.where(back, at, first[of + 1] - first[of] - at), window)
+                to = np.cumsum(n)
+                step = np.arange(int(n.sum())) - np.repeat(to - n, n)
+                index = np.repeat(first[of] + at - back, n) + np.where(np.repeat(back, n), -step, step)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, to).astype(np.int32)), pa.array(h[index]))
+                yield pa.record_batch([pa.array(ids[a:b][of]), pa.array(back), pa.array(at.astype(np.int32)), lists], names=["doc_id", "left", "at", "words"])
+
+    asked = ends.select("doc_id", "left", F.col("own").alias("at")).union(ends.select("keeper", "left", "at")).distinct()
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("left", "at")).alias("asked"))  # at most two for each word of the document
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id")
-    return texts.mapInArrow(look, "doc_id long, side string, at int, words array<long>")
+    return texts.mapInArrow(look, "doc_id long, left boolean, at int, words array<int>")
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
