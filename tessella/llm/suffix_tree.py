@@ -3,12 +3,15 @@
 Symbols are the words that make up at least ``min_share`` of the training tokens,
 the end of a text, and one class for all other words; so there are at most
 1 / min_share + 2 of them, whatever the corpus.  Contexts are the last one or two
-symbols.  A context is a candidate if it precedes at least ``min_share`` of the
-tokens, and it is retained if the divergence of its next-symbol distribution
-from that of its longest retained suffix is worth more than its parameters.  A
-state's distribution is smoothed with that suffix's, the root's is the add-one
-estimate over words.  A token is scored in the longest retained suffix of what
-precedes it; within the class of other words, words keep the root's shares:
+symbols, and every single word of the class of other words: those grow with the
+corpus, stay in a table and are joined to the blocks that hold the word.  A
+context of symbols is a candidate if it precedes at least ``min_share`` of the
+tokens, and a context is retained if the divergence of its next-symbol distribution
+from that of its longest retained suffix (for a word of the class: the class) is
+worth more than its parameters.  A state's distribution is smoothed with that
+suffix's, the root's is the add-one estimate over words.  A token is scored in the
+longest retained suffix of what precedes it, where a word counts as longer than
+its class; within the class of other words, words keep the root's shares:
 
     score = base_score + sum over tokens of log10 P(symbol | state) / P(symbol)
 
@@ -26,16 +29,16 @@ is trained on; more columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, utf8, word_hashes, words
+from .common import materialise, mix, slices, table, utf8, word_hashes, words
 
 MIN_SHARE = 5e-4
 #: A state counts as this many observations of its suffix's distribution.
@@ -99,6 +102,12 @@ class Tree:
         return self.gain[state, s]
 
 
+    def of_others(self) -> np.ndarray:
+        """Row of gain of the class of other words as a context: the root's, if it isn't retained."""
+        known = bool(self.contexts) and len(self.contexts[0]) > 0 and self.contexts[0][0] == 0
+        return self.gain[self.rows[0][0] if known else 0]
+
+
 def _first(n: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
 
@@ -152,6 +161,76 @@ def _grow(train: DataFrame, tree: Tree, depth: int, total: int, min_share: float
         tree.candidates = np.sort(pairs["context"].to_numpy(np.int64) * (size + 1) + pairs["symbol"].to_numpy(np.int64))
 
 
+def _pairs(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs of a word's hash and a symbol become one; counts are summed."""
+    _, at, back = np.unique(mix(h + s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+    return h[at], s[at], np.bincount(back, n, len(at)).astype(np.int64)
+
+
+def word_states(train: DataFrame, tree: Tree) -> DataFrame:
+    """Retained contexts of one word outside the symbols: h, symbols that followed it, gains of these.
+
+    Symbols that never followed it have the class's gain and log10(WEIGHT / (count + WEIGHT)).
+    """
+    size = tree.size
+    shared = train.sparkSession.sparkContext.broadcast(tree)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, have = shared.value, []
+        out = lambda h, s, n: pa.record_batch([pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n)], names=["h", "symbol", "n"])
+        for batch in batches:
+            for _, _, h, sizes in _tokens(batch):
+                s = own.numbers(h)
+                ok = s[:-1] == 0  # an end is a symbol, so nothing follows across texts
+                have.append(_pairs(h[:-1][ok], s[1:][ok], np.ones(int(ok.sum()), np.int64)))
+                if len(have) == 4:
+                    yield out(*_pairs(*map(np.concatenate, zip(*have))))
+                    have = []
+        if have:
+            yield out(*_pairs(*map(np.concatenate, zip(*have))))
+
+    def test(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Rows in order of word and symbol, all of a word."""
+        own = shared.value
+        new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
+        h, s, n = h[new], s[new], np.add.reduceat(n, np.flatnonzero(new))
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        k = np.diff(np.append(first, len(h)))
+        total = np.add.reduceat(n, first).astype(np.float64)
+        parent = (own.root * 10.0 ** own.of_others())[s]
+        all_ = np.repeat(total, k)
+        p = (n + WEIGHT * parent) / (all_ + WEIGHT)
+        seen = np.add.reduceat(p * np.log(p / parent), first)
+        rest = np.maximum(1 - np.add.reduceat(p, first), 0) * np.log(WEIGHT / (total + WEIGHT))
+        kept = total * (seen + rest) > 0.5 * k * np.log(total)
+        kept &= total > 1
+        of = np.repeat(kept, k)
+        at = pa.array(np.append(0, np.cumsum(k[kept])).astype(np.int32))
+        gain = np.log10(p / own.root[s]).astype(np.float32)
+        lists = (pa.ListArray.from_arrays(at, pa.array(x[of])) for x in (s, gain))
+        return pa.record_batch([pa.array(h[first][kept]), *lists], names=["h", "symbols", "gains"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None  # rows of the last word, summed: at most as many as symbols
+        for batch in batches:
+            h, s, n = (batch[c].to_numpy() for c in ("h", "symbol", "n"))
+            if left is not None:
+                h, s, n = (np.concatenate(x) for x in zip(left, (h, s, n)))
+            if not len(h):
+                continue
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield test(h[:cut], s[:cut], n[:cut])
+            sums = np.bincount(s[cut:], n[cut:], size).astype(np.int64)
+            at = np.flatnonzero(sums).astype(np.int32)
+            left = (np.full(len(at), h[-1]), at, sums[at])
+        if left is not None:
+            yield test(*left)
+
+    pairs = train.mapInArrow(count, "h long, symbol int, n long").repartition("h").sortWithinPartitions("h", "symbol")
+    return materialise(pairs.mapInArrow(merge, "h long, symbols array<int>, gains array<float>"), "states")
+
+
 def learn(train: DataFrame, min_share: float = MIN_SHARE, max_depth: int = 2) -> tuple[Tree, DataFrame, int, int]:
     """The tree, word counts (h, c), the number of tokens and of distinct ones, over all of ``train`` (text)."""
 
@@ -174,44 +253,55 @@ def learn(train: DataFrame, min_share: float = MIN_SHARE, max_depth: int = 2) ->
     return tree, counts, total, distinct
 
 
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, total: int, distinct: int) -> DataFrame:
+def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, total: int, distinct: int) -> DataFrame:
     """doc_id, held, n_tokens, n_known, base_score, score for each row of ``docs`` (doc_id, held, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, block = shared.value, TaskContext.get().partitionId() << 24
         for batch in batches:
             for start, end, h, n in _tokens(batch):
-                s, first = own.numbers(h), _first(n)
-                gain = np.add.reduceat(own.gains(s, first).astype(np.float64), first)
                 u, at = np.unique(h, return_inverse=True)
                 rows = batch.slice(start, end - start)
                 one = lambda x, t: pa.array([x], t)
+                packed = (one(zstandard.compress(x.astype(np.uint32).tobytes(), 1), pa.binary()) for x in (at, own.numbers(u)))
                 yield pa.record_batch(
-                    [
-                        one(uuid.uuid4().int & (1 << 63) - 1, pa.int64()), one(rows["doc_id"].to_pylist(), pa.list_(rows["doc_id"].type)), one(rows["held"].to_pylist(), pa.list_(pa.bool_())),
-                        one(n.tolist(), pa.list_(pa.int64())), one(gain.tolist(), pa.list_(pa.float64())), one(zstandard.compress(at.astype(np.uint32).tobytes(), 1), pa.binary()), one(u.view(np.int64), pa.list_(pa.int64())),
-                    ],
-                    names=["block", "doc_ids", "held", "sizes", "gains", "at", "words"],
-                )
+                    [one(block, pa.int64()), one(rows["doc_id"].to_pylist(), pa.list_(rows["doc_id"].type)), one(rows["held"].to_pylist(), pa.list_(pa.bool_())), one(n.tolist(), pa.list_(pa.int64())), *packed, one(u.view(np.int64), pa.list_(pa.int64()))],
+                    names=["block", "doc_ids", "held", "sizes", "at", "numbers", "words"],
+                )
+                block += 1
 
     def assemble(block: pa.Table, found: pa.Table) -> pa.Table:
+        own = shared.value
         sizes = np.array(block["sizes"][0].as_py(), np.int64)
-        c = np.zeros(found.num_rows, np.int64)
+        at, numbers = (np.frombuffer(zstandard.decompress(block[x][0].as_py()), np.uint32).astype(np.int64) for x in ("at", "numbers"))
+        c = np.zeros(len(numbers), np.int64)
         c[found["number"].to_numpy()] = found["c"].to_numpy()
-        at = np.frombuffer(zstandard.decompress(block["at"][0].as_py()), np.uint32)
-        first = _first(sizes)
+        first, s = _first(sizes), numbers[at]
+        gain = own.gains(s, first).astype(np.float64)
+        held = found.filter(found["symbols"].is_valid()).combine_chunks()
+        if held.num_rows:
+            state = np.full(len(numbers), -1)
+            state[held["number"].to_numpy()] = np.arange(held.num_rows)
+            of = np.concatenate(([-1], state[at[:-1]]))
+            of[first] = -1
+            token = np.flatnonzero(of >= 0)
+            lists = held["symbols"].chunk(0)
+            key = np.repeat(np.arange(held.num_rows), lists.value_lengths().to_numpy()) * own.size + lists.flatten().to_numpy()
+            asked = of[token] * own.size + s[token]
+            i = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            unseen = own.of_others()[s[token]] + np.log10(WEIGHT / (c[at[token - 1]] + WEIGHT))
+            gain[token] = np.where(key[i] == asked, held["gains"].chunk(0).flatten().to_numpy()[i], unseen)
         base = np.add.reduceat(np.log10(c + 1)[at], first) - sizes * np.log10(total + distinct + 1)
         known = np.add.reduceat((c > 0)[at].astype(np.int64), first)
-        gain = np.array(block["gains"][0].as_py())
-        columns = [block["doc_ids"].chunk(0)[0].values, block["held"].chunk(0)[0].values, pa.array(sizes), pa.array(known), pa.array(base), pa.array(base + gain)]
+        columns = [block["doc_ids"].chunk(0)[0].values, block["held"].chunk(0)[0].values, pa.array(sizes), pa.array(known), pa.array(base), pa.array(base + np.add.reduceat(gain, first))]
         return pa.table(columns, names=["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 
-    shape = f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, gains array<double>, at binary, words array<long>"
+    shape = f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, at binary, numbers binary, words array<long>"
     written = materialise(docs.select("doc_id", "held", "text").mapInArrow(blocks, shape), "blocks")
     asked = written.select(F.col("block").alias("of"), F.posexplode("words").alias("number", "h"))
-    found = asked.join(counts, "h", "left").select("of", "number", F.coalesce("c", F.lit(0)).alias("c"))
+    found = asked.join(counts, "h", "left").join(states, "h", "left").select("of", "number", F.coalesce("c", F.lit(0)).alias("c"), "symbols", "gains")
     shape = f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double"
     return written.drop("words").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(assemble, shape)
 
@@ -220,7 +310,8 @@ def score_documents(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """Learns from the rows outside the held-out fold and scores all rows."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     tree, counts, total, distinct = learn(docs.where(~held).select("text"), min_share)
-    scored = score(docs.select("doc_id", held.alias("held"), "text"), tree, counts, total, distinct)
+    states = word_states(docs.where(~held).select("text"), tree)
+    scored = score(docs.select("doc_id", held.alias("held"), "text"), tree, counts, states, total, distinct)
     return scored.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm.common import word_hashes
-from tessella.llm.suffix_tree import END, learn, score, score_documents
+from tessella.llm.suffix_tree import END, WEIGHT, learn, score, score_documents, word_states
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -49,13 +49,43 @@ def test_longest_suffix_state_scores(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     tree, counts, total, distinct = learn(df.select("text"), min_share=0.01)
     probe = spark.createDataFrame([(1, False, "a b c x b d " * 20), (2, False, "a b d x b c " * 20)], "doc_id bigint, held boolean, text string")
-    got = {r["doc_id"]: r["score"] - r["base_score"] for r in score(probe, tree, counts, total, distinct).collect()}
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in score(probe, tree, counts, word_states(df.select("text"), tree), total, distinct).collect()}
     assert got[1] > 40 and got[2] < got[1] - 50
     h = {w: word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([1])) for w in "abcdx"}
     number = {w: int(tree.numbers(x)[0]) for w, x in h.items()}
     assert number["a"] * (tree.size + 1) + number["b"] in tree.contexts[1] and END in tree.symbols
 
 
+def test_word_states(spark, documents, texts):
+    """States of words outside the symbols: against brute force, as distributions, and more of them for more texts."""
+    tree, _, _, _ = learn(documents.select("text"))
+    got = {r["h"]: dict(zip(r["symbols"], r["gains"])) for r in word_states(documents.select("text"), tree).collect()}
+    after, number = {}, {}
+    for text in texts.values():
+        ws = tokens(text)
+        for w in set(ws):
+            if w not in number:
+                h = np.array([END]) if w == "\0end" else word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))
+                number[w] = (int(h.view(np.int64)[0]), int(tree.numbers(h)[0]))
+        for a, b in zip(ws, ws[1:]):
+            if not number[a][1]:
+                after.setdefault(number[a][0], Counter())[number[b][1]] += 1
+    parent = tree.root * 10.0 ** tree.of_others()
+    want = {}
+    for h, c in after.items():
+        n = np.zeros(tree.size)
+        n[list(c)] = list(c.values())
+        p = (n + WEIGHT * parent) / (n.sum() + WEIGHT)
+        if n.sum() > 1 and n.sum() * (p * np.log(p / parent)).sum() > 0.5 * len(c) * np.log(n.sum()):
+            want[h] = {s: math.log10(p[s] / tree.root[s]) for s in c}
+            unseen = sum(parent[s] for s in range(tree.size) if s not in c) * WEIGHT / (n.sum() + WEIGHT)
+            assert abs(sum(p[s] for s in c) + unseen - 1) < 1e-3
+    assert len(want) > 20 and len(set(want) ^ set(got)) <= 0.01 * len(want)
+    assert all(got[h].keys() == want[h].keys() and np.allclose(list(map(got[h].get, want[h])), list(want[h].values()), atol=1e-4) for h in want.keys() & got.keys())
+    few = documents.where("doc_id % 4 = 0").select("text")
+    assert word_states(few, learn(few)[0]).count() < len(got)
+
+
 def test_odd_input(spark, odd_docs, no_docs):
     check(odd_docs, [(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert score_documents(no_docs).count() == 0
