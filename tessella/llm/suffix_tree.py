@@ -44,14 +44,18 @@ MIN_SHARE = 5e-4
 #: A state counts as this many observations of its suffix's distribution.
 WEIGHT = 20.0
 BLOCK_BYTES = 8 << 20
+#: Scored blocks are larger, as each asks once for the counts of its words.
+SCORED_BYTES = 16 << 20
+#: Rows of answers that are packed together.
+PACK_ROWS = 1 << 17
 #: Stand for the end of a text among word hashes.
 END = np.uint64(1)
 
 
-def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _tokens(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Blocks of rows: start, end, word hashes with an end after each text, tokens of each text."""
     data, offsets = utf8(batch["text"])
-    for start, end in slices(offsets, BLOCK_BYTES):
+    for start, end in slices(offsets, most):
         starts, ends, first = words(data, offsets[start : end + 1])
         n = np.diff(first)
         h = np.full(len(starts) + len(n), END, np.uint64)
@@ -168,10 +172,7 @@ def _pairs(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def word_states(train: DataFrame, tree: Tree) -> DataFrame:
-    """Retained contexts of one word outside the symbols: h, symbols that followed it, gains of these.
-
-    Symbols that never followed it have the class's gain and log10(WEIGHT / (count + WEIGHT)).
-    """
+    """Retained contexts of one word outside the symbols: h, symbols that followed it, how often."""
     size = tree.size
     shared = train.sparkSession.sparkContext.broadcast(tree)
 
@@ -206,9 +207,8 @@ def word_states(train: DataFrame, tree: Tree) -> DataFrame:
         kept &= total > 1
         of = np.repeat(kept, k)
         at = pa.array(np.append(0, np.cumsum(k[kept])).astype(np.int32))
-        gain = np.log10(p / own.root[s]).astype(np.float32)
-        lists = (pa.ListArray.from_arrays(at, pa.array(x[of])) for x in (s, gain))
-        return pa.record_batch([pa.array(h[first][kept]), *lists], names=["h", "symbols", "gains"])
+        lists = (pa.ListArray.from_arrays(at, pa.array(x[of])) for x in (s, n))
+        return pa.record_batch([pa.array(h[first][kept]), *lists], names=["h", "symbols", "times"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None  # rows of the last word, summed: at most as many as symbols
@@ -228,7 +228,7 @@ def word_states(train: DataFrame, tree: Tree) -> DataFrame:
             yield test(*left)
 
     pairs = train.mapInArrow(count, "h long, symbol int, n long").repartition("h").sortWithinPartitions("h", "symbol")
-    return materialise(pairs.mapInArrow(merge, "h long, symbols array<int>, gains array<float>"), "states")
+    return materialise(pairs.mapInArrow(merge, "h long, symbols array<int>, times array<long>"), "states")
 
 
 def learn(train: DataFrame, min_share: float = MIN_SHARE, max_depth: int = 2) -> tuple[Tree, DataFrame, int, int]:
@@ -261,7 +261,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, tot
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block = shared.value, TaskContext.get().partitionId() << 24
         for batch in batches:
-            for start, end, h, n in _tokens(batch):
+            for start, end, h, n in _tokens(batch, SCORED_BYTES):
                 u, at = np.unique(h, return_inverse=True)
                 rows = batch.slice(start, end - start)
                 one = lambda x, t: pa.array([x], t)
@@ -272,27 +272,59 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, tot
                 )
                 block += 1
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Answers to one block become one compressed row."""
+
+        def packed(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.sort_by("of").combine_chunks()
+            of, number, c = (rows[x].to_numpy() for x in ("of", "number", "c"))
+            k = rows["symbols"].combine_chunks().value_lengths().fill_null(0).to_numpy().astype(np.int32)
+            symbol, times = (rows[x].combine_chunks().flatten().to_numpy() for x in ("symbols", "times"))
+            cut = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+            held = np.append(0, np.cumsum(k))
+            data = []
+            for a, b in zip(cut, cut[1:]):
+                x, y = held[a], held[b]
+                data.append(zstandard.compress(b"".join((number[a:b].astype(np.int32).tobytes(), k[a:b].tobytes(), c[a:b].tobytes(), symbol[x:y].astype(np.int32).tobytes(), times[x:y].tobytes())), 3))
+            return pa.record_batch([pa.array(of[cut[:-1]]), pa.array(np.diff(cut)), pa.array(np.diff(held[cut])), pa.array(data, pa.binary())], names=["of", "rows", "entries", "data"])
+
+        have, n = [], 0
+        for batch in batches:
+            have.append(batch)
+            n += len(batch)
+            if n >= PACK_ROWS:
+                yield packed(pa.Table.from_batches(have))
+                have, n = [], 0
+        if n:
+            yield packed(pa.Table.from_batches(have))
+
     def assemble(block: pa.Table, found: pa.Table) -> pa.Table:
         own = shared.value
         sizes = np.array(block["sizes"][0].as_py(), np.int64)
         at, numbers = (np.frombuffer(zstandard.decompress(block[x][0].as_py()), np.uint32).astype(np.int64) for x in ("at", "numbers"))
-        c = np.zeros(len(numbers), np.int64)
-        c[found["number"].to_numpy()] = found["c"].to_numpy()
+        answers: tuple[list, ...] = ([], [], [], [], [])
+        for m, e, data in zip(*(found[x].to_pylist() for x in ("rows", "entries", "data"))):
+            raw, here = zstandard.decompress(data), 0
+            for out, kind_, n in zip(answers, (np.int32, np.int32, np.int64, np.int32, np.int64), (m, m, m, e, e)):
+                out.append(np.frombuffer(raw, kind_, n, here))
+                here += n * np.dtype(kind_).itemsize
+        number, k, count, symbol, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in answers)
+        c, state = np.zeros(len(numbers), np.int64), np.full(len(numbers), -1)
+        c[number] = count
         first, s = _first(sizes), numbers[at]
         gain = own.gains(s, first).astype(np.float64)
-        held = found.filter(found["symbols"].is_valid()).combine_chunks()
-        if held.num_rows:
-            state = np.full(len(numbers), -1)
-            state[held["number"].to_numpy()] = np.arange(held.num_rows)
+        kept = k > 0
+        if kept.any():
+            state[number[kept]] = np.arange(int(kept.sum()))
             of = np.concatenate(([-1], state[at[:-1]]))
             of[first] = -1
             token = np.flatnonzero(of >= 0)
-            lists = held["symbols"].chunk(0)
-            key = np.repeat(np.arange(held.num_rows), lists.value_lengths().to_numpy()) * own.size + lists.flatten().to_numpy()
+            key = np.repeat(np.arange(int(kept.sum())), k[kept]) * own.size + symbol
             asked = of[token] * own.size + s[token]
             i = np.minimum(np.searchsorted(key, asked), len(key) - 1)
-            unseen = own.of_others()[s[token]] + np.log10(WEIGHT / (c[at[token - 1]] + WEIGHT))
-            gain[token] = np.where(key[i] == asked, held["gains"].chunk(0).flatten().to_numpy()[i], unseen)
+            seen = np.where(key[i] == asked, times[i], 0)
+            parent = own.root * 10.0 ** own.of_others()
+            gain[token] = np.log10((seen + WEIGHT * parent[s[token]]) / (c[at[token - 1]] + WEIGHT) / own.root[s[token]])
         base = np.add.reduceat(np.log10(c + 1)[at], first) - sizes * np.log10(total + distinct + 1)
         known = np.add.reduceat((c > 0)[at].astype(np.int64), first)
         columns = [block["doc_ids"].chunk(0)[0].values, block["held"].chunk(0)[0].values, pa.array(sizes), pa.array(known), pa.array(base), pa.array(base + np.add.reduceat(gain, first))]
@@ -301,7 +333,8 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, tot
     shape = f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, at binary, numbers binary, words array<long>"
     written = materialise(docs.select("doc_id", "held", "text").mapInArrow(blocks, shape), "blocks")
     asked = written.select(F.col("block").alias("of"), F.posexplode("words").alias("number", "h"))
-    found = asked.join(counts, "h", "left").join(states, "h", "left").select("of", "number", F.coalesce("c", F.lit(0)).alias("c"), "symbols", "gains")
+    answers = asked.join(counts, "h").join(states, "h", "left").select("of", "number", "c", "symbols", "times")
+    found = answers.mapInArrow(pack, "of long, rows long, entries long, data binary")
     shape = f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double"
     return written.drop("words").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(assemble, shape)
 

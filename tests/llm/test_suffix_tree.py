@@ -59,7 +59,7 @@ def test_longest_suffix_state_scores(spark):
 def test_word_states(spark, documents, texts):
     """States of words outside the symbols: against brute force, as distributions, and more of them for more texts."""
     tree, _, _, _ = learn(documents.select("text"))
-    got = {r["h"]: dict(zip(r["symbols"], r["gains"])) for r in word_states(documents.select("text"), tree).collect()}
+    got = {r["h"]: dict(zip(r["symbols"], r["times"])) for r in word_states(documents.select("text"), tree).collect()}
     after, number = {}, {}
     for text in texts.values():
         ws = tokens(text)
@@ -77,11 +77,11 @@ def test_word_states(spark, documents, texts):
         n[list(c)] = list(c.values())
         p = (n + WEIGHT * parent) / (n.sum() + WEIGHT)
         if n.sum() > 1 and n.sum() * (p * np.log(p / parent)).sum() > 0.5 * len(c) * np.log(n.sum()):
-            want[h] = {s: math.log10(p[s] / tree.root[s]) for s in c}
+            want[h] = dict(c)
             unseen = sum(parent[s] for s in range(tree.size) if s not in c) * WEIGHT / (n.sum() + WEIGHT)
             assert abs(sum(p[s] for s in c) + unseen - 1) < 1e-3
     assert len(want) > 20 and len(set(want) ^ set(got)) <= 0.01 * len(want)
-    assert all(got[h].keys() == want[h].keys() and np.allclose(list(map(got[h].get, want[h])), list(want[h].values()), atol=1e-4) for h in want.keys() & got.keys())
+    assert all(got[h] == want[h] for h in want.keys() & got.keys())
     few = documents.where("doc_id % 4 = 0").select("text")
     assert word_states(few, learn(few)[0]).count() < len(got)
 
