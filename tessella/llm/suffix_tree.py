@@ -18,8 +18,10 @@ its class; within the class of other words, words keep the root's shares:
 so probabilities sum to one over all words and one unknown word.
 
 Counts of words and of contexts cover all training texts.  Words are counted by
-a 64-bit hash of their bytes.  To look up the count of every word of every text, a
-block of texts sends its distinct words once and gets their counts back.
+a 64-bit hash of their bytes.  Texts are split into words once: the blocks of tokens
+are written to the shared folder, and every count and the scores are taken from
+there.  To look up the count of every word of every text, a block sends its distinct
+words once and gets their counts back.
 
 Results for odd input: a null or empty text is the end token alone.  If nothing is
 left to train on, all counts are 0 and score equals base_score.  Repeated rows
@@ -43,29 +45,66 @@ from .common import materialise, mix, slices, table, utf8, word_hashes, words
 MIN_SHARE = 5e-4
 #: A state counts as this many observations of its suffix's distribution.
 WEIGHT = 20.0
-BLOCK_BYTES = 8 << 20
-#: Scored blocks are larger, as each asks once for the counts of its words.
-SCORED_BYTES = 16 << 20
+#: Texts of a block, which asks once for the counts of its words.
+BLOCK_BYTES = 16 << 20
 #: Rows of answers that are packed together.
 PACK_ROWS = 1 << 17
 #: Stand for the end of a text among word hashes.
 END = np.uint64(1)
 
 
-def _tokens(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Blocks of rows: start, end, word hashes with an end after each text, tokens of each text."""
-    data, offsets = utf8(batch["text"])
-    for start, end in slices(offsets, most):
-        starts, ends, first = words(data, offsets[start : end + 1])
-        n = np.diff(first)
-        h = np.full(len(starts) + len(n), END, np.uint64)
-        h[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = word_hashes(data, starts, ends, lower=True)
-        yield start, end, h, n + 1
+BLOCK = ["block", "doc_ids", "held", "sizes", "at", "words"]
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """Blocks of tokens, written: ids, held-out flags and numbers of tokens of the texts, the place of each token in words (packed), distinct words' hashes in order.
+
+    ``docs`` has text, and doc_id and held where they matter.  A table of blocks is returned as it is.
+    """
+    if docs.columns == BLOCK:
+        return docs
+    own = lambda c, otherwise: (F.col(c) if c in docs.columns else otherwise).alias(c)
+    rows = docs.select(own("doc_id", F.lit(None).cast("long")), F.coalesce(own("held", F.lit(False)), F.lit(False)).alias("held"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
+        one = lambda x, t: pa.array([x], t)
+        for batch in batches:
+            data, offsets = utf8(batch["text"])
+            for start, end in slices(offsets, BLOCK_BYTES):
+                starts, ends, first = words(data, offsets[start : end + 1])
+                n = np.diff(first)
+                h = np.full(len(starts) + len(n), END, np.uint64)  # an end after each text
+                h[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = word_hashes(data, starts, ends, lower=True)
+                u, at = np.unique(h, return_inverse=True)
+                part = batch.slice(start, end - start)
+                whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.record_batch([one(block, pa.int64()), *map(whole, (part["doc_id"], part["held"], pa.array(n + 1))), one(zstandard.compress(at.astype(np.uint32).tobytes(), 1), pa.binary()), whole(pa.array(u.view(np.int64)))], names=BLOCK)
+                block += 1
+
+    return materialise(rows.mapInArrow(blocks, f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, at binary, words array<long>"), "blocks")
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint32)
+
+
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct words' hashes, each token's place among them, tokens of each text; of the training texts of each block."""
+    for batch in batches:
+        for i in range(len(batch)):
+            n, held = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "held"))
+            if not held.all():
+                at = _unpacked(batch["at"][i].as_py())
+                yield batch["words"][i].values.to_numpy().view(np.uint64), at[np.repeat(~held, n)], n[~held]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    u, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return u, n if counts is None else np.bincount(back, counts, len(u)).astype(np.int64)
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    u, back = np.unique(keys, return_inverse=True)
+    return u, np.bincount(back, counts, len(u)).astype(np.int64)
 
 
 class Tree:
@@ -105,7 +144,6 @@ class Tree:
                 state = np.where(known[i] == key, rows[i], state)
         return self.gain[state, s]
 
-
     def of_others(self) -> np.ndarray:
         """Row of gain of the class of other words as a context: the root's, if it isn't retained."""
         known = bool(self.contexts) and len(self.contexts[0]) > 0 and self.contexts[0][0] == 0
@@ -116,28 +154,27 @@ def _first(n: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
 
 
-def _grow(train: DataFrame, tree: Tree, depth: int, total: int, min_share: float) -> None:
+def _grow(blocks: DataFrame, tree: Tree, depth: int, total: int, min_share: float) -> None:
     """Counts what follows the candidates of this depth and retains those that differ from their suffix."""
     least, size = max(2, min_share * total), tree.size
     candidates = None if depth == 1 else tree.candidates
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for _, _, h, n in _tokens(batch):
-                s, first = tree.numbers(h), _first(n)
-                key = tree.keys(s, first, depth)
-                if candidates is not None:
-                    ok = np.isin(key, candidates)
-                    key, s = key[ok], s[ok]
-                have.append(_summed(key * size + s))
-                if len(have) > 8:
-                    have = [_summed(*map(np.concatenate, zip(*have)))]
+        for u, at, n in _training(batches):
+            s = tree.numbers(u)[at]
+            key = tree.keys(s, _first(n), depth)
+            if candidates is not None:
+                ok = np.isin(key, candidates)
+                key, s = key[ok], s[ok]
+            have.append(_summed(key * size + s))
+            if len(have) > 8:
+                have = [_summed(*map(np.concatenate, zip(*have)))]
         if have:
             k, n = _summed(*map(np.concatenate, zip(*have)))
             yield pa.record_batch([pa.array(k // size), pa.array((k % size).astype(np.int32)), pa.array(n)], names=["context", "symbol", "n"])
 
-    counts = materialise(train.mapInArrow(count, "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"contexts{depth}")
+    counts = materialise(blocks.mapInArrow(count, "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"contexts{depth}")
     frequent = counts.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= least)  # at most 1 / min_share rows
     found = counts.join(F.broadcast(frequent), "context").toPandas()  # at most (1 / min_share)^2 rows, in fact far fewer
     kept, rows, gains = [], [], [tree.gain]
@@ -172,23 +209,23 @@ def _pairs(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def word_states(train: DataFrame, tree: Tree) -> DataFrame:
-    """Retained contexts of one word outside the symbols: h, symbols that followed it, how often."""
-    size = tree.size
+    """Retained contexts of one word outside the symbols: h, symbols that followed it, how often; ``train`` has texts or is tokenised."""
+    size, blocks = tree.size, tokenised(train)
     shared = train.sparkSession.sparkContext.broadcast(tree)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, have = shared.value, []
         out = lambda h, s, n: pa.record_batch([pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n)], names=["h", "symbol", "n"])
-        for batch in batches:
-            for _, _, h, sizes in _tokens(batch):
-                s = own.numbers(h)
-                ok = s[:-1] == 0  # an end is a symbol, so nothing follows across texts
-                have.append(_pairs(h[:-1][ok], s[1:][ok], np.ones(int(ok.sum()), np.int64)))
-                if len(have) == 4:
-                    yield out(*_pairs(*map(np.concatenate, zip(*have))))
-                    have = []
+        for u, at, _ in _training(batches):
+            s = own.numbers(u)[at]
+            ok = s[:-1] == 0  # an end is a symbol, so nothing follows across texts
+            pair, n = _summed(at[:-1][ok].astype(np.int64) * size + s[1:][ok])
+            have.append((u[pair // size], pair % size, n))
+            if len(have) == 4:
+                yield out(*_pairs(*map(np.concatenate, zip(*have))))
+                have = []
         if have:
-            yield out(*_pairs(*map(np.concatenate, zip(*have))))
+            yield out(*(_pairs(*map(np.concatenate, zip(*have))) if len(have) > 1 else have[0]))
 
     def test(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         """Rows in order of word and symbol, all of a word."""
@@ -227,20 +264,20 @@ def word_states(train: DataFrame, tree: Tree) -> DataFrame:
         if left is not None:
             yield test(*left)
 
-    pairs = train.mapInArrow(count, "h long, symbol int, n long").repartition("h").sortWithinPartitions("h", "symbol")
+    pairs = blocks.select("held", "sizes", "at", "words").mapInArrow(count, "h long, symbol int, n long").repartition("h").sortWithinPartitions("h", "symbol")
     return materialise(pairs.mapInArrow(merge, "h long, symbols array<int>, times array<long>"), "states")
 
 
 def learn(train: DataFrame, min_share: float = MIN_SHARE, max_depth: int = 2) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, word counts (h, c), the number of tokens and of distinct ones, over all of ``train`` (text)."""
+    """The tree, word counts (h, c), the number of tokens and of distinct ones, over all of ``train``, which has texts or is tokenised."""
+    blocks = tokenised(train).select("held", "sizes", "at", "words")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, h, _ in _tokens(batch):
-                u, n = _summed(h)
-                yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(n)], names=["h", "c"])
+        for u, at, _ in _training(batches):
+            n = np.bincount(at, minlength=len(u))
+            yield pa.record_batch([pa.array(u[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["h", "c"])
 
-    counts = materialise(train.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    counts = materialise(blocks.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = counts.where((F.col("c") >= max(1, min_share * total)) | (F.col("h") == 1)).toPandas()  # at most 1 / min_share + 1 rows
     h, c = frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy()
@@ -249,35 +286,23 @@ def learn(train: DataFrame, min_share: float = MIN_SHARE, max_depth: int = 2) ->
     root[0] = max(1 - root.sum(), 1e-12)
     tree = Tree(h[order], root)
     for depth in range(1, max_depth + 1 if total else 1):
-        _grow(train, tree, depth, total, min_share)
+        _grow(blocks, tree, depth, total, min_share)
     return tree, counts, total, distinct
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, total: int, distinct: int) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, base_score, score for each row of ``docs`` (doc_id, held, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, block = shared.value, TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for start, end, h, n in _tokens(batch, SCORED_BYTES):
-                u, at = np.unique(h, return_inverse=True)
-                rows = batch.slice(start, end - start)
-                one = lambda x, t: pa.array([x], t)
-                packed = (one(zstandard.compress(x.astype(np.uint32).tobytes(), 1), pa.binary()) for x in (at, own.numbers(u)))
-                yield pa.record_batch(
-                    [one(block, pa.int64()), one(rows["doc_id"].to_pylist(), pa.list_(rows["doc_id"].type)), one(rows["held"].to_pylist(), pa.list_(pa.bool_())), one(n.tolist(), pa.list_(pa.int64())), *packed, one(u.view(np.int64), pa.list_(pa.int64()))],
-                    names=["block", "doc_ids", "held", "sizes", "at", "numbers", "words"],
-                )
-                block += 1
+    """doc_id, held, n_tokens, n_known, base_score, score for each row of ``docs`` (doc_id, held, text, or tokenised)."""
+    written = tokenised(docs)
+    kind = written.schema["doc_ids"].dataType.elementType.simpleString()
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(tree)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Answers to one block become one compressed row."""
 
         def packed(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.sort_by("of").combine_chunks()
-            of, number, c = (rows[x].to_numpy() for x in ("of", "number", "c"))
+            of, number, s, c = (rows[x].to_numpy() for x in ("of", "number", "s", "c"))
             k = rows["symbols"].combine_chunks().value_lengths().fill_null(0).to_numpy().astype(np.int32)
             symbol, times = (rows[x].combine_chunks().flatten().to_numpy() for x in ("symbols", "times"))
             cut = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
@@ -285,7 +310,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, tot
             data = []
             for a, b in zip(cut, cut[1:]):
                 x, y = held[a], held[b]
-                data.append(zstandard.compress(b"".join((number[a:b].astype(np.int32).tobytes(), k[a:b].tobytes(), c[a:b].tobytes(), symbol[x:y].astype(np.int32).tobytes(), times[x:y].tobytes())), 3))
+                data.append(zstandard.compress(b"".join((number[a:b].astype(np.int32).tobytes(), s[a:b].astype(np.int32).tobytes(), k[a:b].tobytes(), c[a:b].tobytes(), symbol[x:y].astype(np.int32).tobytes(), times[x:y].tobytes())), 3))
             return pa.record_batch([pa.array(of[cut[:-1]]), pa.array(np.diff(cut)), pa.array(np.diff(held[cut])), pa.array(data, pa.binary())], names=["of", "rows", "entries", "data"])
 
         have, n = [], 0
@@ -301,16 +326,17 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, tot
     def assemble(block: pa.Table, found: pa.Table) -> pa.Table:
         own = shared.value
         sizes = np.array(block["sizes"][0].as_py(), np.int64)
-        at, numbers = (np.frombuffer(zstandard.decompress(block[x][0].as_py()), np.uint32).astype(np.int64) for x in ("at", "numbers"))
-        answers: tuple[list, ...] = ([], [], [], [], [])
+        at = _unpacked(block["at"][0].as_py())
+        answers: tuple[list, ...] = ([], [], [], [], [], [])
         for m, e, data in zip(*(found[x].to_pylist() for x in ("rows", "entries", "data"))):
             raw, here = zstandard.decompress(data), 0
-            for out, kind_, n in zip(answers, (np.int32, np.int32, np.int64, np.int32, np.int64), (m, m, m, e, e)):
+            for out, kind_, n in zip(answers, (np.int32, np.int32, np.int32, np.int64, np.int32, np.int64), (m, m, m, m, e, e)):
                 out.append(np.frombuffer(raw, kind_, n, here))
                 here += n * np.dtype(kind_).itemsize
-        number, k, count, symbol, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in answers)
-        c, state = np.zeros(len(numbers), np.int64), np.full(len(numbers), -1)
-        c[number] = count
+        number, own_s, k, count, symbol, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in answers)
+        distinct_here = int(at.max()) + 1
+        c, numbers, state = np.zeros(distinct_here, np.int64), np.zeros(distinct_here, np.int64), np.full(distinct_here, -1)
+        c[number], numbers[number] = count, own_s
         first, s = _first(sizes), numbers[at]
         gain = own.gains(s, first).astype(np.float64)
         kept = k > 0
@@ -330,10 +356,10 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, tot
         columns = [block["doc_ids"].chunk(0)[0].values, block["held"].chunk(0)[0].values, pa.array(sizes), pa.array(known), pa.array(base), pa.array(base + np.add.reduceat(gain, first))]
         return pa.table(columns, names=["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 
-    shape = f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, at binary, numbers binary, words array<long>"
-    written = materialise(docs.select("doc_id", "held", "text").mapInArrow(blocks, shape), "blocks")
     asked = written.select(F.col("block").alias("of"), F.posexplode("words").alias("number", "h"))
-    answers = asked.join(counts, "h").join(states, "h", "left").select("of", "number", "c", "symbols", "times")
+    symbols = spark.createDataFrame([(int(h), i) for i, h in enumerate(tree.symbols.view(np.int64), 1)], "h long, s int")  # at most 1 / min_share + 1 rows
+    named = counts.join(F.broadcast(symbols), "h", "left").select("h", "c", F.coalesce("s", F.lit(0)).alias("s"))
+    answers = asked.join(named, "h").join(states, "h", "left").select("of", "number", "s", "c", "symbols", "times")
     found = answers.mapInArrow(pack, "of long, rows long, entries long, data binary")
     shape = f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double"
     return written.drop("words").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(assemble, shape)
@@ -342,9 +368,9 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, tot
 def score_documents(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """Learns from the rows outside the held-out fold and scores all rows."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    tree, counts, total, distinct = learn(docs.where(~held).select("text"), min_share)
-    states = word_states(docs.where(~held).select("text"), tree)
-    scored = score(docs.select("doc_id", held.alias("held"), "text"), tree, counts, states, total, distinct)
+    blocks = tokenised(docs.select("doc_id", held.alias("held"), "text"))
+    tree, counts, total, distinct = learn(blocks, min_share)
+    scored = score(blocks, tree, counts, word_states(blocks, tree), total, distinct)
     return scored.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
