@@ -47,6 +47,8 @@ MIN_SHARE = 5e-4
 WEIGHT = 20.0
 #: Texts of a block, which asks once for the counts of its words.
 BLOCK_BYTES = 16 << 20
+#: Texts that are hashed at a time.
+CHUNK = 2 << 20
 #: Rows of answers that are packed together.
 PACK_ROWS = 1 << 17
 #: Stand for the end of a text among word hashes.
@@ -73,14 +75,19 @@ def tokenised(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch["text"])
             for start, end in slices(offsets, BLOCK_BYTES):
-                starts, ends, first = words(data, offsets[start : end + 1])
-                n = np.diff(first)
-                h = np.full(len(starts) + len(n), END, np.uint64)  # an end after each text
-                h[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = word_hashes(data, starts, ends, lower=True)
-                u, at = np.unique(h, return_inverse=True)
+                hashes, sizes = [], []
+                for a, b in slices(offsets[start : end + 1], CHUNK):
+                    lo, hi = offsets[start + a], offsets[start + b]
+                    starts, ends, first = words(data[lo:hi], offsets[start + a : start + b + 1] - lo)
+                    n = np.diff(first)
+                    h = np.full(len(starts) + len(n), END, np.uint64)  # an end after each text
+                    h[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = word_hashes(data[lo:hi], starts, ends, lower=True)
+                    hashes.append(h)
+                    sizes.append(n + 1)
+                u, at = np.unique(np.concatenate(hashes), return_inverse=True)
                 part = batch.slice(start, end - start)
                 whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.record_batch([one(block, pa.int64()), *map(whole, (part["doc_id"], part["held"], pa.array(n + 1))), one(zstandard.compress(at.astype(np.uint32).tobytes(), 1), pa.binary()), whole(pa.array(u.view(np.int64)))], names=BLOCK)
+                yield pa.record_batch([one(block, pa.int64()), *map(whole, (part["doc_id"], part["held"], pa.array(np.concatenate(sizes)))), one(zstandard.compress(at.astype(np.uint32).tobytes(), 1), pa.binary()), whole(pa.array(u.view(np.int64)))], names=BLOCK)
                 block += 1
 
     return materialise(rows.mapInArrow(blocks, f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, at binary, words array<long>"), "blocks")
@@ -221,7 +228,7 @@ def word_states(train: DataFrame, tree: Tree) -> DataFrame:
             ok = s[:-1] == 0  # an end is a symbol, so nothing follows across texts
             pair, n = _summed(at[:-1][ok].astype(np.int64) * size + s[1:][ok])
             have.append((u[pair // size], pair % size, n))
-            if len(have) == 4:
+            if len(have) == 2:
                 yield out(*_pairs(*map(np.concatenate, zip(*have))))
                 have = []
         if have:
