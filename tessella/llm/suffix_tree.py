@@ -47,8 +47,9 @@ MIN_SHARE = 5e-4
 WEIGHT = 20.0
 #: Texts of a block, which asks once for the counts of its words.
 BLOCK_BYTES = 16 << 20
-#: Texts that are hashed at a time.
+#: Texts that are hashed at a time, and tokens that are counted or scored at a time.
 CHUNK = 2 << 20
+TOKENS = 1 << 18
 #: Rows of answers that are packed together.
 PACK_ROWS = 1 << 17
 #: Stand for the end of a text among word hashes.
@@ -75,19 +76,21 @@ def tokenised(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch["text"])
             for start, end in slices(offsets, BLOCK_BYTES):
-                hashes, sizes = [], []
+                known, places, sizes = [], [], []
                 for a, b in slices(offsets[start : end + 1], CHUNK):
                     lo, hi = offsets[start + a], offsets[start + b]
                     starts, ends, first = words(data[lo:hi], offsets[start + a : start + b + 1] - lo)
                     n = np.diff(first)
                     h = np.full(len(starts) + len(n), END, np.uint64)  # an end after each text
                     h[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = word_hashes(data[lo:hi], starts, ends, lower=True)
-                    hashes.append(h)
+                    for column, x in zip((known, places), np.unique(h, return_inverse=True)):
+                        column.append(x)
                     sizes.append(n + 1)
-                u, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                u = np.unique(np.concatenate(known))
+                at = np.concatenate([np.searchsorted(u, k).astype(np.uint32)[i] for k, i in zip(known, places)])
                 part = batch.slice(start, end - start)
                 whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.record_batch([one(block, pa.int64()), *map(whole, (part["doc_id"], part["held"], pa.array(np.concatenate(sizes)))), one(zstandard.compress(at.astype(np.uint32).tobytes(), 1), pa.binary()), whole(pa.array(u.view(np.int64)))], names=BLOCK)
+                yield pa.record_batch([one(block, pa.int64()), *map(whole, (part["doc_id"], part["held"], pa.array(np.concatenate(sizes)))), one(zstandard.compress(at.tobytes(), 1), pa.binary()), whole(pa.array(u.view(np.int64)))], names=BLOCK)
                 block += 1
 
     return materialise(rows.mapInArrow(blocks, f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, at binary, words array<long>"), "blocks")
@@ -97,14 +100,21 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), np.uint32)
 
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct words' hashes, each token's place among them, tokens of each text; of the training texts of each block."""
+def _parts(at: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``at`` and ``n`` (entries of ``at`` for each text) in parts of about ``TOKENS``, of whole texts."""
+    ends = np.concatenate(([0], np.cumsum(n)))
+    for a, b in slices(ends, TOKENS):
+        yield at[ends[a] : ends[b]], n[a:b]
+
+
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Of each block its distinct words' hashes, and parts of its training texts: each token's place among the words, tokens of each text."""
     for batch in batches:
         for i in range(len(batch)):
             n, held = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "held"))
             if not held.all():
                 at = _unpacked(batch["at"][i].as_py())
-                yield batch["words"][i].values.to_numpy().view(np.uint64), at[np.repeat(~held, n)], n[~held]
+                yield batch["words"][i].values.to_numpy().view(np.uint64), _parts(at[np.repeat(~held, n)], n[~held])
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -168,15 +178,17 @@ def _grow(blocks: DataFrame, tree: Tree, depth: int, total: int, min_share: floa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: list[tuple[np.ndarray, np.ndarray]] = []
-        for u, at, n in _training(batches):
-            s = tree.numbers(u)[at]
-            key = tree.keys(s, _first(n), depth)
-            if candidates is not None:
-                ok = np.isin(key, candidates)
-                key, s = key[ok], s[ok]
-            have.append(_summed(key * size + s))
-            if len(have) > 8:
-                have = [_summed(*map(np.concatenate, zip(*have)))]
+        for u, parts in _training(batches):
+            number = tree.numbers(u)
+            for at, n in parts:
+                s = number[at]
+                key = tree.keys(s, _first(n), depth)
+                if candidates is not None:
+                    ok = np.isin(key, candidates)
+                    key, s = key[ok], s[ok]
+                have.append(_summed(key * size + s))
+                if len(have) > 8:
+                    have = [_summed(*map(np.concatenate, zip(*have)))]
         if have:
             k, n = _summed(*map(np.concatenate, zip(*have)))
             yield pa.record_batch([pa.array(k // size), pa.array((k % size).astype(np.int32)), pa.array(n)], names=["context", "symbol", "n"])
@@ -223,10 +235,13 @@ def word_states(train: DataFrame, tree: Tree) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, have = shared.value, []
         out = lambda h, s, n: pa.record_batch([pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n)], names=["h", "symbol", "n"])
-        for u, at, _ in _training(batches):
-            s = own.numbers(u)[at]
-            ok = s[:-1] == 0  # an end is a symbol, so nothing follows across texts
-            pair, n = _summed(at[:-1][ok].astype(np.int64) * size + s[1:][ok])
+        for u, parts in _training(batches):
+            number, found = own.numbers(u), []
+            for at, _ in parts:
+                s = number[at]
+                ok = s[:-1] == 0  # an end is a symbol, so nothing follows across texts
+                found.append(_summed(at[:-1][ok].astype(np.int64) * size + s[1:][ok]))
+            pair, n = _summed(*map(np.concatenate, zip(*found)))
             have.append((u[pair // size], pair % size, n))
             if len(have) == 2:
                 yield out(*_pairs(*map(np.concatenate, zip(*have))))
@@ -280,8 +295,10 @@ def learn(train: DataFrame, min_share: float = MIN_SHARE, max_depth: int = 2) ->
     blocks = tokenised(train).select("held", "sizes", "at", "words")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, at, _ in _training(batches):
-            n = np.bincount(at, minlength=len(u))
+        for u, parts in _training(batches):
+            n = np.zeros(len(u), np.int64)
+            for at, _ in parts:
+                n += np.bincount(at, minlength=len(u))
             yield pa.record_batch([pa.array(u[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["h", "c"])
 
     counts = materialise(blocks.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
@@ -344,23 +361,25 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, tot
         distinct_here = int(at.max()) + 1
         c, numbers, state = np.zeros(distinct_here, np.int64), np.zeros(distinct_here, np.int64), np.full(distinct_here, -1)
         c[number], numbers[number] = count, own_s
-        first, s = _first(sizes), numbers[at]
-        gain = own.gains(s, first).astype(np.float64)
         kept = k > 0
-        if kept.any():
-            state[number[kept]] = np.arange(int(kept.sum()))
+        state[number[kept]] = np.arange(int(kept.sum()))
+        key = np.append(np.repeat(np.arange(int(kept.sum())), k[kept]) * own.size + symbol, -1)
+        times, logs, parent = np.append(times, 0), np.log10(c + 1), own.root * 10.0 ** own.of_others()
+        base, known, score_ = [], [], []
+        for at, n in _parts(at, sizes):
+            first, s = _first(n), numbers[at]
+            gain = own.gains(s, first).astype(np.float64)
             of = np.concatenate(([-1], state[at[:-1]]))
             of[first] = -1
             token = np.flatnonzero(of >= 0)
-            key = np.repeat(np.arange(int(kept.sum())), k[kept]) * own.size + symbol
             asked = of[token] * own.size + s[token]
-            i = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            i = np.searchsorted(key[:-1], asked)
             seen = np.where(key[i] == asked, times[i], 0)
-            parent = own.root * 10.0 ** own.of_others()
             gain[token] = np.log10((seen + WEIGHT * parent[s[token]]) / (c[at[token - 1]] + WEIGHT) / own.root[s[token]])
-        base = np.add.reduceat(np.log10(c + 1)[at], first) - sizes * np.log10(total + distinct + 1)
-        known = np.add.reduceat((c > 0)[at].astype(np.int64), first)
-        columns = [block["doc_ids"].chunk(0)[0].values, block["held"].chunk(0)[0].values, pa.array(sizes), pa.array(known), pa.array(base), pa.array(base + np.add.reduceat(gain, first))]
+            base.append(np.add.reduceat(logs[at], first) - n * np.log10(total + distinct + 1))
+            known.append(np.add.reduceat((c > 0)[at].astype(np.int64), first))
+            score_.append(base[-1] + np.add.reduceat(gain, first))
+        columns = [block["doc_ids"].chunk(0)[0].values, block["held"].chunk(0)[0].values, pa.array(sizes), *(pa.array(np.concatenate(x)) for x in (known, base, score_))]
         return pa.table(columns, names=["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 
     asked = written.select(F.col("block").alias("of"), F.posexplode("words").alias("number", "h"))
