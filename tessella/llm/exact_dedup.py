@@ -97,7 +97,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the smallest doc_id stays."""
+    """Pipeline stage: of equal texts the row with the smallest doc_id stays (repeated rows of it, and rows without doc_id, all stay)."""
     dropped = exact_dedup(docs).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
