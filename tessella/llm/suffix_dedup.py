@@ -2,27 +2,21 @@
 
 A text is a sequence of words.  Of all suffixes those at content-selected
 positions are retained: where the hash of ``K`` words is the least of ``window``
-neighbours (a minimiser p), the suffix from p, and the one that ends its first
-``part`` words with the minimiser's last word.  Any passage of ``min_words`` holds
-a minimiser within its first ``window`` positions and one within its last, so with
-part = min_words - window + 1 both kinds of suffix share ``part`` words wherever
-the passage repeats, and together they reach from its first word to its last.
-
-Retained suffixes are sorted by a 64-bit name of their first ``part`` words, then
-by document and position, over all tasks; neighbours of equal name repeat.  In the
-sorted order the first document of a name keeps its passage and the others are
-marked.  A very frequent name simply spans several tasks, as document and
-position are part of the order; where a name crosses from task to task, one row
-per task tells.  Marked stretches of a document that touch and agree with the same
-place of the same keeping document are one match, and each match is extended left
-and right, word by word, by up to ``window`` words as far as the two texts agree.
-Matches of at least ``min_words`` words are reported, overlapping ones as one.
-
-So a reported word always stands in a passage of ``min_words`` words that an earlier
-document holds.  A passage is found if for one of its suffixes the document with the
-smallest doc_id holds the passage too; where documents hold many versions of a
-passage, words at the edge of a version can be missed.  Repeats inside one document
-don't count.
+neighbours (a minimiser).  Any passage of ``min_words`` holds a minimiser within its
+first ``window`` positions, so with part = min_words - window + 1 the first ``part``
+words of a retained suffix stand wholly in it, wherever the passage repeats.
+
+Suffixes are named by a 64-bit hash of their first ``part`` words, and names that
+several documents hold are shared.  A window of ``min_words`` words can only repeat
+if the name at its first minimiser is shared: of those windows, and no others, the
+whole words are hashed, and each is looked up among all documents' windows.  One that an earlier
+document holds is reported, overlapping and touching ones as one passage.
+
+So a word is reported if and only if it stands in a passage of ``min_words`` words that
+a document with a smaller doc_id holds, whichever that is (but for collisions of
+64-bit hashes).  A document is compared with all others, not with one that stands for
+them.  Rows of a frequent window are counted in parts and then joined with one row.
+Repeats inside one document don't count.
 
 Results for odd input: null and empty texts have no passages.  Repeated rows
 (same doc_id and text) count as one document.  Rows without doc_id are neither
@@ -46,6 +40,7 @@ MIN_WORDS = 50
 K = 8
 WINDOW = 26
 CHUNK = 4 << 20
+PLACES = "name long, doc_id long, start int"
 
 
 def _sliding(x: np.ndarray, size: int, least) -> np.ndarray:
@@ -71,8 +66,7 @@ def suffixes(h: np.ndarray, first: np.ndarray, min_words: int, k: int, window: i
     low = np.where(np.arange(len(low)) + window + k - 1 <= end_of[: len(low)], low, 0)
     pad = np.zeros(window - 1, np.uint64)
     p = np.flatnonzero(_sliding(np.concatenate((pad, low, pad)), window, np.maximum)[: len(kg)] == kg)
-    start = np.unique(np.concatenate((p, p + k - part)))
-    start = start[(start >= 0) & (start < len(names))]
+    start = p[p < len(names)]
     text = text_of[start]
     ok = (start + part <= end_of[start]) & (np.diff(first)[text] >= min_words)
     start, text = start[ok], text[ok]
@@ -80,7 +74,7 @@ def suffixes(h: np.ndarray, first: np.ndarray, min_words: int, k: int, window: i
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Repeated passages: doc_id, start_word, end_word (exclusive), first_doc_id (a document that keeps it)."""
+    """Repeated passages: doc_id, start_word, end_word (exclusive), first_doc_id (the smallest that holds a part of it)."""
     part = min_words - window + 1
     if part < k or window < 1:
         raise ValueError("min_words must be at least window + k - 1")
@@ -92,51 +86,46 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int
             for a, b in slices(offsets, CHUNK):
                 starts, ends, first = words(data, offsets[a : b + 1])
                 name, text, start = suffixes(word_hashes(data, starts, ends), first, min_words, k, window)
-                yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(ids[a:b][text].astype(np.int64)), pa.array(start.astype(np.int32))], names=["name", "doc_id", "start"])
+                yield _places(name, ids[a:b][text], start)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, keeper, at, classes = None, 0, 0, 0
-        names = ["doc_id", "start", "name", "keeper", "at", "state"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        out = lambda *columns: pa.record_batch([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, doc, start = (batch[c].to_numpy() for c in ("name", "doc_id", "start"))
-            if not len(name):
-                continue
-            new = np.append(last is None or name[0] != last, name[1:] != name[:-1])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(name)), -1))
-            first, place = np.where(head < 0, keeper, doc[head]), np.where(head < 0, at, start[head])
-            again = doc != first
-            leading = (classes + np.cumsum(new) == 1) & ~again  # a task before may hold the same name
-            keep = again | leading
-            yield out(doc[keep], start[keep], name[keep], first[keep], place[keep], leading[keep].astype(np.int32))
-            classes, last, keeper, at = classes + int(new.sum()), name[-1], first[-1], place[-1]
-        if last is not None:
-            yield out([keeper], [at], [last], [keeper], [at], [2])
-
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(select, "name long, doc_id long, start int")
-    sorted_ = rows.repartitionByRange("name", "doc_id", "start").sortWithinPartitions("name", "doc_id", "start")
-    marked = materialise(sorted_.mapInArrow(compare, "doc_id long, start int, name long, keeper long, at int, state int"), "suffixes")
-    crossing = marked.where("state > 0").groupBy("name").agg(F.min(F.struct("keeper", "at")).alias("k"))  # a few rows per task
-    late = marked.where("state = 1").select("doc_id", "start", "name").join(crossing, "name").where("k.keeper < doc_id").select("doc_id", "start", "k.keeper", "k.at")
-    found = marked.where("state = 0").select("doc_id", "start", "keeper", "at").union(late)
-    found = found.select("doc_id", "keeper", (F.col("at") - F.col("start")).alias("shift"), "start", (F.col("start") + part).alias("end"))
-    match = ["doc_id", "keeper", "shift"]
-    matches = materialise(_merged(found, match), "matches")
-    ends = matches.select(*match, "start", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("start").alias("own")), F.struct(F.lit(False).alias("left"), F.col("end").alias("own")))).alias("x"))
-    ends = materialise(ends.select(*match, "start", "x.*", (F.col("x.own") + F.col("shift")).alias("at")), "ends")
-    near = materialise(_contexts(docs, ends, window), "contexts")
-    own = near.select("doc_id", "left", F.col("at").alias("own"), F.col("words").alias("a"))
-    kept = near.select(F.col("doc_id").alias("keeper"), "left", "at", F.col("words").alias("b"))
-    both = ends.join(own, ["doc_id", "left", "own"]).join(kept, ["keeper", "left", "at"])
-    differs = F.array_position(F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    more = both.withColumn("n", F.when(differs > 0, differs - 1).otherwise(F.least(F.size("a"), F.size("b"))).cast("int"))
-    whole = more.groupBy(*match, "start").agg(F.max(F.when(F.col("left"), F.col("own") - F.col("n"))).alias("begin"), F.max(F.when(~F.col("left"), F.col("own") + F.col("n"))).alias("end"))
-    whole = whole.where(F.col("end") - F.col("begin") >= min_words).select("doc_id", F.col("begin").alias("start"), "end", "keeper")
-    spans = _merged(whole, ["doc_id"], F.min("keeper").alias("first_doc_id"))
+            data, offsets = utf8(batch["text"])
+            ids, counts = batch["doc_id"].to_numpy(), pc.list_value_length(batch["asked"]).to_numpy()
+            asked, bound = batch["asked"].flatten().to_numpy(), np.append(0, np.cumsum(counts))
+            for a, b in slices(offsets, CHUNK):
+                starts, ends, first = words(data, offsets[a : b + 1])
+                h = word_hashes(data, starts, ends)
+                name = grams(h, min_words)
+                if not len(name):
+                    continue
+                kg, shared = grams(h, k), np.repeat(first[:-1], counts[a:b]) + asked[bound[a] : bound[b]]
+                least = np.full(len(kg), np.iinfo(np.uint64).max)
+                shared = shared[shared < len(kg)]
+                least[shared] = kg[shared]
+                same = (_sliding(least, window, np.minimum) == _sliding(kg, window, np.minimum))[: len(name)]
+                text_of = np.repeat(np.arange(b - a), np.diff(first))[: len(name)]
+                s = np.flatnonzero(same & (np.arange(len(name)) + min_words <= first[1:][text_of]))
+                yield _places(name[s], ids[a:b][text_of[s]], s - first[text_of[s]])
+
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = materialise(rows.mapInArrow(select, PLACES), "suffixes")
+    asked = names.join(_shared(names), "name", "left_semi").groupBy("doc_id").agg(F.collect_list("start").alias("asked"))  # at most one for each word of the document
+    held = materialise(rows.join(asked, "doc_id").mapInArrow(windows, PLACES), "windows")
+    found = held.join(_shared(held), "name").where("first_doc_id < doc_id")
+    spans = _merged(found.select("doc_id", "start", (F.col("start") + min_words).alias("end"), "first_doc_id"), ["doc_id"], F.min("first_doc_id").alias("first_doc_id"))
     return spans.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "first_doc_id")
 
 
+def _places(name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(name.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32))], names=["name", "doc_id", "start"])
+
+
+def _shared(places: DataFrame) -> DataFrame:
+    """Names that several documents hold, and the first of these."""
+    return places.groupBy("name").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").select("name", "first_doc_id")
+
+
 def _merged(pieces: DataFrame, key: list[str], *aggregates: Column) -> DataFrame:
     """Stretches (start, end) of a key that touch become one."""
     order = Window.partitionBy(*key).orderBy("start", "end")
@@ -146,34 +135,6 @@ def _merged(pieces: DataFrame, key: list[str], *aggregates: Column) -> DataFrame
     return runs.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggregates).drop("run")
 
 
-def _contexts(docs: DataFrame, ends: DataFrame, window: int) -> DataFrame:
-    """Short hashes of the ``window`` words beyond each end of ``ends`` in both documents, nearest first."""
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch["text"])
-            ids, counts = batch["doc_id"].to_numpy(), pc.list_value_length(batch["asked"]).to_numpy()
-            asked = batch["asked"].flatten()
-            place, left = asked.field("at").to_numpy().astype(np.int64), asked.field("left").to_numpy(zero_copy_only=False)
-            bound = np.concatenate(([0], np.cumsum(counts)))
-            for a, b in slices(offsets, CHUNK):
-                starts, ends_, first = words(data, offsets[a : b + 1])
-                h = word_hashes(data, starts, ends_).astype(np.uint32).view(np.int32)
-                of = np.repeat(np.arange(b - a), counts[a:b])
-                at, back = place[bound[a] : bound[b]], left[bound[a] : bound[b]]
-                n = np.minimum(np.where(back, at, first[of + 1] - first[of] - at), window)
-                to = np.cumsum(n)
-                step = np.arange(int(n.sum())) - np.repeat(to - n, n)
-                index = np.repeat(first[of] + at - back, n) + np.where(np.repeat(back, n), -step, step)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, to).astype(np.int32)), pa.array(h[index]))
-                yield pa.record_batch([pa.array(ids[a:b][of]), pa.array(back), pa.array(at.astype(np.int32)), lists], names=["doc_id", "left", "at", "words"])
-
-    asked = ends.select("doc_id", "left", F.col("own").alias("at")).union(ends.select("keeper", "left", "at")).distinct()
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("left", "at")).alias("asked"))  # at most two for each word of the document
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id")
-    return texts.mapInArrow(look, "doc_id long, left boolean, at int, words array<int>")
-
-
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the words of ``spans`` and the white space after them; n_chars follows, where there is one."""
     held = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))

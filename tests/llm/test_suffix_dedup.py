@@ -70,6 +70,30 @@ def test_a_very_common_passage(spark):
     assert spans(repeats(df)) == {d: [(20, 90)] for d in range(1, 200)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_a_later_document_holds_the_whole_passage(spark, seed):
+    """The first document of a passage holds only part of it, and passages come in many versions."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(100000)}"
+    fill = lambda: [word() for _ in range(rng.randrange(5, 40))]
+    docs = []
+    for n in (52, 55, 60, 90):
+        for _ in range(5):
+            passage = [word() for _ in range(n)]
+            cut_ = rng.randrange(n - 48)
+            docs += [fill() + passage[cut_ : cut_ + 49] + fill(), fill() + passage + fill(), fill() + passage + fill()]
+    version = [word() for _ in range(100)]
+    for _ in range(60):
+        own = list(version)
+        for i in rng.sample(range(100), 2):
+            own[i] = word()
+        docs.append(fill() + own + fill())
+    texts = {d: " ".join(x) for d, x in enumerate(docs)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    got = {d: {i for a, b in s for i in range(a, b)} for d, s in spans(repeats(df)).items()}
+    assert got == windows(texts, 50)
+
+
 def test_table(documents, texts):
     want = windows(texts, 50)
     got = {d: {i for a, b in s for i in range(a, b)} for d, s in spans(repeats(documents)).items()}
