@@ -3,10 +3,10 @@
 Equal vectors are merged first and counted.  Coarse centroids and subspace codebooks
 are fitted on the ``SAMPLE`` vectors whose ids hash lowest; then every vector goes
 to the inverted list of its nearest centroid, as the codes of its residual, and
-visits every other list whose border is near enough: a link can only cross a
-border that is no farther than the links' length, and the part of a random
-displacement that points to the border is about length / sqrt(dimensions), of
-which ``PROBE`` times are searched.  Each pair of lists is searched from one side.
+visits every other list whose border is no farther than the links' length: a link
+cannot cross another border, so none is missed, whatever the vectors.  How many
+lists there are is chosen by what their visits on the sample would cost, as vectors
+without structure are near every border.  Each pair of lists is searched from one side.
 In a list, queries compare with members by asymmetric table lookups; pairs that the
 code's known error leaves possible are reranked by exact cosine in double
 precision.  Lists are cut into units of ``BLOCK`` members and ``BLOCK`` queries, so a
@@ -14,9 +14,6 @@ crowded list is many tasks.  A unit returns sums of links for each vector and a
 spanning star for each connected part, never pairs, and components of the stars
 give the classes.
 
-``PROBE`` is the only source of missed links; recall on the test tables is measured
-in tests/llm/test_product_quantiser.py.
-
 Results for odd input: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, and so do those whose length differs from the most
 common one of the sample.  Repeated rows are vectors of their own and link with each other.  A null
@@ -40,8 +37,11 @@ SAMPLE = 16384
 LISTS = 1024
 SUBSPACES = 16
 CODES = 256
-PROBE = 2.5
 BLOCK = 1024
+#: What sending a vector to a list costs, in comparisons.
+ROW = 500
+#: Most bytes of vectors in a batch that is dealt.
+DEALT = 32 << 20
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -57,15 +57,26 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 class Index:
     """Coarse centroids and the codebooks of residuals."""
 
-    def __init__(self, sample: np.ndarray, vectors: int, cosine: float, probe: float) -> None:
+    def __init__(self, sample: np.ndarray, vectors: int, cosine: float) -> None:
         self.dim, self.cosine = sample.shape[1], cosine
         self.length = (2 - 2 * cosine) ** 0.5
-        self.coarse = _kmeans(sample, max(1, min(LISTS, len(sample), int(vectors**0.5))), 10)
-        self.margin = min(self.length, probe * self.length / self.dim**0.5)
+        self.margin = self.length + 1e-6
+        self.coarse = self._lists(sample, vectors)
         self.cuts = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
         rest = sample - self.coarse[self.distances(sample).argmin(1)]
         self.books = [_kmeans(rest[:, a:b], min(CODES, len(rest)), 8) for a, b in zip(self.cuts, self.cuts[1:])]
 
+    def _lists(self, sample: np.ndarray, vectors: int) -> np.ndarray:
+        """Centroids, as many as cost least by the visits of a part of the sample."""
+        k, few, found = max(1, min(LISTS, len(sample), int(vectors**0.5))), sample[:1024], []
+        while k:
+            self.coarse = _kmeans(sample, k, 10)
+            visits = 1 + len(self.visits(few)[1]) / len(few)
+            found.append((visits * (ROW * -(-vectors // (k * BLOCK)) + vectors / k), len(found), self.coarse))
+            self.__dict__.pop("between", None)
+            k //= 4
+        return min(found)[2]
+
     def distances(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x * x).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T, 0)
 
@@ -131,7 +142,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, probe: float = PROBE) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     kind = vectors.schema["vec_id"].dataType.simpleString()
@@ -148,7 +159,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, probe: float = PROB
     links = None
     if dim:
         sample = np.array([x for x in picked if len(x) == dim])
-        index = Index(sample / np.linalg.norm(sample, axis=1, keepdims=True), usable.count(), cosine, probe)
+        index = Index(sample / np.linalg.norm(sample, axis=1, keepdims=True), usable.count(), cosine)
         shared = spark.sparkContext.broadcast(index)
         found = materialise(_search(usable, shared, dim), "found")
         links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -178,8 +189,11 @@ def _search(vectors: DataFrame, index, dim: int) -> DataFrame:
     count = vectors.select("x").mapInArrow(sizes, "list long, own long, visits long").groupBy("list").agg(F.sum("own"), F.sum("visits")).collect()  # at most LISTS rows
     blocks = {i: (-(-own // BLOCK), -(-(own + visits) // BLOCK)) for i, own, visits in count}
 
+    copies = sum(members for members, _ in blocks.values()) + max(asking for _, asking in blocks.values())
+    rows_at_once = max(1, DEALT // (8 * dim * copies))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, rows_at_once) for b in batches for i in range(0, len(b), rows_at_once)):
             x, ids, n = x_of(batch), batch["rep"].to_numpy().astype(np.int64), batch["n"].to_numpy()
             own, rows, lists = index.value.visits(x)
             h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessella.llm.product_quantiser import near_vectors
 
@@ -40,6 +41,13 @@ def test_planted(spark):
     check(spark, ids, x, 0.97)
 
 
+@pytest.mark.parametrize("inner", (2, 4, 8))
+def test_vectors_of_few_inner_dimensions(spark, inner):
+    rng = np.random.default_rng(inner)
+    x = rng.normal(size=(1200, inner)) @ rng.normal(size=(inner, 384 if inner == 4 else 64))
+    check(spark, np.arange(len(x)), x, 1)
+
+
 def test_a_crowded_group(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate((rng.normal(size=(300, 16)), rng.normal(size=16) * 5 + rng.normal(size=(2600, 16)) * 0.3, np.repeat(rng.normal(size=(1, 16)), 400, 0)))
