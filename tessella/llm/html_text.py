@@ -4,10 +4,11 @@ Each page becomes a tree.  Parts that are never article (scripts, menus, forms,
 headers, footers, sidebars, notices, adverts, comments) are left out of it.  Every
 other node gets its link-adjusted characters per tag (composite density); the node
 whose children's densities have the largest sum is found, the least density on
-its path to the body is the threshold, and of the nodes that reach it the one with
-the largest sum is the content.  Where the page itself marks the article, the
-content is that element.  The text of the whole subtree is returned, however
-short its paragraphs are.
+its path to the body is the threshold.  From the body down, every node that reaches
+the threshold marks the node with the largest sum in its subtree (the first of equal
+ones), and the content is all marked nodes, in page order.  Where the page itself marks
+the article, the content is that element.  The texts of whole subtrees are returned,
+however short their paragraphs are.
 
 Results for odd input: a null or empty page gives an empty text, and so does one
 without text outside the parts above.  Unclosed and stray tags are repaired as
@@ -159,22 +160,35 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def content(root: Node) -> Node:
+def content(root: Node) -> list[Node]:
+    """Nodes that hold the content, in page order; none stands in another."""
     order = _measure(root)
     best = max(reversed(order), key=lambda n: n.total)
-    threshold, node = best.density, best
-    while node.up is not None:
-        threshold = min(threshold, node.density)
-        node = node.up
-    best = max((n for n in reversed(order) if n.density >= threshold), key=lambda n: n.total, default=best)
     node = best
     while node is not None and node.tag not in ("article", "main"):
         node = node.up
     if node is not None:
-        return node
-    marked = [n for n in order if n.tag == "article" and n.chars]
-    inside = [n for n in marked if _within(n, best)] or [n for n in order if n.tag == "main" and n.chars and _within(n, best)]
-    return inside[0] if len(inside) == 1 else best
+        return [node]
+    found = [n for n in order if n.tag == "article" and n.chars]
+    inside = [n for n in found if _within(n, best)] or [n for n in order if n.tag == "main" and n.chars and _within(n, best)]
+    if len(inside) == 1:
+        return inside
+    threshold, node = best.density, best
+    while node.up is not None and node.tag != "body":
+        threshold = min(threshold, node.density)
+        node = node.up
+    top: dict[Node, Node] = {}
+    for n in order:
+        top[n] = max([n, *(top[x] for x in n.parts if isinstance(x, Node) and not x.out)], key=lambda x: x.total)
+    marked = {top[n] for n in order if n.chars and n.density >= threshold} | {best}
+    held, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n in marked:
+            held.append(n)
+        else:
+            todo += [x for x in reversed(n.parts) if isinstance(x, Node) and not x.out]
+    return held
 
 
 def _within(node: Node | None, other: Node) -> bool:
@@ -213,7 +227,7 @@ def blocks(top: Node) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(blocks(content(parse(page)))) if page else ""
+    return "\n".join(x for top in content(parse(page)) for x in blocks(top)) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

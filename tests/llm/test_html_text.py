@@ -23,6 +23,15 @@ def test_article_is_found(shell):
     assert main_text(PAGE.format(shell.format(BODY))) == WANT
 
 
+def test_an_article_in_sibling_containers():
+    """Without article or main, all containers that reach the threshold are returned."""
+    para = lambda i: f"Paragraph number {i} says a good deal about its subject, and goes on for some words more."
+    part = lambda name, numbers: f"<div class={name}>{''.join(f'<p>{para(i)}</p>' for i in numbers)}</div>"
+    links = "<div class=list><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>More</a></ul></div>"
+    page = f"<html><body>{links}{part('part1', range(6))}{part('part2', range(6, 9))}</body></html>"
+    assert main_text(page) == "\n".join(map(para, range(9)))
+
+
 def test_characters():
     assert main_text("<p>a &lt; b &eacute;&#233;&#xe9; &nbsp; c &unknown; d</p>") == "a < b ééé c &unknown; d"
     assert main_text("<p>x<!-- <p>no</p> -->y</p>") == "xy"
