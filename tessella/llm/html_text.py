@@ -33,6 +33,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math".split())
+#: Of these, the ones that nest and may close themselves.
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OUT = frozenset("head nav footer aside form button select option datalist menu dialog object embed canvas audio video map input fieldset".split()) | RAW
 #: Elements that stand in a paragraph without ending it.
@@ -74,6 +76,24 @@ def _left_out(tag: str, attributes: str, above: list[Node]) -> bool:
     return False
 
 
+def _raw_end(page: str, at: int, tag: str) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _foreign_end(page: str, at: int, tag: str, attributes: str) -> int:
+    """Where an svg or math element ends that opens before ``at``; if it never does, its opening tag is all of it."""
+    depth, end = not attributes.endswith("/"), at
+    while depth and (m := TAG.search(page, end)):
+        end = m.end()
+        if (m[2] or m[5] or "").lower() == tag:
+            if m[1] or m[4]:
+                depth -= 1
+            elif not (m[3] or m[6] or "").endswith("/"):
+                depth += 1
+    return at if depth else end
+
+
 def parse(page: str) -> Node:
     root = Node("html", None)
     stack, at = [root], 0
@@ -124,8 +144,7 @@ def parse(page: str) -> Node:
         if not stack[-1].out:
             stack[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = _foreign_end(page, at, tag, attributes) if tag in FOREIGN else _raw_end(page, at, tag)
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
     text(page[at:])

@@ -38,6 +38,12 @@ def test_characters():
     assert main_text("<article><p>A<script>if (a<b) c</script>B</p></article>") == "AB"
 
 
+@pytest.mark.parametrize("icon", ("<svg class=icon/>", '<svg class="icon" />', "<svg><svg><text>no</text></svg><text>no</text></svg>", "<math><mi>no</mi></math>", "<svg><svg/><text>no</text></svg>"))
+def test_inline_icons(icon):
+    assert main_text(f"<article><p>A{icon}B</p><p>C</p></article>") == "AB\nC"
+    assert main_text(f"<article><p>A{icon}B</p><p>C<svg><text>no</text></svg></p></article>") == "AB\nC"
+
+
 def test_tables_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     source = {r["page_id"]: r["html"] for r in pages.collect()}
