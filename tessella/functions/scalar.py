@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import CompilationError
+
 KINDS = ("sum", "max", "min")
 _BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
@@ -21,7 +23,7 @@ def is_element_type(kind: T.DataType) -> bool:
 def identity(reduction: str, kind: T.DataType) -> Column:
     """What a reduction of an empty segment gives: 0, the least or the greatest value of the type."""
     if reduction not in KINDS:
-        raise ValueError(f"unknown reduction kind {reduction!r}; expected one of {', '.join(KINDS)}")
+        raise CompilationError(f"unknown reduction kind {reduction!r}; expected one of {', '.join(KINDS)}")
     if reduction == "sum":
         return F.lit(0).cast(kind)
     if isinstance(kind, (T.FloatType, T.DoubleType)):

@@ -30,24 +30,30 @@ def lane(pos: Column, block: int) -> Column:
     return (pos % F.lit(block)).cast("bigint")
 
 
+def bounds_mask(pos: Column, n: int | Column) -> Column:
+    """The mask of lanes inside the first ``n`` elements; masks combine with & and |."""
+    return pos < n
+
+
 def grid(spark: SparkSession, n: int, block: int) -> DataFrame:
     """(pos, pid, lane, active): every lane of every program over n elements."""
     rows = spark.range(-(-n // block) * block).select(F.col("id").alias("pos"))
-    return rows.select("pos", program_id(F.col("pos"), block).alias("pid"), lane(F.col("pos"), block).alias("lane"), (F.col("pos") < n).alias("active"))
+    return rows.select("pos", program_id(F.col("pos"), block).alias("pid"), lane(F.col("pos"), block).alias("lane"), bounds_mask(F.col("pos"), n).alias("active"))
 
 
-def load(lanes: DataFrame, data: DataFrame, value: str, n: int, other: float = 0.0, name: str = "x") -> DataFrame:
-    """Masked load: ``value`` of ``data`` (pos, value) at each lane's pos, ``other`` where the mask is off."""
+def load(lanes: DataFrame, data: DataFrame, value: str, mask: Column, other: float = 0.0, name: str = "x") -> DataFrame:
+    """Masked load: ``value`` of ``data`` (pos, value) at each lane's pos, ``other`` where ``mask``, a condition on the lanes, is off."""
     kind = data.schema[value].dataType
-    found = lanes.join(data.select("pos", F.col(value).alias(name)), "pos", "left")
-    return found.withColumn(name, F.when(F.col("pos") < n, F.col(name)).otherwise(F.lit(other).cast(kind)))
+    asked = lanes.withColumn("__on", F.coalesce(mask, F.lit(False)))
+    found = asked.join(data.select("pos", F.col(value).alias(name)), "pos", "left")
+    return found.withColumn(name, F.when(F.col("__on"), F.col(name)).otherwise(F.lit(other).cast(kind))).drop("__on")
 
 
-def store(lanes: DataFrame, value: Column, n: int, name: str = "out") -> DataFrame:
+def store(lanes: DataFrame, value: Column, mask: Column, name: str = "out") -> DataFrame:
     """Masked store: (pos, out) of the lanes whose mask is on."""
-    return lanes.where(F.col("pos") < n).select("pos", value.alias(name))
+    return lanes.where(mask).select("pos", value.alias(name))
 
 
 def vector_add(data: DataFrame, x: str, y: str, n: int) -> DataFrame:
     """(pos, out): x + y of the first n elements, in single precision."""
-    return store(data, F.col(x).cast("float") + F.col(y).cast("float"), n)
+    return store(data, F.col(x).cast("float") + F.col(y).cast("float"), bounds_mask(F.col("pos"), n))

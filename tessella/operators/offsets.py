@@ -1,62 +1,92 @@
-"""Offsets: prefix sums of extents, and their validation."""
+"""Offsets: prefix sums of extents, and the rules that bounds of segments must keep."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import CompilationError
 
-BUCKETS = 1024
+BUCKETS = 256
+MOST = (1 << 31) - 1
+
+
+def _bucket(x: Column, cuts: Sequence[int], first: int = 0) -> Column:
+    """Number of the range between sorted ``cuts`` that holds ``x``, by binary search in generated code."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(x <= cuts[middle], _bucket(x, cuts[:middle], first)).otherwise(_bucket(x, cuts[middle + 1 :], first + middle + 1))
+
+
+def dealt(rows: DataFrame, key: str = "sid", buckets: int = BUCKETS) -> DataFrame:
+    """``rows`` with a bucket: ranges of ``key`` in order, of about equal numbers of rows however the keys lie."""
+    shares = [(i + 1) / buckets for i in range(buckets - 1)]
+    found = rows.agg(F.percentile_approx(key, shares, 10 * buckets)).first()[0] if shares else None
+    return rows.withColumn("bucket", _bucket(F.col(key), sorted(set(found or ()))))
 
 
 def offsets(extents: DataFrame, extent: str = "extent", buckets: int = BUCKETS) -> DataFrame:
     """(sid, lo, hi): bounds of segments laid one after the other in order of an integer sid.
 
-    Sums run inside ranges of sid; only one row for each of at most ``buckets``
-    ranges meets in one task.
+    Sums run inside ranges of sid that hold about as many segments each; only one row
+    for each of at most ``buckets`` ranges meets in one task.
     """
-    span = extents.agg(F.min("sid").alias("least"), F.max("sid").alias("most")).first()
-    least, width = span.least or 0, max(1, -(-((span.most or 0) - (span.least or 0) + 1) // buckets))
-    dealt = extents.withColumn("bucket", F.floor((F.col("sid") - least) / width))
-    whole = dealt.groupBy("bucket").agg(F.sum(extent).alias("n"))
+    ranged = dealt(extents, "sid", buckets)
+    whole = ranged.groupBy("bucket").agg(F.sum(extent).alias("n"))
     running = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     starts = whole.select("bucket", (running - F.col("n")).alias("start"))
     inside = F.sum(extent).over(Window.partitionBy("bucket").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    ends = dealt.withColumn("end", inside).join(F.broadcast(starts), "bucket")  # at most ``buckets`` rows
+    ends = ranged.withColumn("end", inside).join(F.broadcast(starts), "bucket")  # at most ``buckets`` rows
     return ends.select("sid", (F.col("start") + F.col("end") - F.col(extent)).cast("bigint").alias("lo"), (F.col("start") + F.col("end")).cast("bigint").alias("hi"))
 
 
-def violations(bounds: DataFrame, value_count: int) -> DataFrame:
-    """One row of counts of broken rules in ``bounds`` (sid, lo, hi): negative, decreasing and beyond the values."""
-    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias
-    return bounds.agg(
-        F.count("*").alias("segments"),
-        n((F.col("lo") < 0) | (F.col("hi") < 0))("negative"),
-        n(F.col("hi") < F.col("lo"))("decreasing"),
-        n(F.col("hi") > value_count)("beyond"),
-    )
+#: What a row of bounds breaks; ``before`` is the end of the segment before it (0 for the first one).
+RULES = {
+    "negative": "lo < 0 OR hi < 0",
+    "backward": "hi < lo",
+    "beyond": "hi > values",
+    "late_start": "first AND lo <> 0",
+    "gap": "NOT first AND lo > before",
+    "overlap": "NOT first AND lo < before",
+    "wide": f"abs(lo) > {MOST} OR abs(hi) > {MOST}",
+}
+
+
+def violations(bounds: DataFrame, value_count: int, buckets: int = BUCKETS) -> DataFrame:
+    """One row: the number of segments in ``bounds`` (sid, lo, hi), and of those that break each of ``RULES``.
+
+    Segments follow each other in order of sid.  The end of the one before comes from
+    the same range of sids, or for the first of a range from the last of an earlier one,
+    of which there are at most ``buckets``.
+    """
+    ranged = dealt(bounds, "sid", buckets)
+    order = Window.partitionBy("bucket").orderBy("sid")
+    lasts = ranged.groupBy("bucket").agg(F.max_by("hi", "sid").alias("last")).select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("carried"))
+    rows = ranged.withColumn("own", F.lag("hi").over(order)).join(F.broadcast(lasts), "bucket")  # at most ``buckets`` rows
+    before = F.coalesce("own", "carried")
+    rows = rows.select("lo", "hi", F.coalesce(before, F.lit(0)).alias("before"), before.isNull().alias("first"), F.lit(value_count).alias("values"))
+    return rows.agg(F.count("*").alias("segments"), *(F.count_if(F.expr(rule)).alias(name) for name, rule in RULES.items()))
+
+
+def require(bounds: DataFrame, value_count: int, outputs: int | None = None) -> None:
+    """Raises :class:`CompilationError` that names every rule ``bounds`` break and how often; ``outputs`` rows must take the results."""
+    broken = [f"{name} ({size})" for name, size in (("values", value_count), ("outputs", outputs)) if size is not None and not 0 <= size <= MOST]
+    if broken:
+        raise CompilationError(f"sizes outside 0..2^31-1: {', '.join(broken)}")
+    found = violations(bounds, value_count).first().asDict()
+    segments = found.pop("segments")
+    broken = [f"{name}: {n}" for name, n in found.items() if n]
+    if outputs is not None and segments > outputs:
+        broken.append(f"{segments} segments for {outputs} outputs")
+    if broken:
+        raise CompilationError(f"bounds break rules: {'; '.join(broken)}")
 
 
-def validate_offsets(values: list[int], value_count: int, output_count: int | None = None) -> None:
-    """Checks a list of offsets: starts at zero, 32 bits, not negative, not decreasing, inside the values and the output."""
-    for name, count in (("value count", value_count), ("output count", output_count or 0)):
-        if not 0 <= count < 1 << 31:
-            raise CompilationError(f"{name} must be a nonnegative i32")
+def bounds_of(spark: SparkSession, values: Sequence[int]) -> DataFrame:
+    """(sid, lo, hi) of a list of offsets, which has an entry more than there are segments."""
     if not values:
-        raise CompilationError("offsets must not be empty")
-    if any(x < 0 for x in values):
-        raise CompilationError("offsets must not be negative")
-    if values[0] != 0:
-        raise CompilationError("offsets must start at zero")
-    if any(b < a for a, b in zip(values, values[1:])):
-        raise CompilationError("offsets must be nondecreasing")
-    if values[-1] > value_count:
-        raise CompilationError("last offset exceeds value count")
-    if output_count is not None and output_count < len(values) - 1:
-        raise CompilationError(f"output has {output_count} elements for {len(values) - 1} segments")
-
-
-def bounds_of(spark, values: list[int]) -> DataFrame:
-    """(sid, lo, hi) of a list of offsets."""
+        raise CompilationError("a list of offsets has at least one entry")
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(values, values[1:]))], "sid bigint, lo bigint, hi bigint")

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import identity
+from ..errors import CompilationError
+from ..functions.scalar import KINDS, identity
 from ..plans.segments import Segments
 
 TILE = 128
@@ -29,7 +30,13 @@ def split_merge(segments: Segments, kind: str, salt: Column, parts: int = 8, nam
     Reductions are associative and commutative, so a hot segment can be split: its
     parts are reduced in different tasks and only their results meet.
     """
-    salted = segments.elements.withColumn("part", F.pmod(salt, F.lit(parts)))
+    return _in_parts(segments, kind, F.pmod(salt, F.lit(parts)), name)
+
+
+def _in_parts(segments: Segments, kind: str, part: Column, name: str) -> DataFrame:
+    if kind not in KINDS:
+        raise CompilationError(f"unknown reduction kind {kind!r}; expected one of {', '.join(KINDS)}")
+    salted = segments.elements.withColumn("part", part)
     make = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
     partial = salted.groupBy("sid", "part").agg(make("v").alias("p"), F.max(F.isnan(F.col("v").cast("double"))).alias("nan"))
     merged = partial.groupBy("sid").agg(make("p").alias("p"), F.max("nan").alias("nan"))
@@ -39,11 +46,12 @@ def split_merge(segments: Segments, kind: str, salt: Column, parts: int = 8, nam
     return segments.domain.join(found, "sid", "left").select("sid", F.coalesce(F.col(name), identity(kind, found.schema[name].dataType)).alias(name))
 
 
-def mixed(segments: Segments, kind: str, salt: Column, limit: int = 1024, name: str = "out") -> DataFrame:
-    """Long segments are split and merged, the others reduced at once."""
-    extents = segments.extent()
-    long = extents.where(F.col("extent") > limit).select("sid")
-    rest = extents.where(F.col("extent") <= limit).select("sid")
-    far = Segments(long, segments.elements.join(long, "sid", "left_semi"))
-    near = Segments(rest, segments.elements.join(rest, "sid", "left_semi"))
-    return split_merge(far, kind, salt, name=name).unionByName(near.reduce(kind, name=name))
+def mixed(segments: Segments, kind: str, salt: Column, limit: int = 1024, parts: int = 8, name: str = "out") -> DataFrame:
+    """Long segments are split and merged, the others reduced in one part, in one pass over the elements.
+
+    The segments of more than ``limit`` elements, of which there are at most elements /
+    ``limit``, are sent to all tasks.
+    """
+    long = segments.elements.groupBy("sid").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("sid", F.lit(True).alias("long"))
+    marked = segments.elements.join(F.broadcast(long), "sid", "left")
+    return _in_parts(Segments(segments.domain, marked), kind, F.when(F.col("long"), F.pmod(salt, F.lit(parts))).otherwise(0), name)

@@ -42,12 +42,22 @@ class Program:
                 raise CompilationError(f"{self.__name__}: columns {wrong} don't have the types of the signature")
         try:
             out = self.function(data, **constants)
-        except AnalysisException as e:
-            raise CompilationError(f"{self.__name__}: {e}") from e
+        except (AnalysisException, CompilationError) as e:
+            raise CompilationError(f"{self._place(e)}: {self.__name__}: {e}") from e
         if not isinstance(out, DataFrame):
             raise CompilationError(f"{self.__name__}: a program must return a DataFrame")
         return out
 
+    def _place(self, error: BaseException) -> str:
+        """file:line:column of the expression of the program that raised; its first line where the traceback doesn't say."""
+        code, place, trace = self.function.__code__, None, error.__traceback__
+        while trace is not None:
+            if trace.tb_frame.f_code is code:
+                line, _, column, _ = list(code.co_positions())[trace.tb_lasti // 2]
+                place = f"{code.co_filename}:{line or trace.tb_lineno}:{(column or 0) + 1}"
+            trace = trace.tb_next
+        return place or f"{code.co_filename}:{code.co_firstlineno}:1"
+
     def explain(self, data: DataFrame, constants: Mapping[str, Any] | None = None) -> None:
         self.plan(data, constants).explain("formatted")
 

@@ -19,6 +19,12 @@ from ..functions.scalar import KINDS, identity, is_element_type, nan_max, nan_mi
 from .region import Region, region_type
 
 
+#: Positions of a segment that are spelled out in one row.
+CHUNK = 4096
+#: Elements from which a segment's captures are reduced in parts, where asked for.
+HOT = 1 << 20
+
+
 def _same(x: Column) -> Column:
     return x
 
@@ -26,11 +32,12 @@ def _same(x: Column) -> Column:
 class Segments:
     """domain: (sid); elements: (sid, v) with pos if ordered, and captured scalars."""
 
-    def __init__(self, domain: DataFrame, elements: DataFrame, captured: Sequence[str] = ()) -> None:
+    def __init__(self, domain: DataFrame, elements: DataFrame, captured: Sequence[str] = (), hot: int | None = None) -> None:
         kind = elements.schema["v"].dataType
         if not is_element_type(kind):
             raise CompilationError(f"element type must be an integer or float, not {kind.simpleString()}")
         self.domain, self.elements, self.captured, self.kind = domain, elements, tuple(captured), kind
+        self.hot = hot
 
     # -- construction
 
@@ -57,11 +64,13 @@ class Segments:
     def from_csr(cls, values: DataFrame, offsets: DataFrame) -> Segments:
         """Segments are values[lo:hi) of ``values`` (pos, v) by the bounds of ``offsets`` (sid, lo, hi).
 
-        Positions are spelled out and joined by equality; values that no bounds hold
-        belong to no segment.
+        Positions are spelled out and joined by equality, chunk by chunk, so that a hot
+        segment is many rows and never one array; values that no bounds hold belong to
+        no segment.
         """
-        held = F.when(F.col("hi") > F.col("lo"), F.sequence("lo", F.col("hi") - 1))
-        places = offsets.select("sid", "lo", F.explode(held).alias("at"))
+        heads = F.when(F.col("hi") > F.col("lo"), F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK)))
+        chunks = offsets.select("sid", "lo", "hi", F.explode(heads).alias("head"))
+        places = chunks.select("sid", "lo", F.explode(F.sequence("head", F.least(F.col("head") + CHUNK, "hi") - 1)).alias("at"))
         elements = places.join(values.select(F.col("pos").alias("at"), "v"), "at").select("sid", "v", (F.col("at") - F.col("lo")).alias("pos"), F.col("at").alias("at"))
         return cls(offsets.select("sid"), elements)
 
@@ -89,7 +98,15 @@ class Segments:
     def map(self, region: Region, captures: Sequence[str] = ()) -> Segments:
         """Each element transformed; the type may change."""
         out, _ = self._checked(region, captures)
-        return Segments(self.domain, self.elements.withColumn("v", out), self.captured)
+        return Segments(self.domain, self.elements.withColumn("v", out), self.captured, self.hot)
+
+    def spread(self, hot: int = HOT) -> Segments:
+        """The same segments; captures of those with over ``hot`` elements are reduced in parts, not in one task's window.
+
+        Each capture then reads the elements twice.  Where no segment is that large the
+        window's single pass is cheaper.
+        """
+        return Segments(self.domain, self.elements, self.captured, hot)
 
     def _aggregate(self, kind: str, region: Region, captures: Sequence[str]):
         if kind not in KINDS:
@@ -109,17 +126,24 @@ class Segments:
     def capture(self, name: str, kind: str, region: Region = _same, captures: Sequence[str] = ()) -> Segments:
         """A reduction of each segment, as a scalar that later regions can capture."""
         x, make, _ = self._aggregate(kind, region, captures)
+        if self.hot is not None:
+            found = self.elements.groupBy("sid").agg(make(x).alias(name), F.count("*").alias("__n"))
+            large = found.where(F.col("__n") > self.hot).select("sid", F.col(name).alias("__hot"), F.lit(True).alias("__is_hot"))  # at most rows / hot
+            marked = self.elements.join(F.broadcast(large), "sid", "left")
+            cold = marked.where("__is_hot IS NULL").drop("__hot", "__is_hot").join(found.where(F.col("__n") <= self.hot).drop("__n"), "sid")
+            wide = marked.where("__is_hot").withColumnRenamed("__hot", name).drop("__is_hot")
+            return Segments(self.domain, cold.unionByName(wide), (*self.captured, name), self.hot)
         over = Window.partitionBy("sid")
         if make is nan_min:
             value = F.when(F.max(F.isnan(x)).over(over), F.lit(float("nan"))).otherwise(F.min(x).over(over))
         else:
             value = make(x).over(over)
-        return Segments(self.domain, self.elements.withColumn(name, value), (*self.captured, name))
+        return Segments(self.domain, self.elements.withColumn(name, value), (*self.captured, name), self.hot)
 
     def with_scalars(self, scalars: DataFrame) -> Segments:
         """Scalars from a table with one row for each sid, as captures."""
         names = [c for c in scalars.columns if c != "sid"]
-        return Segments(self.domain, self.elements.join(scalars, "sid", "left"), (*self.captured, *names))
+        return Segments(self.domain, self.elements.join(scalars, "sid", "left"), (*self.captured, *names), self.hot)
 
     def map_store(self, region: Region, captures: Sequence[str] = (), name: str = "out") -> DataFrame:
         """(sid, pos, out): each element transformed, in its own place."""
@@ -140,6 +164,6 @@ class Segments:
         return both.select("sid", "pos", F.when(matched, region(F.col("a"), F.col("b"))).otherwise(F.raise_error(F.lit("zipped segments must have equal extents"))).alias(name))
 
     def softmax(self, name: str = "out") -> DataFrame:
-        """Stable softmax inside each segment: three stages over one shuffle."""
+        """Stable softmax inside each segment: three stages over one shuffle, or in parts after :meth:`spread`."""
         s = self.map(lambda x: x.cast("double")).capture("m", "max").capture("d", "sum", lambda x, m: F.exp(x - m), ["m"])
         return s.map_store(lambda x, m, d: F.exp(x - m) / d, ["m", "d"], name)

@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ieee_divide, to_int
+from .functions import float32, ieee_divide, to_int
 from .operators import arrays, blocks, schedule
-from .operators.offsets import offsets, violations
-from .plans import Segments
+from .operators.offsets import RULES, bounds_of, offsets, violations
+from .plans import Segments, jit
 from .sources import read_table
 
 #: A total order of the lines of an order.
@@ -172,6 +172,14 @@ def softmax_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir, ordered=True).softmax().withColumn("out", F.round("out", 6))
 
 
+@query(_softmax_sql("(SELECT event_id, CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS sid_, value FROM events)", "sid_", "row_number() OVER (PARTITION BY sid_ ORDER BY event_id) - 1", "value"))
+def softmax_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One segment holds half of all elements: its scalars are reduced in parts."""
+    rows = read_table(spark, sf_dir, "events").withColumn("user_id", F.when(F.col("event_id") % 2 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    s = Segments.from_keys(rows.select("user_id").distinct(), rows, "user_id", "user_id", "value", ("event_id",))
+    return s.spread(400).softmax().withColumn("out", F.round("out", 6))
+
+
 @query("""
 WITH e AS (SELECT vec_id AS sid, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
      t AS (SELECT sid, pos, v, max(v) OVER (PARTITION BY sid) AS m FROM e)
@@ -210,26 +218,65 @@ def block_vector_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH g AS (SELECT unnest(range(CAST(ceil(n / {BLOCK}.0) AS BIGINT) * {BLOCK})) AS pos, n FROM (SELECT count(*) AS n FROM events))
-SELECT pos, pos // {BLOCK} AS pid, pos % {BLOCK} AS lane, CASE WHEN pos < n THEN value ELSE 7.0 END AS x FROM g LEFT JOIN events ON event_id = pos
+SELECT pos, pos // {BLOCK} AS pid, pos % {BLOCK} AS lane, CASE WHEN pos < n AND pos % {BLOCK} % 3 <> 0 THEN value ELSE 7.0 END AS x FROM g LEFT JOIN events ON event_id = pos
 """)
 def block_masked_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask made of two conditions; lanes outside get the given value."""
     data = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), "value")
     n = data.count()
-    return blocks.load(blocks.grid(spark, n, BLOCK), data, "value", n, other=7.0).select("pos", "pid", "lane", "x")
+    mask = blocks.bounds_mask(F.col("pos"), n) & (F.col("lane") % 3 != 0)
+    return blocks.load(blocks.grid(spark, n, BLOCK), data, "value", mask, other=7.0).select("pos", "pid", "lane", "x")
+
+
+@query(f"SELECT event_id AS pos, event_id // {BLOCK} AS pid, CAST(CAST(value AS FLOAT) AS DOUBLE) AS out FROM events WHERE event_id < (SELECT count(*) FROM events) - 5 AND event_id % {BLOCK} < 100")
+def block_masked_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that store the first hundred lanes of all but the last five elements."""
+    rows = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), float32(F.col("value")).alias("x"))
+    n = rows.count()
+    mask = blocks.bounds_mask(F.col("pos"), n - 5) & (blocks.lane(F.col("pos"), BLOCK) < 100)
+    out = blocks.store(rows, F.col("x"), mask)
+    return out.select("pos", blocks.program_id(F.col("pos"), BLOCK).alias("pid"), F.col("out").cast("double").alias("out"))
+
+
+@jit
+def scaled_sum(data: DataFrame, SCALE: int, n: int = 0) -> DataFrame:
+    """(sid, out): sums of scaled values whose positions are under n, as a program."""
+    held = Segments(data.select("sid").distinct(), data.where(F.col("pos") < n).select("sid", "v"))
+    return held.reduce("sum", lambda x: x * SCALE)
+
+
+@query("SELECT user_id AS sid, coalesce(sum(CAST(round(value * 100) AS BIGINT) * 3) FILTER (event_id < (SELECT count(*) FROM events) // 2), 0)::BIGINT AS out FROM events GROUP BY 1")
+def program_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deferred program, planned with its constants and the schema its input must have."""
+    rows = read_table(spark, sf_dir, "events")
+    data = rows.select(F.col("user_id").alias("sid"), F.col("event_id").alias("pos"), F.round(F.col("value") * 100).cast("bigint").alias("v"))
+    return scaled_sum.plan(data, {"SCALE": 3, "n": rows.count() // 2}, schema=data.schema)
+
+
+@query(f"SELECT l_orderkey AS sid, CAST({LINES} AS BIGINT) AS pos, CAST(CAST(l_extendedprice / 3 AS FLOAT) AS DOUBLE) AS out FROM lineitem")
+def map_float32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The element type narrows to single precision."""
+    s = lines(spark, sf_dir, ordered=True, value="l_extendedprice").map(lambda x: float32(x / 3))
+    return s.map_store(lambda x: x.cast("double"))
 
 
 @query(f"""
-WITH b AS ({BOUNDS}), n AS (SELECT count(*) AS c FROM lineitem)
-SELECT 'good' AS offsets, count(*) AS segments, count(*) FILTER (lo < 0) AS negative, count(*) FILTER (hi < lo) AS decreasing, count(*) FILTER (hi > c) AS beyond FROM b, n
-UNION ALL
-SELECT 'bad', count(*), count(*) FILTER (lo - 3 < 0 OR hi - 5 < 0), count(*) FILTER (hi - 5 < lo - 3), count(*) FILTER (hi - 5 > c - 9) FROM b, n
+WITH b AS ({BOUNDS}), n AS (SELECT count(*) AS c FROM lineitem),
+     bad AS (SELECT sid, CASE WHEN sid % 10 = 3 THEN lo + 1 ELSE lo END + 2 AS lo, hi + 2 AS hi FROM b),
+     r AS (SELECT *, lag(hi) OVER (ORDER BY sid) AS before FROM bad)
+SELECT 'bad' AS offsets, count(*) AS segments, count(*) FILTER (lo < 0 OR hi < 0) AS negative, count(*) FILTER (hi < lo) AS backward, count(*) FILTER (hi > c) AS beyond,
+       count(*) FILTER (before IS NULL AND lo <> 0) AS late_start, count(*) FILTER (lo > before) AS gap, count(*) FILTER (lo < before) AS overlap, count(*) FILTER (abs(lo) > 2147483647 OR abs(hi) > 2147483647) AS wide FROM r, n
+UNION ALL SELECT 'good', count(*), 0, 0, 0, 0, 0, 0, 0 FROM b
+UNION ALL SELECT 'list', 4, 0, 1, 1, 1, 0, 0, 0
 """)
 def validate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of broken rules for good offsets and for shifted ones."""
+    """How many segments break each rule: of good offsets, of shifted ones with holes, and of a list."""
     bounds, n = segment_offsets(spark, sf_dir), read_table(spark, sf_dir, "lineitem").count()
-    good = violations(bounds, n).withColumn("offsets", F.lit("good"))
-    shifted = bounds.select("sid", (F.col("lo") - 3).alias("lo"), (F.col("hi") - 5).alias("hi"))
-    return good.unionByName(violations(shifted, n - 9).withColumn("offsets", F.lit("bad")))
+    moved = F.col("lo") + F.when(F.col("sid") % 10 == 3, 3).otherwise(2)
+    bad = bounds.select("sid", moved.alias("lo"), (F.col("hi") + 2).alias("hi"))
+    cases = {"good": (bounds, n), "bad": (bad, n), "list": (bounds_of(spark, [1, 4, 3, 5, 9]), 8)}
+    found = [violations(b, most).select(F.lit(name).alias("offsets"), "segments", *RULES) for name, (b, most) in cases.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(f"SELECT CAST(lo // 128 AS BIGINT) AS task, count(*) AS segments, CAST(sum(hi - lo) AS BIGINT) AS elements FROM ({BOUNDS}) GROUP BY 1")

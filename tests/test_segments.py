@@ -10,35 +10,29 @@ from pyspark.sql import functions as F
 from tessella import CompilationError, Segments, jit
 from tessella.functions import ieee_divide
 from tessella.operators import arrays, blocks, schedule
-from tessella.operators.offsets import bounds_of, offsets, validate_offsets, violations
+from tessella.operators.offsets import bounds_of, offsets, require, violations
 from tessella.plans import region_type
 from tessella.report import report
 from tessella.sources import write_aligned
 
 INF = math.inf
-#: Lengths of segments; element i of the flat column is ((i % 17) - 8) / 4.
-LENGTHS = {
-    "empty": [0],
-    "singleton": [1],
-    "block-boundary": [128],
-    "non-multiple": [129],
-    "large": [4097],
-    "uniform": [33, 33, 33, 33],
-    "skewed": [1, 257, 2, 3837],
-    "repeated-empty": [0, 2, 0, 0, 3],
-}
-EXPECTED = {
-    "empty": ([0], [-INF], [INF]),
-    "singleton": ([-2], [-2], [-2]),
-    "block-boundary": ([-9], [2], [-2]),
-    "non-multiple": ([-8.75], [2], [-2]),
-    "large": ([0], [2], [-2]),
-    "uniform": ([-2, -1.75, -1.5, -1.25], [2, 2, 2, 2], [-2, -2, -2, -2]),
-    "skewed": ([-2, -3.25, -2.25, 7.5], [-2, 2, -1, 2], [-2, -2, -1.25, -2]),
-    "repeated-empty": ([0, -3.75, 0, 0, -3.75], [-INF, -1.75, -INF, -INF, -1], [INF, -2, INF, INF, -1.5]),
+#: Lengths of segments that stand for a shape each.
+SHAPES = {
+    "nothing": [0],
+    "one value": [1],
+    "alike": [40] * 5,
+    "a chunk and a bit": [4096, 1],
+    "lopsided": [3, 900, 1, 5200, 0],
+    "holes": [0, 0, 4, 0, 7, 0],
+    "falling": list(range(60, 0, -7)),
 }
 
 
+def value(i):
+    """Eighths, so sums are exact in any order."""
+    return (i * 7 % 23 - 9) / 8
+
+
 def ends(lengths):
     out = [0]
     for n in lengths:
@@ -55,25 +49,27 @@ def by_sid(df, column="out"):
     return [r[column] for r in df.orderBy("sid").collect()]
 
 
-@pytest.mark.parametrize("name", LENGTHS)
-def test_distributions(spark, name):
-    offs = ends(LENGTHS[name])
-    s = csr(spark, [((i % 17) - 8) / 4 for i in range(offs[-1])], offs)
-    for kind, want in zip(("sum", "max", "min"), EXPECTED[name]):
+@pytest.mark.parametrize("name", SHAPES)
+def test_shapes(spark, name):
+    offs = ends(SHAPES[name])
+    values = [value(i) for i in range(offs[-1])]
+    held = [values[a:b] for a, b in zip(offs, offs[1:])]
+    s = csr(spark, values, offs)
+    for kind, fold, empty in (("sum", sum, 0), ("max", max, -INF), ("min", min, INF)):
+        want = [fold(x) if x else empty for x in held]
         assert by_sid(s.reduce(kind)) == want
         assert by_sid(schedule.split_merge(s, kind, F.col("at"))) == want
         assert by_sid(schedule.mixed(s, kind, F.col("at"), limit=100)) == want
-    assert by_sid(s.extent(), "extent") == LENGTHS[name]
+    assert by_sid(s.extent(), "extent") == SHAPES[name]
 
 
-def test_golden_run_and_orphans(spark):
-    assert by_sid(csr(spark, [2.0, 3.0, 4.0, 5.0], [0, 0, 1, 4, 4]).reduce("sum")) == [0, 2, 12, 0]
-    assert by_sid(csr(spark, [2.0, 3.0, 4.0, 5.0], [0, 1, 3]).reduce("sum")) == [2, 7]  # the last value belongs to none
+def test_values_that_no_segment_holds(spark):
+    assert by_sid(csr(spark, [6.0, 0.5, 8.0], [0, 0, 2, 2]).reduce("sum")) == [0, 6.5, 0]
 
 
 def test_nan_wins(spark):
-    s = csr(spark, [1.0, math.nan, 3.0, 4.0, 5.0], [0, 3, 3, 5])
-    for kind, empty, last in (("max", -INF, 5.0), ("min", INF, 4.0), ("sum", 0.0, 9.0)):
+    s = csr(spark, [math.nan, 2.5, 7.0, 6.0], [0, 2, 2, 4])
+    for kind, empty, last in (("max", -INF, 7.0), ("min", INF, 6.0), ("sum", 0.0, 13.0)):
         for out in (by_sid(s.reduce(kind)), by_sid(schedule.split_merge(s, kind, F.col("at")))):
             assert math.isnan(out[0]) and out[1:] == [empty, last]
 
@@ -90,7 +86,7 @@ def test_no_segments(spark):
 
 
 def test_repeatable(spark):
-    s = csr(spark, [((i % 17) - 8) / 4 for i in range(131)], ends([0, 2, 0, 129]))
+    s = csr(spark, [value(i) for i in range(300)], ends([250, 0, 50]))
     assert by_sid(s.reduce("sum")) == by_sid(s.reduce("sum"))
 
 
@@ -98,7 +94,7 @@ def test_repeatable(spark):
 @given(st.lists(st.integers(0, 6), min_size=1, max_size=8))
 def test_softmax_sums_to_one(spark, lengths):
     offs = ends(lengths)
-    s = csr(spark, [((i % 17) - 8) * 50.0 for i in range(offs[-1])], offs, "double")
+    s = csr(spark, [value(i) * 400 for i in range(offs[-1])], offs, "double")
     out = s.softmax().groupBy("sid").agg(F.sum("out").alias("p")).collect()
     assert len(out) == sum(n > 0 for n in lengths)
     assert all(abs(r["p"] - 1) < 1e-9 for r in out)
@@ -139,6 +135,7 @@ def test_region_errors(spark):
         (lambda: s.map(lambda x: x + F.rand()), "deterministic"),
         (lambda: s.map(lambda x: 3), "must return a column"),
         (lambda: s.reduce("mul"), "unknown reduction kind"),
+        (lambda: schedule.split_merge(s, "mul", F.col("at")), "unknown reduction kind"),
         (lambda: csr(spark, ["a"], [0, 1], "string"), "element type"),
     ):
         with pytest.raises(CompilationError, match=text):
@@ -153,21 +150,43 @@ def test_zip(spark):
         a.zip(csr(spark, [4.0, 5.0, 6.0], [0, 2, 3]), lambda x, y: x * y).collect()
 
 
-@pytest.mark.parametrize("offs,values,outputs,text", [([1, 1], 1, 1, "start at zero"), ([0, -1], 1, 1, "not be negative"), ([0, 2, 1], 2, 2, "nondecreasing"), ([0, 2], 1, 1, "exceeds value count"), ([0, 1, 1], 1, 1, "output has 1 elements"), ([], 0, 0, "not be empty"), ([0], -1, 0, "nonnegative i32"), ([0], 2**31, 0, "nonnegative i32")])
-def test_malformed_offsets(offs, values, outputs, text):
+@pytest.mark.parametrize("offs,values,outputs,text", [([2, 3], 3, 1, "late_start: 1"), ([0, -4], 1, 1, "negative: 1; backward: 1"), ([0, 5, 3], 5, 2, "backward: 1"), ([0, 7, 9], 8, 2, "beyond: 1"), ([0, 1, 2], 2, 1, "2 segments for 1 outputs"), ([0], -1, 0, "sizes"), ([0], 0, 1 << 31, "sizes"), ([0, 1 << 32], 5, 1, "wide: 1")])
+def test_broken_offsets(spark, offs, values, outputs, text):
     with pytest.raises(CompilationError, match=text):
-        validate_offsets(offs, values, outputs)
+        require(bounds_of(spark, offs), values, outputs)
+
+
+def test_good_offsets(spark):
+    require(bounds_of(spark, [0, 0, 4, 9]), 9, 3)
+    require(bounds_of(spark, [0]), 0)
+    with pytest.raises(CompilationError, match="at least one"):
+        bounds_of(spark, [])
 
 
 def test_offsets_and_violations(spark):
     lengths = [3, 0, 2, 5, 0, 1]
-    extents = spark.createDataFrame(list(enumerate(lengths)), "sid bigint, extent bigint")
-    for buckets in (1, 2, 100):
-        got = [(r["lo"], r["hi"]) for r in offsets(extents, buckets=buckets).orderBy("sid").collect()]
-        assert got == list(zip(ends(lengths), ends(lengths)[1:]))
+    for ids in (range(6), [-5, 0, 1, 2, 10**12, 10**15]):  # dense, and far apart
+        extents = spark.createDataFrame(list(zip(ids, lengths)), "sid bigint, extent bigint")
+        for buckets in (1, 2, 100):
+            out = offsets(extents, buckets=buckets)
+            got = [(r["lo"], r["hi"]) for r in out.orderBy("sid").collect()]
+            assert got == list(zip(ends(lengths), ends(lengths)[1:]))
+            assert set(violations(out, 11, buckets).drop("segments").first()) == {0}
+            torn = out.where(F.col("sid") != ids[2])  # its two positions are now a gap
+            assert violations(torn, 11, buckets).first()["gap"] == 1
     assert offsets(extents.limit(0)).count() == 0
-    bad = spark.createDataFrame([(0, -1, 2), (1, 2, 1), (2, 1, 9)], "sid bigint, lo bigint, hi bigint")
-    assert tuple(violations(bad, 8).first()) == (3, 1, 1, 1)
+    bad = spark.createDataFrame([(0, -1, 2), (1, 2, 1), (2, 0, 9)], "sid bigint, lo bigint, hi bigint")
+    for buckets in (1, 3):
+        assert violations(bad, 8, buckets).first().asDict() == {"segments": 3, "negative": 1, "backward": 1, "beyond": 1, "late_start": 1, "gap": 0, "overlap": 1, "wide": 0}
+
+
+def test_spread_captures(spark):
+    """A segment with most elements gets its captures in parts, with the window's results."""
+    offs = ends([2000, 3, 0, 40])
+    s = csr(spark, [value(i) for i in range(offs[-1])], offs, "double")
+    key = lambda df: sorted((r["sid"], r["pos"], round(r["out"], 12)) for r in df.collect())
+    wide = s.spread(100).softmax()
+    assert key(wide) == key(s.softmax()) and "Window" not in wide._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 4097])
@@ -204,7 +223,7 @@ def test_programs(spark, tmp_path):
         add.plan(data, {"n": 1})
     with pytest.raises(CompilationError, match="signature"):
         add.plan(data, {"n": 1, "BLOCK": 128}, schema=spark.range(1).schema)
-    with pytest.raises(CompilationError, match="add"):
+    with pytest.raises(CompilationError, match=r"test_segments.py:\d+:\d+: add"):
         add.plan(spark.range(1), {"n": 1, "BLOCK": 128})
     assert add.plan(data, {"n": 1, "BLOCK": 128}, schema=data.schema).first()["out"] == 3.0
     add.run(data, str(tmp_path / "out"), {"n": 1, "BLOCK": 128})
