@@ -1,20 +1,27 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a tree.  Parts that are never article (scripts, menus, forms,
-headers, footers, sidebars, notices, adverts, comments) are left out of it.  Every
-other node gets its link-adjusted characters per tag (composite density); the node
-whose children's densities have the largest sum is found, the least density on
-its path to the body is the threshold.  From the body down, every node that reaches
-the threshold marks the node with the largest sum in its subtree (the first of equal
-ones), and the content is all marked nodes, in page order.  Where the page itself marks
-the article, the content is that element.  The texts of whole subtrees are returned,
-however short their paragraphs are.
+Each page becomes a tree of all its elements but those that show no text (scripts, styles,
+form controls, hidden parts).  Every node gets its characters per tag, adjusted by links
+(composite density): text inside links counts against it, and so does the text of
+parts that the page itself names as furniture, by element (``nav``, ``footer``, ...),
+role, or class and id words (``cues``); their density is zero.  Nothing is taken out
+for its name alone: a part so named that holds more than half of the page's text, such
+as a form around a whole page, keeps its density.
+
+The node whose children's densities have the largest sum is the best one (children
+of lists, tables and quotations count for the node around them; the first of equal
+ones).  The least density on its path to the body is the threshold.  From the body
+down, any other node that reaches the threshold, with at least ``SHARE`` of the best
+sum in its subtree, marks the node with the largest sum there.  The content is all
+marked nodes in page order, with the headings right before them, and without the
+nodes of density zero that are furniture.  Whole subtrees are returned, however short
+their paragraphs are.  ``article`` and ``main`` have no special meaning here.
 
 Results for odd input: a null or empty page gives an empty text, and so does one
 without text outside the parts above.  Unclosed and stray tags are repaired as
-browsers do it for paragraphs, list items and table cells.  Pages are read whole.
-Repeated rows give a row each; a null url or page_id is carried; more columns
-are ignored; an empty table gives no rows.
+browsers do it for paragraphs, list items and table cells.  Pages are read whole, of
+any length and depth.  Repeated rows give a row each; a null url or page_id is carried;
+more columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +43,20 @@ RAW = frozenset("script style noscript template iframe textarea title xmp noembe
 #: Of these, the ones that nest and may close themselves.
 FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-OUT = frozenset("head nav footer aside form button select option datalist menu dialog object embed canvas audio video map input fieldset".split()) | RAW
+#: Elements whose text is never shown as text of the page.
+OUT = frozenset("head button select option datalist object embed canvas audio video map input".split()) | RAW
+#: Elements that name their content as something else than the article.
+FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
+#: Elements that hold one text in parts: their children count for the node around them.
+PARTS = frozenset("ul ol dl li dt dd blockquote figure table thead tbody tfoot tr pre details center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Least share of the best sum that another marked node has.
+SHARE = 0.2
 #: Elements that stand in a paragraph without ending it.
 FLOWING = INLINE | RAW | frozenset("button select option object embed canvas audio video map meta link".split())
 #: Elements that an opening tag of the kind ends, up to the element named.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody"}, {"table"}), "option": ({"option"}, {"select"})}
-#: Words of class and id attributes for parts that are not article.
+#: Words of class and id attributes that name furniture.
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|sidebars?|aside|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|social|share|sharing|related|recommended|recommendations|widgets?|toolbar|pager|pagination|alert|site-?header|page-?header|topbar|skip-link)(?:$|[\s_-])",
     re.I,
@@ -50,30 +65,31 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "parts", "out", "named", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None, out: bool = False) -> None:
-        self.tag, self.up, self.parts, self.out = tag, up, [], out
+    def __init__(self, tag: str, up: Node | None, out: bool = False, named: bool = False) -> None:
+        self.tag, self.up, self.parts, self.out, self.named, self.dropped = tag, up, [], out, named, False
 
+    def nodes(self) -> list[Node]:
+        return [x for x in self.parts if not isinstance(x, str) and not x.out]
 
-def _left_out(tag: str, attributes: str, above: list[Node]) -> bool:
+
+def _marks(tag: str, attributes: str, above: list[Node], cues: bool) -> tuple[bool, bool]:
+    """Whether an element is not shown, and whether the page names it as furniture."""
     if tag in OUT:
-        return True
-    if tag == "header" and not any(n.tag in ("article", "main") for n in above):
-        return True
+        return True, False
+    named = tag in FURNITURE or tag == "header" and not any(n.tag in ("article", "main") for n in above)
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, named
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if tag not in ("article", "main") and BOILERPLATE.search(value):
-                return True
+            named = named or cues and tag not in ("article", "main") and bool(BOILERPLATE.search(value))
         elif name == "role":
-            if value.lower() in ROLES:
-                return True
+            named = named or value.lower() in ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, named
+    return False, named
 
 
 def _raw_end(page: str, at: int, tag: str) -> int:
@@ -94,7 +110,7 @@ def _foreign_end(page: str, at: int, tag: str, attributes: str) -> int:
     return at if depth else end
 
 
-def parse(page: str) -> Node:
+def parse(page: str, cues: bool = True) -> Node:
     root = Node("html", None)
     stack, at = [root], 0
 
@@ -140,7 +156,8 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag not in INLINE:
                     break
-        node = Node(tag, stack[-1], stack[-1].out or _left_out(tag, attributes, stack))
+        out, named = _marks(tag, attributes, stack, cues)
+        node = Node(tag, stack[-1], stack[-1].out or out, named)
         if not stack[-1].out:
             stack[-1].parts.append(node)
         if tag in RAW:
@@ -152,68 +169,81 @@ def parse(page: str) -> Node:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Counts of every node that may be content, children before parents."""
+    """Counts and densities of every shown node, children before parents."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [x for x in node.parts if isinstance(x, Node) and not x.out]
+        todo += node.nodes()
     order.reverse()
     for node in order:
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
-        for x in node.parts:
-            if isinstance(x, str):
-                node.chars += len(x.strip())
-            elif not x.out:
-                node.chars += x.chars
-                node.tags += x.tags + 1
-                node.link_chars += x.chars if x.tag == "a" else x.link_chars
-                node.link_tags += x.link_tags + (x.tag == "a")
+        node.chars = sum(len(x.strip()) for x in node.parts if isinstance(x, str)) + sum(x.chars for x in node.nodes())
+    half = order[-1].chars / 2
+    for node in order:
+        node.tags = node.link_chars = node.link_tags = 0
+        for x in node.nodes():
+            node.tags += x.tags + (x.tag == "a" or x.tag not in INLINE)
+            node.link_chars += x.chars if x.tag == "a" else x.link_chars
+            node.link_tags += x.link_tags + (x.tag == "a")
+        if node.named and node.chars <= half:
+            node.link_chars, node.link_tags, node.dropped = node.chars, max(node.tags, 1), True
     whole = order[-1]
     ratio = whole.link_chars / max(whole.chars, 1)
     for node in order:
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
         base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + math.e)
-        node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.0) + 1e-9) if c and base > 1 else float(c) / t * math.log(max(c / lc * t / lt, 1.0) + 1)
-        node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.out)
+        node.density = 0.0 if node.dropped else c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base + 1e-9) if base > 1.0001 else c / t * math.log(max(c / lc * t / lt, 1.0) + 1)
+        node.total = 0.0
+        for x in node.nodes():
+            if x.tag not in INLINE and not x.dropped:
+                node.total += x.total if x.tag in PARTS and x.total else x.density
     return order
 
 
 def content(root: Node) -> list[Node]:
-    """Nodes that hold the content, in page order; none stands in another."""
+    """Nodes that hold the content, in page order; none stands in another, and furniture in them is marked as dropped."""
     order = _measure(root)
-    best = max(reversed(order), key=lambda n: n.total)
-    node = best
-    while node is not None and node.tag not in ("article", "main"):
+    holders = [n for n in order if n.tag not in INLINE and (n.tag not in PARTS or n.up is None)]
+    best = max(reversed(holders), key=lambda n: n.total)
+    path, threshold, node = {best}, best.density, best
+    while node.up is not None and node.up.tag != "body" and node.up.up is not None:
         node = node.up
-    if node is not None:
-        return [node]
-    found = [n for n in order if n.tag == "article" and n.chars]
-    inside = [n for n in found if _within(n, best)] or [n for n in order if n.tag == "main" and n.chars and _within(n, best)]
-    if len(inside) == 1:
-        return inside
-    threshold, node = best.density, best
-    while node.up is not None and node.tag != "body":
         threshold = min(threshold, node.density)
+        path.add(node)
+    while node is not None:
+        path.add(node)
         node = node.up
     top: dict[Node, Node] = {}
-    for n in order:
-        top[n] = max([n, *(top[x] for x in n.parts if isinstance(x, Node) and not x.out)], key=lambda x: x.total)
-    marked = {top[n] for n in order if n.chars and n.density >= threshold} | {best}
+    for n in order:  # children first
+        own = [n] if n.tag not in INLINE and n.tag not in PARTS else []
+        top[n] = max([*own, *(top[x] for x in n.nodes())], key=lambda x: x.total, default=n)
+    marked, todo = {best}, [root]
+    while todo:
+        n = todo.pop()
+        if n is best:
+            continue
+        if n not in path and n.density >= threshold and n.density and top[n].total >= SHARE * best.total:
+            marked.add(top[n])
+        else:
+            todo += n.nodes()
     held, todo = [], [root]
     while todo:
         n = todo.pop()
         if n in marked:
-            held.append(n)
+            held += [*_headings(n), n]
         else:
-            todo += [x for x in reversed(n.parts) if isinstance(x, Node) and not x.out]
+            todo += reversed(n.nodes())
     return held
 
 
-def _within(node: Node | None, other: Node) -> bool:
-    while node is not None and node is not other:
-        node = node.up
-    return node is not None
+def _headings(node: Node) -> list[Node]:
+    """Headings that stand right before ``node`` among its parent's nodes."""
+    out: list[Node] = []
+    for x in reversed(node.up.nodes()[: node.up.nodes().index(node)] if node.up else []):
+        if x.tag not in HEADINGS or x.dropped:
+            break
+        out.insert(0, x)
+    return out
 
 
 def blocks(top: Node) -> list[str]:
@@ -231,7 +261,7 @@ def blocks(top: Node) -> list[str]:
             run.append(x)
         elif x is None:
             flush()
-        elif x.out:
+        elif x.out or x.dropped:
             continue
         elif x.tag in ("br", "img", "wbr"):
             run.append("" if x.tag == "wbr" else " ")
@@ -245,8 +275,9 @@ def blocks(top: Node) -> list[str]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    return "\n".join(x for top in content(parse(page)) for x in blocks(top)) if page else ""
+def main_text(page: str | None, cues: bool = True) -> str:
+    """The main text; without ``cues`` words of class and id attributes mean nothing."""
+    return "\n".join(x for top in content(parse(page, cues)) for x in blocks(top)) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tessella.llm import html_text
 from tessella.llm.html_text import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>
@@ -55,6 +56,43 @@ def test_tables_pages(spark, sf_dir):
         assert r["text"] == "\n".join(x for x in want if x) and r["n_chars"] == len(r["text"])
 
 
+def wanted(page):
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    want = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", s)).split()) for s in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n".join(x for x in want if x)
+
+
+def test_density_alone_finds_the_article(spark, sf_dir):
+    """Without article, nav and footer elements and with meaningless classes; titles as short as an advert are lost."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet").collect()]
+    bare = lambda page: re.sub(r"(</?)(?:article|nav|footer)\b", r"\1div", page).replace('class="ad"', 'class="k3"')
+    assert sum(main_text(bare(p)) == wanted(p) for p in pages) >= 0.96 * len(pages)
+    assert sum(main_text(p, cues=False) == wanted(p) for p in pages) >= 0.99 * len(pages)
+
+
+def test_density_decides(spark, sf_dir, monkeypatch):
+    """Were the whole page returned instead of the subtrees chosen, no page would be right."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    monkeypatch.setattr(html_text, "content", lambda root: [root])
+    assert not any(main_text(p) == wanted(p) for p in pages)
+    assert main_text(PAGE.format(BODY)) != WANT
+
+
+def test_names_alone_take_nothing_out():
+    """A form around the page and a class on its wrapper aren't furniture: they hold most of the text."""
+    assert main_text(f"<form><div class='page has sidebar'><nav><a href=1>Home</a></nav><div>{BODY}</div></div></form>") == WANT
+
+
+def test_parts_of_an_article():
+    """Long lists and quotations inside, sections, and a heading beside the container."""
+    items = "".join(f"<li>Point {i} of a long list of points.</li>" for i in range(40))
+    article = f"<h1>Title</h1><p>{'First words. ' * 20}</p><ul>{items}</ul><blockquote><p>{'Quoted. ' * 9}</p></blockquote><p>Last.</p>"
+    got = main_text(f"<body><div><ul>{'<li><a href=1>Menu</a>' * 9}</ul></div><div class=z1>{article}</div><div class=z2>Imprint</div></body>").split("\n")
+    assert got[0] == "Title" and got[-1] == "Last." and len(got) == 44
+    beside = f"<body><div class=q><a href=1>Home</a></div><h1>Title</h1><div class=z><p>{'Some words. ' * 30}</p><p>{'More words. ' * 30}</p></div></body>"
+    assert main_text(beside).split("\n")[0] == "Title" and "Home" not in main_text(beside)
+
+
 def test_odd_input(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<<<>>><p"), (4, "u", "plain words"), (4, "u", "plain words"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<p>x</p>" * 20000), (7, "u", "<a b='>x</a>"), (8, "u", "</p></div><script>")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, text string")
