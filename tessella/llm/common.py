@@ -29,16 +29,42 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_dir()}"
+    """Folder that driver and executors share; one of its own only in a single local JVM (tests) where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{_own_dir()}"
+
+
+def _files(spark: SparkSession, path: str):
+    """Path and file system of a folder, as Spark sees them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage."""
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage.
+
+    The table is deleted when the driver ends, or before by :func:`discard`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of :func:`materialise` that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            where, files = _files(df.sparkSession, path)
+            files.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,25 +84,30 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     left = materialise(edges.where("u <> v").select(low, high).distinct(), f"{tag}-links")
     found = None
     while not left.isEmpty():
-        roots = materialise(left.groupBy("v").agg(F.min("u").alias("c")), f"{tag}-parents")
+        parents = materialise(left.groupBy("v").agg(F.min("u").alias("c")), f"{tag}-parents")
         while True:
-            up = roots.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-            roots = materialise(roots.join(up, "c", "left").select("v", F.coalesce("cc", "c").alias("c"), F.col("cc").isNotNull().alias("moved")), f"{tag}-roots")
-            if roots.where("moved").isEmpty():
+            up = parents.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+            raised = materialise(parents.select("v", "c").join(up, "c", "left").select("v", F.coalesce("cc", "c").alias("c"), F.col("cc").isNotNull().alias("moved")), f"{tag}-roots")
+            discard(parents)
+            parents = raised
+            if raised.where("moved").isEmpty():
                 break
-            roots = roots.select("v", "c")
-        roots = roots.select("v", "c")
+        roots = parents.select("v", "c")
         if found is None:
-            found = roots
+            merged = materialise(roots, f"{tag}-found")
         else:
             up = roots.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-            found = materialise(found.join(up, "c", "left").select("v", F.coalesce("cc", "c").alias("c")).union(roots), f"{tag}-found")
+            merged = materialise(found.join(up, "c", "left").select("v", F.coalesce("cc", "c").alias("c")).union(roots), f"{tag}-found")
         of_u, of_v = (roots.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "uv")
         ends = left.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-        left = materialise(ends.where("u <> v").select(low, high).distinct(), f"{tag}-links")
+        links = materialise(ends.where("u <> v").select(low, high).distinct(), f"{tag}-links")
+        discard(found, left, parents)
+        found, left = merged, links
     if found is None:
         return left.select("v", F.col("u").alias("c"))
-    return materialise(found.union(found.select(F.col("c").alias("v"), "c").distinct()), f"{tag}-components")
+    out = materialise(found.union(found.select(F.col("c").alias("v"), "c").distinct()), f"{tag}-components")
+    discard(found, left)
+    return out
 
 
 # --- Arrow and numpy -------------------------------------------------------
