@@ -2,12 +2,14 @@
 
 Texts are split into pre-tokens and dealt to blocks of about ``BLOCK_BYTES``.  A
 block sends each pre-token that occurs in it once, to the task that its hash
-names, many to a row and compressed.  Equal pre-tokens of all blocks meet there
-and are encoded once, and the ids go back to each block that asked; there
-documents are put together by position.  So what is shuffled for words is one
-entry per block and distinct word instead of one per occurrence, and a very
-frequent word has one entry per block.  Decoding looks the ids up in the
-token-byte table, whose size is the vocabulary's.
+names, many to a row and compressed.  Equal pre-tokens of all blocks meet there,
+bucket by bucket, and each distinct one is encoded once.  Its ids are joined back to
+the blocks that asked for it, and there documents are put together by position.  So what is
+shuffled for words is one entry per block and distinct word instead of one per
+occurrence, and a very frequent word has one entry per block.  For decoding the ids
+of a block's words are joined with the token-byte table, whose size is the
+vocabulary's and which every task gets.  There are as many buckets as
+``BUCKET_BYTES`` of text need, so a task holds the words of one bucket however large the input.
 
 The texts are read twice, once for words and once for positions, and both must
 see the same blocks.  That holds for a table of files; pass ``stable=False`` for
@@ -17,8 +19,8 @@ would stop the job instead of giving wrong ids.
 
 Results for odd input: a null text counts as empty, which has no ids (the digest
 of no bytes).  Special tokens' strings are ordinary text.  Repeated rows give a
-row each; a null doc_id is carried; more columns are ignored; an empty table
-gives no rows.
+row each, also in :func:`decode`; a null doc_id is carried; texts of any length are
+encoded whole; more columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,10 +45,9 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, table, utf8
 
 BLOCK_BYTES = 16 << 20
-#: Buckets of words for each shuffle partition.
+#: Buckets of words for each shuffle partition, and characters of text for one bucket.
 BUCKETS = 4
-#: A task forgets the ids of words beyond so many, and would encode them again.
-REMEMBERED = 2_000_000
+BUCKET_BYTES = 64 << 20
 CHANGED = "the texts changed between two reads; pass stable=False"
 
 
@@ -64,6 +65,22 @@ def _merger(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> pa.Table:
+    """The token-byte table: id, piece."""
+    pieces, ids = zip(*load_ranks(path).items())
+    return pa.table([pa.array(ids, pa.int64()), pa.array(pieces, pa.binary())], names=["id", "piece"])
+
+
+def _pieces(path: str, ids: np.ndarray) -> list[bytes]:
+    """Bytes of each of ``ids``, by a join with the token-byte table; an id outside it raises."""
+    asked = pa.table([pa.array(ids.astype(np.int64)), pa.array(np.arange(len(ids)))], names=["id", "at"])
+    joined = asked.join(token_bytes(path), "id", join_type="inner").sort_by("at")
+    if len(joined) != len(ids):
+        raise RuntimeError("an id is not in the token-byte table")
+    return joined["piece"].to_pylist()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Numbers of blocks and their rows, of which there is at least one."""
     block = TaskContext.get().partitionId() << 32
@@ -84,7 +101,8 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
 
     small = np.dtype("<u2" if max(load_ranks(rank_path).values()) < 1 << 16 else "<u4")
 
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // BUCKET_BYTES))
 
     def bucket_of(seen: Iterable[str]) -> tuple[np.ndarray, list[bytes]]:
         raw = [w.encode() for w in seen]
@@ -129,10 +147,12 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
             yield pa.record_batch(sent, names=["block", "doc_ids", "sizes", "at", "buckets", "checksum"])
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, known = _merger(rank_path, pattern), {}
+        ids_of, known, last = _merger(rank_path, pattern), {}, None
         for batch in batches:
             sizes, out = [], []
-            for lengths, words in zip(batch["lengths"].to_pylist(), batch["words"].to_pylist()):
+            for bucket, lengths, words in zip(*(batch[c].to_pylist() for c in ("bucket", "lengths", "words"))):
+                if bucket != last:  # rows come bucket by bucket, and a word is in one
+                    known, last = {}, bucket
                 text, at, ids = zstandard.decompress(words), 0, []
                 for n in np.frombuffer(zstandard.decompress(lengths), np.uint32).tolist():
                     word = text[at : at + n]
@@ -143,24 +163,20 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
                     ids.append(found)
                 sizes.append(zstandard.compress(np.fromiter(map(len, ids), np.uint32, len(ids)).tobytes()))
                 out.append(zstandard.compress(b"".join(ids)))
-                if len(known) > REMEMBERED:
-                    known.clear()
             yield pa.record_batch([batch["block"], batch["bucket"], pa.array(sizes, pa.binary()), pa.array(out, pa.binary())], names=["block", "bucket", "sizes", "ids"])
 
     def assemble(block: pa.Table, found: pa.Table) -> pa.Table:
-        token = [b""] * (1 + max(load_ranks(rank_path).values()))
-        for text, rank in load_ranks(rank_path).items():
-            token[rank] = text
         found = found.sort_by("bucket")
         of = np.frombuffer(zstandard.decompress(block["buckets"][0].as_py()), np.uint32)
         flat = np.frombuffer(b"".join(map(zstandard.decompress, found["ids"].to_pylist())), small)
-        ends = np.cumsum(np.frombuffer(b"".join(map(zstandard.decompress, found["sizes"].to_pylist())), np.uint32) // small.itemsize)
+        ends = np.cumsum(np.frombuffer(b"".join(map(zstandard.decompress, found["sizes"].to_pylist())), np.uint32).astype(np.int64) // small.itemsize)
         if len(ends) != len(of):
             raise RuntimeError(CHANGED)
         ids: list[list[int]] = [[]] * len(of)
-        for number, part in zip(np.argsort(of, kind="stable").tolist(), np.split(flat, ends[:-1])):
-            ids[number] = part.tolist()
-        decoded = [b"".join([token[i] for i in x]) for x in ids]
+        decoded = [b""] * len(of)
+        pieces = _pieces(rank_path, flat)
+        for number, a, b in zip(np.argsort(of, kind="stable").tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist()):
+            ids[number], decoded[number] = flat[a:b].tolist(), b"".join(pieces[a:b])
         if block.num_rows != 1 or zlib.crc32(b"".join(decoded)) != block["checksum"][0].as_py():
             raise RuntimeError(CHANGED)
         sizes, names = block["sizes"][0].as_py(), block["doc_ids"].chunk(0)[0].values
@@ -189,23 +205,25 @@ def encode(docs: DataFrame, rank_path: str | None = None, pattern: str = public_
 
     kind = key.simpleString()
     asked = docs.mapInArrow(words, "block long, bucket int, lengths binary, words binary")
-    found = asked.repartition("bucket").mapInArrow(encode_words, "block long, bucket int, sizes binary, ids binary")
+    found = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, "block long, bucket int, sizes binary, ids binary")
     blocks = docs.mapInArrow(positions, f"block long, doc_ids array<{kind}>, sizes array<int>, at binary, buckets binary, checksum long")
     shape = f"doc_id {kind}, ids array<int>" if emit == "ids" else f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, shape)
 
 
 def decode(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
-    """Rows (doc_id, bytes) from rows (doc_id, ids): tokens join the token-byte table, which has the vocabulary's size.
+    """Rows (doc_id, bytes) from rows (doc_id, ids), one for each: tokens are joined with the token-byte table, which has the vocabulary's size.
 
-    doc_id must be unique here; a document without ids has no bytes.
+    Rows are told apart by number, so doc_id may repeat or be null; one without ids has no bytes.
     """
     spark = encoded.sparkSession
     ranks = load_ranks(rank_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     tokens = spark.createDataFrame([(r, bytearray(b)) for b, r in ranks.items()], "id int, piece binary")
-    each = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(tokens), "id", "left")
-    ordered = F.sort_array(F.collect_list(F.struct("at", F.hex("piece").alias("piece"))))
-    return each.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["piece"]), "")).alias("bytes"))
+    numbered = materialise(encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("row")), "encoded")
+    each = numbered.select("row", "doc_id", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(tokens), "id", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("at", F.hex("piece").alias("piece"))))  # of one document
+    out = each.groupBy("row", "doc_id").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["piece"]), "")).alias("bytes"))
+    return out.select("doc_id", "bytes")
 
 
 def op9_word_shuffle_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import public_tokenizers
 import pytest
 
-from tessella.llm.byte_bpe import decode, encode, load_ranks
+from tessella.llm.byte_bpe import _pieces, decode, encode, load_ranks
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +43,16 @@ def test_random_text_round_trip(spark, library):
     ids = {r["doc_id"]: list(r["ids"]) for r in encoded.collect()}
     assert ids == {d: library(t) for d, t in texts}
     assert {r["doc_id"]: bytes(r["bytes"]).decode() for r in decode(encoded).collect()} == dict(texts)
+
+
+def test_decode_keeps_repeated_rows(spark):
+    rows = [(1, "ab cd"), (1, "ab cd"), (None, "x"), (2, ""), (3, None)]
+    out = decode(encode(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+    assert sorted((str(r["doc_id"]), bytes(r["bytes"]).decode()) for r in out) == sorted((str(d), t or "") for d, t in rows)
+
+
+def test_an_unknown_id_raises():
+    import numpy as np
+
+    with pytest.raises(RuntimeError, match="token-byte"):
+        _pieces(public_tokenizers.path("byte_bpe_50k.tiktoken"), np.array([5, 60000]))
