@@ -7,13 +7,15 @@ patterns of one to three lengths that fill a sequence exactly are enumerated,
 non-negative least squares fits how often each repeats, the fits are rounded
 to what is there, and what is left is packed best fit, longest first, still as
 runs of equal lengths.  Pieces then find their place by their rank among the
-pieces of their length; the rank comes from counts by (length, salt), so a length
-that a third of all pieces share is ranked in many tasks.
+pieces of their length; the rank comes from counts by (length, salt), with more salts
+the more pieces there are, so a length that a third of all pieces share is ranked in
+many tasks.  Pieces that fill a sequence need neither plan nor rank.
 
 Results for odd input: a null or empty text is one piece of one token (the end
-id); repeated rows are packed each by itself; an empty table gives no rows; a
-null doc_id is carried; more columns are ignored.  Texts are read whole, of any
-length.  Strings of special tokens are ordinary text.
+id); repeated rows are packed each by itself, and ties between pieces of one length go
+by doc_id and piece; an empty table gives no rows; a null doc_id is carried; more
+columns are ignored.  Texts are read whole, of any length.  The string of a special
+token is that token, as ``tokenizers`` has it by default.
 """
 
 from __future__ import annotations
@@ -34,7 +36,13 @@ from .common import materialise, table
 
 CAPACITY = 2048
 END = 0
+#: Salts at least, and pieces for each salt.
 SALTS = 256
+SALT_ROWS = 1 << 21
+#: Rows of starts that are sent to all tasks; more are joined by shuffle.
+SENT = 1 << 20
+#: The one special token of the vocabulary.
+SPECIAL = "<|endoftext|>"
 #: Choices of a second length that are tried for each first one.
 TRIPLES = 6
 #: Shares of the fit that are tried, the first that needs the fewest sequences wins.
@@ -47,9 +55,11 @@ PLAIN = re.compile("[^\\x00-ɏ‐-‧]")
 def _encoder(json_path: str, rank_path: str):
     """A function from text to ids (uint32).
 
-    The rank file holds the vocabulary of the JSON file; on Latin text the two
-    libraries agree (tests/llm/test_packing.py), and ranks are five times as
-    fast.  Any other text is encoded by ``tokenizers``.
+    The rank file holds the vocabulary of the JSON file.  The libraries can differ only in
+    which characters they count as letters, numbers or spaces; on ``PLAIN`` ones they agree,
+    each by itself and each pair (tests/llm/test_packing.py, exhaustively), and
+    ranks are five times as fast.  Any other text, and one with the string of the special
+    token, is encoded by ``tokenizers`` as a whole.
     """
     import tiktoken
 
@@ -59,13 +69,12 @@ def _encoder(json_path: str, rank_path: str):
     whole: list = []
 
     def encode(text: str) -> np.ndarray:
-        if text.isascii() or not PLAIN.search(text):
+        if (text.isascii() or not PLAIN.search(text)) and SPECIAL not in text:
             return np.asarray(quick.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
         if not whole:
             from tokenizers import Tokenizer
 
             whole.append(Tokenizer.from_file(json_path))
-            whole[0].encode_special_tokens = True
         return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
@@ -211,17 +220,23 @@ def _places(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nda
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to ``cut`` (rows of :func:`pieces`, written or cheap to read again)."""
+    """Adds sequence_id and offset to ``cut`` (rows of :func:`pieces`, written).
+
+    Sequences of several pieces are numbered from 0, those of one full piece downwards from -1.
+    """
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in cut.groupBy("length").count().collect():  # at most ``capacity`` rows
+    for length, n in cut.where(F.col("length") < capacity).groupBy("length").count().collect():  # under ``capacity`` rows
         counts[length] = n
     places, columns = _places(plan(counts)), cut.columns
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    salts = max(SALTS, -(-int(counts.sum()) // SALT_ROWS))
+    full = cut.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    salted = cut.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # at most ``salts`` rows
     starts = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    if capacity * salts <= SENT:  # rows of 20 bytes
+        starts = F.broadcast(starts)
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    # at most capacity * SALTS rows of 20 bytes, whatever the input: 10 MB
-    ranked = salted.withColumn("within", within).join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
+    ranked = salted.withColumn("within", within).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +247,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.record_batch([*(batch[c] for c in columns), *at], names=[*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.select(*columns, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*columns, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessella.llm.packing import _encoder, _least_squares, _patterns, pack_documents, plan
+from tessella.llm.packing import PLAIN, _encoder, _least_squares, _patterns, pack_documents, plan
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +14,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -27,6 +26,16 @@ def test_ids_are_those_of_the_library(reference, texts):
         assert encode(text).tolist() == reference(text), repr(text)
 
 
+def test_plain_characters_agree_one_by_one_and_in_pairs(reference):
+    """Every pair of the characters that go by ranks is in one of these texts, alone and after letters, numbers and spaces."""
+    plain = [c for c in map(chr, range(0x2030)) if not PLAIN.search(c)]
+    assert len(plain) > 500
+    encode = _encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for a in plain:
+        for text in (f"x{a}1{a} {a}{a}\n{a}", "".join(a + b for b in plain)):
+            assert encode(text).tolist() == reference(text), repr(a)
+
+
 def check(rows, want, capacity):
     by_doc, by_seq = {}, {}
     for r in rows:
