@@ -10,11 +10,12 @@ of the language among single ones.
 
 Results for odd input: a null text, an empty text and one without a letter give
 ``und`` with score 0; so does every text if there are no labelled rows.  Ties go
-to the language that sorts first.  Repeated rows are scored alike, one row each;
-more columns are ignored; an empty table gives no rows.
+to the language that sorts first.  Texts are read whole, of any length.  A row without
+doc_id is in no held-out fold: it is learned from, and predicted.  Repeated rows are
+scored alike, one row each; more columns are ignored; an empty table gives no rows.
 
-The model has ``len(languages) * 65536`` numbers of 8 bytes; the number of
-languages is the number of distinct labels.
+The model has ``LANGUAGES * 65536`` numbers of 8 bytes at most: if there are more
+distinct labels (a dirty column), those with the most labelled rows are learned, the first ones of equal ones.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ ALPHA = 0.05
 #: A language must gain this times the log of the number of trigrams.
 PENALTY = 4.0
 ROUNDS = 30
+#: Most languages that a model tells apart.
+LANGUAGES = 128
 CHUNK = 4 << 20
 UND = "und"
 _FOLD = np.full(256, 32, dtype=np.uint32)
@@ -57,7 +60,8 @@ def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def held_out(doc_id, folds: int, which: int):
-    return F.crc32(F.col(doc_id).cast("string")) % folds == which
+    """Whether a row is held out; one without doc_id isn't."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == which, F.lit(False))
 
 
 class Model:
@@ -101,8 +105,8 @@ class Model:
         return chosen, share, float(sure)
 
 
-def train(labelled: DataFrame) -> Model:
-    """Trigram counts by language over all rows of ``labelled`` (text, lang)."""
+def train(labelled: DataFrame, most: int = LANGUAGES) -> Model:
+    """Trigram counts by language over all rows of ``labelled`` (text, lang), for at most ``most`` languages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -119,7 +123,9 @@ def train(labelled: DataFrame) -> Model:
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
 
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    found = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
+    rows = rows.where(F.col("lang").isin(languages))
+    found = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most ``most`` * 65536 rows
     languages = sorted(found["lang"].unique())
     counts = np.zeros((len(languages), 1 << BITS))
     counts[np.searchsorted(languages, found["lang"]) if len(found) else [], found["gram"]] = found["n"]
@@ -161,6 +167,9 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a language (``und``) go."""
-    unknown = identify(docs).where(F.col("lang_pred") == UND).select("doc_id").distinct()
+    """Pipeline stage: documents without a language (``und``) go; a row without doc_id stays.
+
+    Rows of one doc_id go only if none of them has a language.
+    """
+    unknown = identify(docs).groupBy("doc_id").agg(F.bool_and(F.col("lang_pred") == UND).alias("none")).where("none").select("doc_id")
     return docs.join(unknown, "doc_id", "left_anti").select(*docs.columns)

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from tessella.llm.language import UND, identify, known_language, predict, train
+from tessella.llm.language import UND, _trigrams, identify, known_language, predict, train
 
 
 def test_held_out_accuracy(documents):
@@ -53,3 +53,34 @@ def test_labels_of_held_out_rows_are_not_used(spark, documents):
     changed = documents.withColumn("lang", F.when(held_out("doc_id", 5, 0), "xx").otherwise(F.col("lang"))).withColumn("source", F.lit("?"))
     key = lambda df: sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in df.collect())
     assert key(identify(documents)) == key(identify(changed))
+
+
+def test_proportions_are_the_likeliest(documents, texts):
+    """EM's proportions and the set of languages against a search of a grid."""
+    model = train(documents)
+    langs = {r["doc_id"]: r["lang"] for r in documents.collect()}
+    by = {}
+    for d, t in sorted(texts.items()):
+        if len(t) > 1500:
+            by.setdefault(langs[d], t[:1500])
+    a, b = sorted(by)[:2]
+    text = np.frombuffer(f" {by[a][:900]} {by[b][:500]} ".lower().encode(), np.uint8)
+    chosen, share, _ = model.mixture(text)
+    u, c = np.unique(_trigrams(text), return_counts=True)
+    p = np.exp(model.log_p[u])
+    value = lambda ks, w: float(c @ np.log(p[:, ks] @ w))
+    grid = np.linspace(0.001, 0.999, 999)
+    best = max(((value([i, j], np.array([g, 1 - g])), i, j, g) for i in range(p.shape[1]) for j in range(i) for g in grid[::20]), key=lambda x: x[0])
+    assert {best[1], best[2]} == set(chosen)
+    i, j = chosen
+    fine = max(grid, key=lambda g: value([i, j], np.array([g, 1 - g])))
+    assert abs(share[0] - fine) < 0.01
+
+
+def test_rows_without_doc_id_and_many_labels(spark):
+    rows = [(None, "aaa bbb ccc", "en"), (None, "aaa bbb", "en"), (1, "xyz uvw", "fr"), *((i, f"word{i}", f"l{i}") for i in range(2, 30))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = identify(df).collect()
+    assert len(got) == len(rows) and all(r["held_out"] is not None for r in got)
+    assert {r["lang_pred"] for r in got if r["doc_id"] is None} == {"en"}  # learned from rows without doc_id
+    assert train(df, most=2).languages[0] == "en" and len(train(df, most=2).languages) == 2
