@@ -56,7 +56,25 @@ def test_a_crowded_group(spark):
 
 def test_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
-    check(spark, np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows]), 0.9)
+    check(spark, np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows]), 1)
+
+
+def test_vectors_of_several_lengths(spark):
+    """Rare lengths are compared whole, a frequent one has an index; none is left out."""
+    rng = np.random.default_rng(7)
+    rows, at = [], 0
+    want = {}
+    for dim, groups in ((3, 5), (2, 40), (16, 900)):
+        for _ in range(groups):
+            v = rng.normal(size=dim) * 3
+            group = [v, v * 2, v + 0.01 * rng.normal(size=dim)] if dim == 16 or groups == 5 else [v]
+            rows += [(at + i, x.tolist()) for i, x in enumerate(group)]
+            at += len(group)
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    for i, a in x.items():
+        want[i] = sum(len(a) == len(b) and i != j and a @ b >= 0.9 for j, b in x.items() if len(a) == len(b))
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == want
 
 
 def test_odd_input(spark):
