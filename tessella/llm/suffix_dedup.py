@@ -15,11 +15,14 @@ document holds is reported, overlapping and touching ones as one passage.
 So a word is reported if and only if it stands in a passage of ``min_words`` words that
 a document with a smaller doc_id holds, whichever that is (but for collisions of
 64-bit hashes).  A document is compared with all others, not with one that stands for
-them.  Rows of a frequent window are counted in parts and then joined with one row.
-Repeats inside one document don't count.
-
-Results for odd input: null and empty texts have no passages.  Repeated rows
-(same doc_id and text) count as one document.  Rows without doc_id are neither
+them.  Comparing sorted suffixes with their neighbours only would not do: a neighbour may hold
+part of a passage that another document holds whole.  So equal suffixes are brought
+together by name, and matches are extended to both sides by looking the windows around
+them up.  Repeats inside one document don't count.
+
+Results for odd input: null and empty texts have no passages.  Texts are searched
+whole, of any length.  Rows of one doc_id count as one document.  Of several documents
+that hold a passage the one with the smallest doc_id is named.  Rows without doc_id are neither
 searched nor cut.  More columns are carried by :func:`cut`; an empty table gives no
 rows.
 """
@@ -40,6 +43,8 @@ MIN_WORDS = 50
 K = 8
 WINDOW = 26
 CHUNK = 4 << 20
+#: Rows from which a name may be frequent, and names that can be.
+FREQUENT = 1 << 10
 PLACES = "name long, doc_id long, start int"
 
 
@@ -110,9 +115,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = materialise(rows.mapInArrow(select, PLACES), "suffixes")
-    asked = names.join(_shared(names), "name", "left_semi").groupBy("doc_id").agg(F.collect_list("start").alias("asked"))  # at most one for each word of the document
+    asked = _shared(names).groupBy("doc_id").agg(F.collect_list("start").alias("asked"))  # at most one for each word of the document
     held = materialise(rows.join(asked, "doc_id").mapInArrow(windows, PLACES), "windows")
-    found = held.join(_shared(held), "name").where("first_doc_id < doc_id")
+    found = _shared(held).where("first_doc_id < doc_id")
     spans = _merged(found.select("doc_id", "start", (F.col("start") + min_words).alias("end"), "first_doc_id"), ["doc_id"], F.min("first_doc_id").alias("first_doc_id"))
     return spans.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "first_doc_id")
 
@@ -122,8 +127,18 @@ def _places(name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBa
 
 
 def _shared(places: DataFrame) -> DataFrame:
-    """Names that several documents hold, and the first of these."""
-    return places.groupBy("name").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").select("name", "first_doc_id")
+    """Those of ``places`` whose names several documents hold, with the first of these.
+
+    Rows of a very frequent name stay where they are: these names, at most ``FREQUENT`` of
+    them, are sent to all tasks, and the rows of the others are shuffled by name.
+    """
+    held = places.groupBy("name").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    held = materialise(held.where("first_doc_id < last").drop("last"), "shared")
+    most = max(FREQUENT, (held.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
+    hot = F.broadcast(held.where(F.col("n") > most).select("name", F.col("first_doc_id").alias("hot")))
+    marked = places.join(hot, "name", "left")
+    rest = marked.where("hot IS NULL").drop("hot").join(held.where(F.col("n") <= most).select("name", "first_doc_id"), "name")
+    return rest.unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "first_doc_id"))
 
 
 def _merged(pieces: DataFrame, key: list[str], *aggregates: Column) -> DataFrame:
