@@ -1,36 +1,44 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are the words that make up at least ``min_share`` of the training tokens,
-the end of a text, and one class for all other words; so there are at most
-1 / min_share + 2 of them, whatever the corpus.  Contexts are the last one or two
-symbols, and every single word of the class of other words: those grow with the
-corpus, stay in a table and are joined to the blocks that hold the word.  A
-context of symbols is a candidate if it precedes at least ``min_share`` of the
-tokens, and a context is retained if the divergence of its next-symbol distribution
-from that of its longest retained suffix (for a word of the class: the class) is
-worth more than its parameters.  A state's distribution is smoothed with that
-suffix's, the root's is the add-one estimate over words.  A token is scored in the
-longest retained suffix of what precedes it, where a word counts as longer than
-its class; within the class of other words, words keep the root's shares:
-
-    score = base_score + sum over tokens of log10 P(symbol | state) / P(symbol)
-
-so probabilities sum to one over all words and one unknown word.
-
-Counts of words and of contexts cover all training texts.  Words are counted by
-a 64-bit hash of their bytes.  Texts are split into words once: the blocks of tokens
-are written to the shared folder, and every count and the scores are taken from
-there.  To look up the count of every word of every text, a block sends its distinct
-words once and gets their counts back.
+Contexts are the last 1 to ``MAX_DEPTH`` words before a token, with the start of the text as a
+word; each is a table entry keyed by a hash, so the tree grows with the corpus.  A context
+is a candidate if it occurs at least ``LEAST`` times, less often than its suffix (the context
+without its first word), and if none of its suffixes is followed by one word only: else its
+distribution is its suffix's.  That is what ends a branch; ``MAX_DEPTH`` bounds all of them.
+A candidate s is retained if its next-word distribution diverges from its suffix's:
+
+    sum over words w of c(s w) ln( c(s w) / n(s) / P'(w | suffix) )  >  k(s) / 2 ln N
+
+with n(s) the occurrences, k(s) the number of different next words and N all training tokens.
+P' is smoothed along all suffixes, P along the retained ones, from the add-one estimate over
+words, so that probabilities sum to one over all words and one unknown word:
+
+    P(w | s) = (c(s w) + WEIGHT P(w | suffix)) / (n(s) + WEIGHT)
+
+A token is scored in the longest retained context; score sums log10 P.
+
+All counts cover all training texts and nothing is sampled.  Texts are split into words
+once, into blocks of ``BLOCK_BYTES``, which send every distinct n-gram once, with its count,
+to the task that its hash names, and get the total back, as sorted and compressed
+lists.  So there is one entry per block and n-gram, however frequent, and no list of what
+follows a word exists anywhere.  Three exchanges follow each other: counts of 1 to 3 words;
+tests of contexts of 1 and 2 words, and counts of longer n-grams for the tokens
+whose contexts go on; tests of the longer contexts.  A test sums over the tokens of
+all blocks, as k(s) is the sum of 1 / c(s w) over tokens.  Tasks hold about ``ENTRIES``
+entries, whatever the input.
+
+Hashes have 56 bits of each n-gram; colliding ones would share a count.
 
 Results for odd input: a null or empty text is the end token alone.  If nothing is
-left to train on, all counts are 0 and score equals base_score.  Repeated rows
-give a row each; a null doc_id counts as held out nowhere (its crc32 is null) and
-is trained on; more columns are ignored; an empty table gives no rows.
+left to train on, all counts are 0 and score equals base_score.  Texts of any length are
+scored whole.  Repeated rows give a row each, and are learned from as often; a null doc_id
+counts as held out nowhere (its crc32 is null) and is trained on; more columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,39 +48,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, table, utf8, word_hashes, words
+from .common import discard, materialise, mix, slices, table, utf8, word_hashes, words
 
-MIN_SHARE = 5e-4
+MAX_DEPTH = 5
+#: Occurrences of a candidate.
+LEAST = 2
 #: A state counts as this many observations of its suffix's distribution.
-WEIGHT = 20.0
-#: Texts of a block, which asks once for the counts of its words.
-BLOCK_BYTES = 16 << 20
-#: Texts that are hashed at a time, and tokens that are counted or scored at a time.
+WEIGHT = 4.0
+#: Texts of a block, and texts that are hashed at a time.
+BLOCK_BYTES = 12 << 20
 CHUNK = 2 << 20
-TOKENS = 1 << 18
-#: Rows of answers that are packed together.
-PACK_ROWS = 1 << 17
-#: Stand for the end of a text among word hashes.
-END = np.uint64(1)
-
-
-BLOCK = ["block", "doc_ids", "held", "sizes", "at", "words"]
+#: N-grams that a task adds up.
+ENTRIES = 2 << 20
+#: Stand for the end and the start of a text among word hashes.
+END, START = np.uint64(1), np.uint64(2)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Blocks of tokens, written: ids, held-out flags and numbers of tokens of the texts, the place of each token in words (packed), distinct words' hashes in order.
-
-    ``docs`` has text, and doc_id and held where they matter.  A table of blocks is returned as it is.
-    """
-    if docs.columns == BLOCK:
-        return docs
-    own = lambda c, otherwise: (F.col(c) if c in docs.columns else otherwise).alias(c)
-    rows = docs.select(own("doc_id", F.lit(None).cast("long")), F.coalesce(own("held", F.lit(False)), F.lit(False)).alias("held"), "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    """Blocks of tokens, written: ids, held-out flags and numbers of tokens of the texts, the place of each token in words (packed), distinct words' hashes in order."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
-        one = lambda x, t: pa.array([x], t)
         for batch in batches:
             data, offsets = utf8(batch["text"])
             for start, end in slices(offsets, BLOCK_BYTES):
@@ -89,315 +87,289 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 u = np.unique(np.concatenate(known))
                 at = np.concatenate([np.searchsorted(u, k).astype(np.uint32)[i] for k, i in zip(known, places)])
                 part = batch.slice(start, end - start)
-                whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.record_batch([one(block, pa.int64()), *map(whole, (part["doc_id"], part["held"], pa.array(np.concatenate(sizes)))), one(zstandard.compress(at.tobytes(), 1), pa.binary()), whole(pa.array(u.view(np.int64)))], names=BLOCK)
+                held = part["held"].to_numpy(zero_copy_only=False).astype(bool)
+                yield _row(block, -1, part["doc_id"], _packed(held, np.concatenate(sizes), at, u))
                 block += 1
 
-    return materialise(rows.mapInArrow(blocks, f"block long, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, at binary, words array<long>"), "blocks")
+    rows = docs.select("doc_id", F.coalesce("held", F.lit(False)).alias("held"), "text")
+    return materialise(rows.mapInArrow(blocks, _shape(kind)), "blocks")
+
+
+def _shape(kind: str) -> str:
+    return f"block long, part int, doc_ids array<{kind}>, data binary"
+
 
+def _row(block: int, part: int, ids: pa.Array, data: bytes) -> pa.RecordBatch:
+    listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.record_batch([pa.array([block], pa.int64()), pa.array([part], pa.int32()), listed, pa.array([data], pa.binary())], names=["block", "part", "doc_ids", "data"])
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint32)
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes; sorted ones of 64 bits as differences, byte by byte."""
 
-def _parts(at: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``at`` and ``n`` (entries of ``at`` for each text) in parts of about ``TOKENS``, of whole texts."""
-    ends = np.concatenate(([0], np.cumsum(n)))
-    for a, b in slices(ends, TOKENS):
-        yield at[ends[a] : ends[b]], n[a:b]
+    def one(x: np.ndarray):
+        if x.dtype == np.uint64:
+            return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+        return x
 
+    return zstandard.compress(pickle.dumps([one(x) for x in arrays], protocol=5), 1)
 
-def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
-    """Of each block its distinct words' hashes, and parts of its training texts: each token's place among the words, tokens of each text."""
-    for batch in batches:
-        for i in range(len(batch)):
-            n, held = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "held"))
-            if not held.all():
-                at = _unpacked(batch["at"][i].as_py())
-                yield batch["words"][i].values.to_numpy().view(np.uint64), _parts(at[np.repeat(~held, n)], n[~held])
 
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    back = lambda x: x if isinstance(x, np.ndarray) else np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+    return [back(x) for x in pickle.loads(zstandard.decompress(data))]
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
+
+class Tokens:
+    """Words of a block's texts in a row, each text with a start before and an end after it."""
+
+    def __init__(self, held: np.ndarray, sizes: np.ndarray, at: np.ndarray, u: np.ndarray) -> None:
+        self.held, self.sizes, self.u = held, sizes, u
+        length = sizes + 1
+        self.text = np.repeat(np.arange(len(sizes)), length)
+        self.age = np.arange(len(self.text)) - np.repeat(np.cumsum(length) - length, length)  # 0 at a start
+        self.words = np.full(len(self.text), START, np.uint64)
+        self.words[self.age > 0] = u[at]
+        self.train = ~held[self.text]
+
+    def keys(self, orders: range, only: np.ndarray | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each order, positions where that many words end and these n-grams' keys; ``only`` some positions."""
+        p = np.arange(len(self.words)) if only is None else only
+        g, out = np.full(len(p), ODD), {}
+        for n in range(1, orders[-1] + 1):
+            ok = self.age[p] >= n - 1
+            if not ok.all():
+                p, g = p[ok], g[ok]
+            g = mix(g * ODD + self.words[p - n + 1] + np.uint64(n))
+            if n in orders:
+                out[n] = p, g >> np.uint64(8)
+        return out
+
+
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     u, back = np.unique(keys, return_inverse=True)
-    return u, np.bincount(back, counts, len(u)).astype(np.int64)
-
-
-class Tree:
-    """symbols: sorted hashes; number i + 1 is symbol i, 0 any other word; START precedes a text."""
-
-    def __init__(self, symbols: np.ndarray, root: np.ndarray) -> None:
-        self.symbols, self.root = symbols, root
-        self.size = len(symbols) + 1
-        self.start = self.size
-        self.contexts: list[np.ndarray] = []  # by depth: sorted keys of candidates or retained ones
-        self.gain = np.zeros((1, self.size), np.float32)  # log10 P(symbol | state) / P(symbol); row 0: the root
-        self.rows: list[np.ndarray] = []  # by depth: the row in gain of each key
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.symbols):
-            return np.zeros(len(h), np.int64)
-        i = np.minimum(np.searchsorted(self.symbols, h), len(self.symbols) - 1)
-        return np.where(self.symbols[i] == h, i + 1, 0)
-
-    def keys(self, s: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-        """Key of the ``depth`` symbols before each token; -1 where a text is younger than that."""
-        before = np.concatenate(([self.start], s[:-1]))
-        before[first] = self.start
-        if depth == 1:
-            return before
-        two = np.concatenate(([self.start], before[:-1]))
-        key = two * (self.size + 1) + before
-        key[first] = -1
-        return key
-
-    def gains(self, s: np.ndarray, first: np.ndarray) -> np.ndarray:
-        state = np.zeros(len(s), np.int64)
-        for depth, (known, rows) in enumerate(zip(self.contexts, self.rows), 1):
-            if len(known):
-                key = self.keys(s, first, depth)
-                i = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                state = np.where(known[i] == key, rows[i], state)
-        return self.gain[state, s]
-
-    def of_others(self) -> np.ndarray:
-        """Row of gain of the class of other words as a context: the root's, if it isn't retained."""
-        known = bool(self.contexts) and len(self.contexts[0]) > 0 and self.contexts[0][0] == 0
-        return self.gain[self.rows[0][0] if known else 0]
-
-
-def _first(n: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
-
-
-def _grow(blocks: DataFrame, tree: Tree, depth: int, total: int, min_share: float) -> None:
-    """Counts what follows the candidates of this depth and retains those that differ from their suffix."""
-    least, size = max(2, min_share * total), tree.size
-    candidates = None if depth == 1 else tree.candidates
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list[tuple[np.ndarray, np.ndarray]] = []
-        for u, parts in _training(batches):
-            number = tree.numbers(u)
-            for at, n in parts:
-                s = number[at]
-                key = tree.keys(s, _first(n), depth)
-                if candidates is not None:
-                    ok = np.isin(key, candidates)
-                    key, s = key[ok], s[ok]
-                have.append(_summed(key * size + s))
-                if len(have) > 8:
-                    have = [_summed(*map(np.concatenate, zip(*have)))]
-        if have:
-            k, n = _summed(*map(np.concatenate, zip(*have)))
-            yield pa.record_batch([pa.array(k // size), pa.array((k % size).astype(np.int32)), pa.array(n)], names=["context", "symbol", "n"])
-
-    counts = materialise(blocks.mapInArrow(count, "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"contexts{depth}")
-    frequent = counts.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= least)  # at most 1 / min_share rows
-    found = counts.join(F.broadcast(frequent), "context").toPandas()  # at most (1 / min_share)^2 rows, in fact far fewer
-    kept, rows, gains = [], [], [tree.gain]
-    next_row = len(tree.gain)
-    for context, part in found.groupby("context", sort=True):
-        row = 0
-        if depth == 2:
-            known, at = tree.contexts[0], context % (size + 1)
-            i = np.searchsorted(known, at)
-            row = int(tree.rows[0][i]) if i < len(known) and known[i] == at else 0
-        parent = tree.root * 10.0 ** tree.gain[row]
-        n = np.zeros(size)
-        n[part["symbol"]] = part["n"]
-        p = (n + WEIGHT * parent) / (n.sum() + WEIGHT * parent.sum())
-        if n.sum() * (p * np.log(p / parent)).sum() > 0.5 * (n > 0).sum() * np.log(n.sum()):
-            kept.append(context)
-            rows.append(next_row)
-            gains.append(np.log10(p / tree.root).astype(np.float32)[None])
-            next_row += 1
-    tree.contexts.append(np.array(kept, np.int64))
-    tree.rows.append(np.array(rows, np.int64))
-    tree.gain = np.concatenate(gains)
-    if depth == 1:  # contexts of two: pairs that are frequent enough
-        pairs = found[(found["n"] >= least) & (found["symbol"] >= 0)]
-        tree.candidates = np.sort(pairs["context"].to_numpy(np.int64) * (size + 1) + pairs["symbol"].to_numpy(np.int64))
-
-
-def _pairs(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal pairs of a word's hash and a symbol become one; counts are summed."""
-    _, at, back = np.unique(mix(h + s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
-    return h[at], s[at], np.bincount(back, n, len(at)).astype(np.int64)
-
-
-def word_states(train: DataFrame, tree: Tree) -> DataFrame:
-    """Retained contexts of one word outside the symbols: h, symbols that followed it, how often; ``train`` has texts or is tokenised."""
-    size, blocks = tree.size, tokenised(train)
-    shared = train.sparkSession.sparkContext.broadcast(tree)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, have = shared.value, []
-        out = lambda h, s, n: pa.record_batch([pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n)], names=["h", "symbol", "n"])
-        for u, parts in _training(batches):
-            number, found = own.numbers(u), []
-            for at, _ in parts:
-                s = number[at]
-                ok = s[:-1] == 0  # an end is a symbol, so nothing follows across texts
-                found.append(_summed(at[:-1][ok].astype(np.int64) * size + s[1:][ok]))
-            pair, n = _summed(*map(np.concatenate, zip(*found)))
-            have.append((u[pair // size], pair % size, n))
-            if len(have) == 2:
-                yield out(*_pairs(*map(np.concatenate, zip(*have))))
-                have = []
-        if have:
-            yield out(*(_pairs(*map(np.concatenate, zip(*have))) if len(have) > 1 else have[0]))
-
-    def test(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """Rows in order of word and symbol, all of a word."""
-        own = shared.value
-        new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
-        h, s, n = h[new], s[new], np.add.reduceat(n, np.flatnonzero(new))
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        k = np.diff(np.append(first, len(h)))
-        total = np.add.reduceat(n, first).astype(np.float64)
-        parent = (own.root * 10.0 ** own.of_others())[s]
-        all_ = np.repeat(total, k)
-        p = (n + WEIGHT * parent) / (all_ + WEIGHT)
-        seen = np.add.reduceat(p * np.log(p / parent), first)
-        rest = np.maximum(1 - np.add.reduceat(p, first), 0) * np.log(WEIGHT / (total + WEIGHT))
-        kept = total * (seen + rest) > 0.5 * k * np.log(total)
-        kept &= total > 1
-        of = np.repeat(kept, k)
-        at = pa.array(np.append(0, np.cumsum(k[kept])).astype(np.int32))
-        lists = (pa.ListArray.from_arrays(at, pa.array(x[of])) for x in (s, n))
-        return pa.record_batch([pa.array(h[first][kept]), *lists], names=["h", "symbols", "times"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None  # rows of the last word, summed: at most as many as symbols
+    return (u, *(np.bincount(back, v, len(u)) for v in values))
+
+
+def _dealt(parts: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted keys."""
+    bounds = np.searchsorted(keys, (np.arange(parts + 1, dtype=object) * (1 << 56) // parts).astype(np.uint64))
+    return [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+
+
+def _asks(block: int, parts: int, ids: pa.Array, counted: tuple, tested: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows that ask for totals of n-grams (keys, counts) and for tests of contexts (keys, gains, 1 / c)."""
+    a, b = ({i: (x, y) for i, x, y in _dealt(parts, keys)} for keys in (counted[0], tested[0]))
+    for i in sorted({*a, *b}):
+        (x, y), (v, w) = a.get(i, (0, 0)), b.get(i, (0, 0))
+        yield _row(block, i, ids[:0], _packed(counted[0][x:y], counted[1][x:y].astype(np.uint32), tested[0][v:w], *(t[v:w] for t in tested[1:])))
+
+
+def _added(tokens: int):
+    """A function that answers the asks of one part: totals, and which contexts are retained."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block").combine_chunks()  # sums in the same order whenever a task runs again
+        asked = [_unpacked(x) for x in rows["data"].to_pylist()]
+        every = [[x[j] for x in asked] for j in range(5)]
+        u, back = np.unique(np.concatenate(every[0]), return_inverse=True)
+        totals = np.bincount(back, np.concatenate(every[1]), len(u)).astype(np.int64)[back]
+        u, back = np.unique(np.concatenate(every[2]), return_inverse=True)
+        gain, k = (np.bincount(back, np.concatenate(every[j]), len(u)) for j in (3, 4))
+        kept = (gain > 0.5 * k * np.log(max(tokens, 2)) + 1e-9)[back]
+        first, second = (np.append(0, np.cumsum([len(x) for x in every[j]])) for j in (0, 2))
+        data = [_packed(totals[a:b], kept[c:d]) for a, b, c, d in zip(first, first[1:], second, second[1:])]
+        return pa.table([rows["block"], rows["part"], pa.array(data, pa.binary())], names=["block", "part", "data"])
+
+    return add
+
+
+def _answers(found: pa.Table, counted: np.ndarray, tested: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_unpacked(x) for x in found.sort_by("part")["data"].to_pylist()]
+    totals, kept = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in parts)]), np.concatenate([np.zeros(0, bool), *(x[1] for x in parts)])
+    if len(totals) != len(counted) or len(kept) != len(tested):
+        raise RuntimeError("a block's answers don't fit its questions")
+    return totals, kept
+
+
+def _smoothed(c: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (c + WEIGHT * p) / (n + WEIGHT)
+
+
+class Levels:
+    """Counts along the contexts of some tokens, one depth after the other."""
+
+    def __init__(self, p: np.ndarray, root: np.ndarray, all_: int) -> None:
+        self.chain = self.p = root  # P' and P
+        self.open = np.ones(len(p), bool)  # no shorter context has one next word only
+        self.n = np.full(len(p), all_)
+        self.steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def step(self, n: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """To contexts of one word more that occur ``n`` times, ``c`` times before the token; which are asked for, and each token's part of the divergence."""
+        asked = (n >= LEAST) & (n < self.n) & self.open
+        gain = np.log(np.maximum(c, 1) / np.maximum(n, 1)) - np.log(self.chain)
+        self.steps.append((n, c, asked, self.chain))
+        self.chain = np.where(n >= LEAST, _smoothed(c, n, self.chain), self.chain)
+        self.open = self.open & (c < n) & (n >= LEAST)
+        self.n = n
+        return asked, gain
+
+    def use(self, depth: int, kept: np.ndarray) -> None:
+        n, c, _, _ = self.steps[depth]
+        self.p = np.where(kept, _smoothed(c, n, self.p), self.p)
+
+
+def _tests(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (asked, keys, gains, c, trained) by depth: contexts' keys in order, sums of gains and of 1 / c over trained tokens."""
+    keys, gains, ones = ([np.zeros(0, t)] for t in (np.uint64, float, float))
+    for asked, key, gain, c, train in levels:
+        keys.append(key[asked])
+        gains.append((gain * train)[asked])
+        ones.append((train / np.maximum(c, 1))[asked])
+    return _sums(*map(np.concatenate, (keys, gains, ones)))
+
+
+def _kept(tested: np.ndarray, kept: np.ndarray, asked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(asked), bool)
+    out[asked] = kept[np.searchsorted(tested, keys[asked])]
+    return out
+
+
+def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
+    """doc_id, held_out, n_tokens, n_known, base_score, score for each text of ``blocks``, and the number of training tokens."""
+    spark, kind = blocks.sparkSession, blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    short, answer = range(1, 4), "block long, part int, data binary"
+
+    def opened(batch) -> Iterator[tuple[int, pa.Array, list[np.ndarray]]]:
+        for i in range(len(batch["block"])):
+            ids = batch["doc_ids"][i].values
+            yield batch["block"][i].as_py(), ids, _unpacked(batch["data"][i].as_py())
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, s, n = (batch[c].to_numpy() for c in ("h", "symbol", "n"))
-            if left is not None:
-                h, s, n = (np.concatenate(x) for x in zip(left, (h, s, n)))
-            if not len(h):
-                continue
-            cut = int(np.searchsorted(h, h[-1]))
-            if cut:
-                yield test(h[:cut], s[:cut], n[:cut])
-            sums = np.bincount(s[cut:], n[cut:], size).astype(np.int64)
-            at = np.flatnonzero(sums).astype(np.int32)
-            left = (np.full(len(at), h[-1]), at, sums[at])
-        if left is not None:
-            yield test(*left)
-
-    pairs = blocks.select("held", "sizes", "at", "words").mapInArrow(count, "h long, symbol int, n long").repartition("h").sortWithinPartitions("h", "symbol")
-    return materialise(pairs.mapInArrow(merge, "h long, symbols array<int>, times array<long>"), "states")
-
-
-def learn(train: DataFrame, min_share: float = MIN_SHARE, max_depth: int = 2) -> tuple[Tree, DataFrame, int, int]:
-    """The tree, word counts (h, c), the number of tokens and of distinct ones, over all of ``train``, which has texts or is tokenised."""
-    blocks = tokenised(train).select("held", "sizes", "at", "words")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, parts in _training(batches):
-            n = np.zeros(len(u), np.int64)
-            for at, _ in parts:
-                n += np.bincount(at, minlength=len(u))
-            yield pa.record_batch([pa.array(u[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["h", "c"])
-
-    counts = materialise(blocks.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+            for _, _, (held, sizes, at, u) in opened(batch):
+                n = np.bincount(at[np.repeat(~held, sizes)], minlength=len(u))
+                yield pa.record_batch([pa.array(u[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64)), pa.array(np.full((n > 0).sum(), len(at)))], names=["h", "c", "all"])
+
+    counts = blocks.mapInArrow(count_words, "h long, c long, all long").groupBy("h").agg(F.sum("c").alias("c"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where((F.col("c") >= max(1, min_share * total)) | (F.col("h") == 1)).toPandas()  # at most 1 / min_share + 1 rows
-    h, c = frequent["h"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy()
-    order = np.argsort(h)
-    root = np.concatenate(([0.0], (c[order] + 1) / (total + distinct + 1)))
-    root[0] = max(1 - root.sum(), 1e-12)
-    tree = Tree(h[order], root)
-    for depth in range(1, max_depth + 1 if total else 1):
-        _grow(blocks, tree, depth, total, min_share)
-    return tree, counts, total, distinct
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, states: DataFrame, total: int, distinct: int) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, base_score, score for each row of ``docs`` (doc_id, held, text, or tokenised)."""
-    written = tokenised(docs)
-    kind = written.schema["doc_ids"].dataType.elementType.simpleString()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Answers to one block become one compressed row."""
-
-        def packed(rows: pa.Table) -> pa.RecordBatch:
-            rows = rows.sort_by("of").combine_chunks()
-            of, number, s, c = (rows[x].to_numpy() for x in ("of", "number", "s", "c"))
-            k = rows["symbols"].combine_chunks().value_lengths().fill_null(0).to_numpy().astype(np.int32)
-            symbol, times = (rows[x].combine_chunks().flatten().to_numpy() for x in ("symbols", "times"))
-            cut = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
-            held = np.append(0, np.cumsum(k))
-            data = []
-            for a, b in zip(cut, cut[1:]):
-                x, y = held[a], held[b]
-                data.append(zstandard.compress(b"".join((number[a:b].astype(np.int32).tobytes(), s[a:b].astype(np.int32).tobytes(), k[a:b].tobytes(), c[a:b].tobytes(), symbol[x:y].astype(np.int32).tobytes(), times[x:y].tobytes())), 3))
-            return pa.record_batch([pa.array(of[cut[:-1]]), pa.array(np.diff(cut)), pa.array(np.diff(held[cut])), pa.array(data, pa.binary())], names=["of", "rows", "entries", "data"])
-
-        have, n = [], 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 5 // 4 // ENTRIES))
+    if depth < 2:
+        raise ValueError("contexts of at least two words")
+
+    def first_keys(x: Tokens) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        found = x.keys(short)
+        u, back = np.unique(np.concatenate([k for _, k in found.values()]), return_inverse=True)
+        return found, u, back, np.bincount(back, np.concatenate([x.train[p] for p, _ in found.values()]), len(u))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
         for batch in batches:
-            have.append(batch)
-            n += len(batch)
-            if n >= PACK_ROWS:
-                yield packed(pa.Table.from_batches(have))
-                have, n = [], 0
-        if n:
-            yield packed(pa.Table.from_batches(have))
+            for block, ids, data in opened(batch):
+                _, u, _, n = first_keys(Tokens(*data))
+                yield from _asks(block, parts, ids, (u, n), none)
+
+    def walk(x: Tokens, counts: list[np.ndarray]) -> tuple[np.ndarray, Levels, list, dict, np.ndarray]:
+        """Contexts of one and two words of every token, what to test of them, n-grams' keys, and the tokens that have longer contexts."""
+        c1, c2, c3 = counts
+        p, keys = np.flatnonzero(x.age > 0), x.keys(range(1, 3))
+        key = {n: np.zeros(len(x.words), np.uint64) for n in (1, 2)}
+        for n, (at, k) in keys.items():
+            key[n][at] = k
+        levels, tests = Levels(p, (c1[p] + 1) / (total + distinct + 1), total), []
+        for n, mine, longer in ((1, c1, c2), (2, c2, c3)):
+            before = np.where(x.age[p] >= n, mine[p - 1], 0)
+            asked, gain = levels.step(before, longer[p])
+            tests.append((asked, key[n][p - 1], gain, longer[p], x.train[p]))
+        on = levels.open & (x.age[p] >= 3) & (c3[p - 1] >= LEAST) if depth > 2 else np.zeros(len(p), bool)
+        return p, levels, tests, key, on
+
+    def long_keys(x: Tokens, on: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Keys of n-grams of over three words that end at the tokens ``on`` or right before them."""
+        found = x.keys(range(4, depth + 2), np.union1d(on, on - 1)) if len(on) else {}
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in found.values())])
+        return found, *_sums(keys, np.concatenate([np.zeros(0), *(x.train[p] for p, _ in found.values())]))
 
     def assemble(block: pa.Table, found: pa.Table) -> pa.Table:
-        own = shared.value
-        sizes = np.array(block["sizes"][0].as_py(), np.int64)
-        at = _unpacked(block["at"][0].as_py())
-        answers: tuple[list, ...] = ([], [], [], [], [], [])
-        for m, e, data in zip(*(found[x].to_pylist() for x in ("rows", "entries", "data"))):
-            raw, here = zstandard.decompress(data), 0
-            for out, kind_, n in zip(answers, (np.int32, np.int32, np.int32, np.int64, np.int32, np.int64), (m, m, m, m, e, e)):
-                out.append(np.frombuffer(raw, kind_, n, here))
-                here += n * np.dtype(kind_).itemsize
-        number, own_s, k, count, symbol, times = (np.concatenate([np.zeros(0, np.int64), *x]) for x in answers)
-        distinct_here = int(at.max()) + 1
-        c, numbers, state = np.zeros(distinct_here, np.int64), np.zeros(distinct_here, np.int64), np.full(distinct_here, -1)
-        c[number], numbers[number] = count, own_s
-        kept = k > 0
-        state[number[kept]] = np.arange(int(kept.sum()))
-        key = np.append(np.repeat(np.arange(int(kept.sum())), k[kept]) * own.size + symbol, -1)
-        times, logs, parent = np.append(times, 0), np.log10(c + 1), own.root * 10.0 ** own.of_others()
-        base, known, score_ = [], [], []
-        for at, n in _parts(at, sizes):
-            first, s = _first(n), numbers[at]
-            gain = own.gains(s, first).astype(np.float64)
-            of = np.concatenate(([-1], state[at[:-1]]))
-            of[first] = -1
-            token = np.flatnonzero(of >= 0)
-            asked = of[token] * own.size + s[token]
-            i = np.searchsorted(key[:-1], asked)
-            seen = np.where(key[i] == asked, times[i], 0)
-            gain[token] = np.log10((seen + WEIGHT * parent[s[token]]) / (c[at[token - 1]] + WEIGHT) / own.root[s[token]])
-            base.append(np.add.reduceat(logs[at], first) - n * np.log10(total + distinct + 1))
-            known.append(np.add.reduceat((c > 0)[at].astype(np.int64), first))
-            score_.append(base[-1] + np.add.reduceat(gain, first))
-        columns = [block["doc_ids"].chunk(0)[0].values, block["held"].chunk(0)[0].values, pa.array(sizes), *(pa.array(np.concatenate(x)) for x in (known, base, score_))]
-        return pa.table(columns, names=["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
-
-    asked = written.select(F.col("block").alias("of"), F.posexplode("words").alias("number", "h"))
-    symbols = spark.createDataFrame([(int(h), i) for i, h in enumerate(tree.symbols.view(np.int64), 1)], "h long, s int")  # at most 1 / min_share + 1 rows
-    named = counts.join(F.broadcast(symbols), "h", "left").select("h", "c", F.coalesce("s", F.lit(0)).alias("s"))
-    answers = asked.join(named, "h").join(states, "h", "left").select("of", "number", "s", "c", "symbols", "times")
-    found = answers.mapInArrow(pack, "of long, rows long, entries long, data binary")
-    shape = f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double"
-    return written.drop("words").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(assemble, shape)
-
-
-def score_documents(docs: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+        """Counts of up to three words for a block, and what it asks for next."""
+        (number, ids, data), = opened(block)
+        x = Tokens(*data)
+        keys, u, back, _ = first_keys(x)
+        totals, at, counts = _answers(found, u, u[:0])[0][back], 0, []
+        for p, _ in keys.values():
+            counts.append(np.zeros(len(x.words), np.int64))
+            counts[-1][p] = totals[at : at + len(p)]
+            at += len(p)
+        p, _, tests, _, on = walk(x, counts)
+        _, long, n = long_keys(x, p[on])
+        state = _row(number, -1, ids, _packed(*data, *(c.astype(np.uint32) for c in counts)))
+        return pa.Table.from_batches([state, *_asks(number, parts, ids, (long, n), _tests(tests))])
+
+    def long_walk(x: Tokens, levels: Levels, p: np.ndarray, on: np.ndarray, c3: np.ndarray, found: dict, u: np.ndarray, totals: np.ndarray) -> tuple[Levels, list]:
+        """Contexts of over two words of the tokens ``on``."""
+        own, tests = p[on], []
+        deep = Levels(own, levels.p[on], 0)
+        deep.chain, deep.n = levels.chain[on], levels.n[on]
+        known = {n: np.zeros(len(x.words), np.int64) for n in range(4, depth + 2)}
+        key = {n: np.zeros(len(x.words), np.uint64) for n in range(3, depth + 2)}
+        known[3] = c3
+        at3, k3 = x.keys(range(3, 4), own - 1)[3] if len(own) else (own, own)
+        key[3][at3] = k3
+        for n, (at, k) in found.items():
+            known[n][at], key[n][at] = totals[np.searchsorted(u, k)], k
+        for d in range(3, depth + 1):
+            there = x.age[own] >= d
+            asked, gain = deep.step(np.where(there, known[d][own - 1], 0), known[d + 1][own])
+            tests.append((asked, key[d][own - 1], gain, known[d + 1][own], x.train[own]))
+        return deep, tests
+
+    def settle(state: pa.Table, found: pa.Table) -> pa.Table:
+        """Sums of the tokens without longer contexts, and what the others ask for."""
+        (number, ids, data), = opened(state)
+        x, counts = Tokens(*data[:4]), [c.astype(np.int64) for c in data[4:]]
+        p, levels, tests, _, on = walk(x, counts)
+        seen, long, _ = long_keys(x, p[on])
+        tested = _tests(tests)[0]
+        totals, kept = _answers(found, long, tested)
+        for d, (asked, keys, *_) in enumerate(tests):
+            levels.use(d, _kept(tested, kept, asked, keys))
+        deep, more = long_walk(x, levels, p, on, counts[2], seen, long, totals)
+        text, c1 = x.text[p], counts[0][p]
+        sums = [np.bincount(text, v, len(x.sizes)) for v in (np.log10(c1 + 1) - np.log10(total + distinct + 1), c1 > 0, np.where(on, 0, np.log10(levels.p)))]
+        steps = [(n.astype(np.uint32), c.astype(np.uint32)) for n, c, _, _ in deep.steps]
+        tested = _tests(more)
+        places = [np.where(asked, np.searchsorted(tested[0], keys), -1).astype(np.int32) for asked, keys, *_ in more]
+        rest = _packed(x.held, x.sizes, *sums, text[on].astype(np.int32), deep.p, np.array([len(tested[0])]), *(y for pair, at in zip(steps, places) for y in (*pair, at)))
+        return pa.Table.from_batches([_row(number, -1, ids, rest), *_asks(number, parts, ids, (long[:0], long[:0]), tested)])
+
+    def finish(state: pa.Table, found: pa.Table) -> pa.Table:
+        (_, ids, (held, sizes, base, known, score, text, p, asked, *steps)), = opened(state)
+        kept = np.append(_answers(found, text[:0], np.empty(asked[0]))[1], False)
+        for n, c, at in zip(steps[::3], steps[1::3], steps[2::3]):
+            p = np.where(kept[at], _smoothed(c, n, p), p)
+        score = score + np.bincount(text, np.log10(p), len(sizes))
+        columns = [ids, pa.array(held), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    def exchange(asks: DataFrame, state: DataFrame, then, shape: str) -> DataFrame:
+        answers = asks.select("block", "part", "data").groupBy("part").applyInArrow(_added(total), answer)
+        return state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(then, shape)
+
+    shape = _shape(kind)
+    first = materialise(exchange(blocks.mapInArrow(ask, shape), blocks, assemble, shape), "short")
+    discard(blocks)
+    second = materialise(exchange(first.where("part >= 0"), first.where("part < 0"), settle, shape), "long")
+    discard(first)
+    out = exchange(second.where("part >= 0"), second.where("part < 0"), finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out, total
+
+
+def score_documents(docs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """Learns from the rows outside the held-out fold and scores all rows."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    blocks = tokenised(docs.select("doc_id", held.alias("held"), "text"))
-    tree, counts, total, distinct = learn(blocks, min_share)
-    scored = score(blocks, tree, counts, word_states(blocks, tree), total, distinct)
-    return scored.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored, total = score_blocks(tokenised(docs.select("doc_id", held.alias("held"), "text")), depth)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:

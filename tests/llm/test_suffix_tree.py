@@ -1,14 +1,13 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from tessella.llm.common import word_hashes
-from tessella.llm.suffix_tree import END, WEIGHT, learn, score, score_documents, word_states
+from tessella.llm.suffix_tree import LEAST, MAX_DEPTH, WEIGHT, score_documents
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -35,55 +34,99 @@ def test_table(documents, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_states_are_distributions(documents):
-    tree, counts, total, distinct = learn(documents.select("text"))
-    assert abs(tree.root.sum() - 1) < 1e-9 and len(tree.contexts) == 2 and len(tree.contexts[0]) > 5
-    p = tree.root * 10.0 ** tree.gain
-    assert np.allclose(p.sum(1), 1, atol=1e-4) and (p > 0).all()
-    assert counts.agg(F.sum("c")).first()[0] == total and counts.count() == distinct
-
-
-def test_longest_suffix_state_scores(spark):
-    """After "a b" comes "c", after "x b" comes "d": only a context of two words tells."""
-    texts = ["a b c x b d " * 200] * 3
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    tree, counts, total, distinct = learn(df.select("text"), min_share=0.01)
-    probe = spark.createDataFrame([(1, False, "a b c x b d " * 20), (2, False, "a b d x b c " * 20)], "doc_id bigint, held boolean, text string")
-    got = {r["doc_id"]: r["score"] - r["base_score"] for r in score(probe, tree, counts, word_states(df.select("text"), tree), total, distinct).collect()}
-    assert got[1] > 40 and got[2] < got[1] - 50
-    h = {w: word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([1])) for w in "abcdx"}
-    number = {w: int(tree.numbers(x)[0]) for w, x in h.items()}
-    assert number["a"] * (tree.size + 1) + number["b"] in tree.contexts[1] and END in tree.symbols
-
-
-def test_word_states(spark, documents, texts):
-    """States of words outside the symbols: against brute force, as distributions, and more of them for more texts."""
-    tree, _, _, _ = learn(documents.select("text"))
-    got = {r["h"]: dict(zip(r["symbols"], r["times"])) for r in word_states(documents.select("text"), tree).collect()}
-    after, number = {}, {}
-    for text in texts.values():
-        ws = tokens(text)
-        for w in set(ws):
-            if w not in number:
-                h = np.array([END]) if w == "\0end" else word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))
-                number[w] = (int(h.view(np.int64)[0]), int(tree.numbers(h)[0]))
-        for a, b in zip(ws, ws[1:]):
-            if not number[a][1]:
-                after.setdefault(number[a][0], Counter())[number[b][1]] += 1
-    parent = tree.root * 10.0 ** tree.of_others()
-    want = {}
-    for h, c in after.items():
-        n = np.zeros(tree.size)
-        n[list(c)] = list(c.values())
-        p = (n + WEIGHT * parent) / (n.sum() + WEIGHT)
-        if n.sum() > 1 and n.sum() * (p * np.log(p / parent)).sum() > 0.5 * len(c) * np.log(n.sum()):
-            want[h] = dict(c)
-            unseen = sum(parent[s] for s in range(tree.size) if s not in c) * WEIGHT / (n.sum() + WEIGHT)
-            assert abs(sum(p[s] for s in c) + unseen - 1) < 1e-3
-    assert len(want) > 20 and len(set(want) ^ set(got)) <= 0.01 * len(want)
-    assert all(got[h] == want[h] for h in want.keys() & got.keys())
-    few = documents.where("doc_id % 4 = 0").select("text")
-    assert word_states(few, learn(few)[0]).count() < len(got)
+class Brute:
+    """The model by dictionaries, as the docstring has it."""
+
+    def __init__(self, texts, depth=MAX_DEPTH):
+        self.depth, rows = depth, [["\0start", *tokens(t)] for t in texts]
+        self.c = Counter(tuple(r[i - n + 1 : i + 1]) for r in rows for i in range(len(r)) for n in range(1, min(i, depth) + 2))
+        one = {k[0]: v for k, v in self.c.items() if len(k) == 1 and k[0] != "\0start"}
+        self.words, self.total, self.distinct = one, sum(one.values()), len(one)
+        self.next = {}
+        for g in self.c:
+            if len(g) > 1 or g[0] != "\0start":
+                self.next.setdefault(g[:-1], []).append(g[-1])
+        self.n = {s: sum(self.c[(*s, w)] for w in ws) for s, ws in self.next.items()}
+        self.kept = {s for s in self.next if s and self.retained(s)}
+
+    def root(self, w):
+        return (self.words.get(w, 0) + 1) / (self.total + self.distinct + 1)
+
+    def chain(self, s, w, only=None):
+        p = self.root(w)
+        for i in range(len(s) - 1, -1, -1):
+            t = s[i:]
+            if self.n.get(t, 0) >= LEAST and (only is None or t in only):
+                p = (self.c[(*t, w)] + WEIGHT * p) / (self.n[t] + WEIGHT)
+        return p
+
+    def retained(self, s):
+        n, ws = self.n[s], self.next[s]
+        if n < LEAST or n >= self.n[s[1:]] or any(len(self.next[s[i:]]) == 1 for i in range(1, len(s))):
+            return False
+        gain = sum(self.c[(*s, w)] * math.log(self.c[(*s, w)] / n / self.chain(s[1:], w)) for w in ws)
+        return gain > 0.5 * len(ws) * math.log(max(self.total, 2)) + 1e-9
+
+    def score(self, text):
+        r = ["\0start", *tokens(text)]
+        return sum(math.log10(self.chain(tuple(r[max(0, i - self.depth) : i]), r[i], self.kept)) for i in range(1, len(r)))
+
+
+def brute_check(df, rows, depth=MAX_DEPTH):
+    model = Brute([t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2], depth)
+    got = sorted((str(r["doc_id"]), r["score"]) for r in score_documents(df, depth).collect())
+    want = sorted((str(d), model.score(t)) for d, t in rows)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9, atol=1e-9)
+    return model
+
+
+def test_scores_are_those_of_brute_force(spark):
+    """Random texts of few words, near copies among them, so contexts of every depth are retained."""
+    rng = random.Random(3)
+    rows, base = [], [f"w{rng.randrange(30)}" for _ in range(120)]
+    for i in range(60):
+        text = [w if rng.random() < 0.9 else f"w{rng.randrange(30)}" for w in base] if i % 3 else [f"W{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(80))]
+        rows.append((i, " ".join(text)))
+    phrases = ["A m n o k 1", "B m n o k 2", "C g h i 3", "D g h i 4"]  # only the first word tells the last
+    rows += [(100 + i, " ".join(rng.choice(phrases) for _ in range(30))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    model = brute_check(df, rows)
+    assert {len(s) for s in model.kept} == {1, 2, 3, 4, 5}
+    brute_check(df, rows, 2)
+    s = max(model.kept, key=len)
+    assert abs(sum(model.chain(s, w, model.kept) for w in [*model.words, "an unknown word"]) - 1) < 1e-9
+
+
+def test_table_against_brute_force(documents, texts):
+    rows = list(texts.items())
+    model = brute_check(documents, rows)
+    few = Brute([t for d, t in rows if d % 4 == 0])
+    assert len(few.kept) < len(model.kept) / 2  # the tree grows with the corpus
+
+
+def test_blocks_and_parts_change_nothing(spark, documents, monkeypatch):
+    from tessella.llm import suffix_tree
+
+    key = lambda df: {r["doc_id"]: r["score"] for r in df.collect()}
+    one = key(score_documents(documents.coalesce(1)))
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 20000)
+    monkeypatch.setattr(suffix_tree, "ENTRIES", 5000)
+    many = key(score_documents(documents.repartition(3)))
+    assert one.keys() == many.keys() and all(abs(one[d] - many[d]) < 1e-6 for d in one)
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 2000}"
+    rows = [(i, " ".join(word() for _ in range(150))) for i in range(200)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)]
+    rows = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    n = Counter(t for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in score_documents(df).collect()}
+    twice, once = ([got[d] for d, t in rows if (n[t] > 1) is x] for x in (True, False))
+    assert min(twice) > max(once)
 
 
 def test_odd_input(spark, odd_docs, no_docs):
