@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a text that count as white space: [\x20\x09-\x0D].
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,12 +56,38 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     where, files = _files(spark, path)
     files.deleteOnExit(where)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the tables written inside are deleted when these are complete, not at the driver's leisure."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
+    """Like :func:`materialise`, dealt by ``key``, so that joining or grouping by it moves nothing."""
+    spark = df.sparkSession
+    name = f"tessella_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    with _shuffles_dropped(spark):
+        df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._written = path
+    return out
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables of :func:`materialise` that nothing will read again."""
     for df in tables:

@@ -21,13 +21,13 @@ All counts cover all training texts and nothing is sampled.  Texts are split int
 once, into blocks of ``BLOCK_BYTES``, which send every distinct n-gram once, with its count,
 to the task that its hash names, and get the total back, as sorted and compressed
 lists.  So there is one entry per block and n-gram, however frequent, and no list of what
-follows a word exists anywhere.  Three exchanges follow each other: counts of 1 to 3 words;
-tests of contexts of 1 and 2 words, and counts of longer n-grams for the tokens
-whose contexts go on; tests of the longer contexts.  A test sums over the tokens of
-all blocks, as k(s) is the sum of 1 / c(s w) over tokens.  Tasks hold about ``ENTRIES``
-entries, whatever the input.
+follows a word exists anywhere.  Four exchanges follow each other: counts of 1 and 2 words;
+tests of contexts of 1 word, and counts of 3 words for the tokens whose contexts go on;
+tests of 2 words, and counts of longer n-grams; tests of the longer contexts.  A test
+sums over the tokens of all blocks, as k(s) is the sum of 1 / c(s w) over tokens.  Tasks
+hold about ``ENTRIES`` entries, whatever the input, and the blocks themselves never move.
 
-Hashes have 56 bits of each n-gram; colliding ones would share a count.
+Hashes have ``BITS`` bits of each n-gram; colliding ones would share a count.
 
 Results for odd input: a null or empty text is the end token alone.  If nothing is
 left to train on, all counts are 0 and score equals base_score.  Texts of any length are
@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix, slices, table, utf8, word_hashes, words
+from .common import bucketed, discard, materialise, mix, slices, table, utf8, word_hashes, words
 
 MAX_DEPTH = 5
 #: Occurrences of a candidate.
@@ -60,6 +60,7 @@ BLOCK_BYTES = 12 << 20
 CHUNK = 2 << 20
 #: N-grams that a task adds up.
 ENTRIES = 2 << 20
+BITS = 52
 #: Stand for the end and the start of a text among word hashes.
 END, START = np.uint64(1), np.uint64(2)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -92,7 +93,9 @@ def tokenised(docs: DataFrame) -> DataFrame:
                 block += 1
 
     rows = docs.select("doc_id", F.coalesce("held", F.lit(False)).alias("held"), "text")
-    return materialise(rows.mapInArrow(blocks, _shape(kind)), "blocks")
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(100_000, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole // (4 * BLOCK_BYTES)))
+    return bucketed(rows.mapInArrow(blocks, _shape(kind)), "block", buckets, "blocks")
 
 
 def _shape(kind: str) -> str:
@@ -142,7 +145,7 @@ class Tokens:
                 p, g = p[ok], g[ok]
             g = mix(g * ODD + self.words[p - n + 1] + np.uint64(n))
             if n in orders:
-                out[n] = p, g >> np.uint64(8)
+                out[n] = p, g >> np.uint64(64 - BITS)
         return out
 
 
@@ -153,7 +156,7 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _dealt(parts: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, from, to) of sorted keys."""
-    bounds = np.searchsorted(keys, (np.arange(parts + 1, dtype=object) * (1 << 56) // parts).astype(np.uint64))
+    bounds = np.searchsorted(keys, (np.arange(parts + 1, dtype=object) * (1 << BITS) // parts).astype(np.uint64))
     return [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
 
@@ -162,7 +165,7 @@ def _asks(block: int, parts: int, ids: pa.Array, counted: tuple, tested: tuple)
     a, b = ({i: (x, y) for i, x, y in _dealt(parts, keys)} for keys in (counted[0], tested[0]))
     for i in sorted({*a, *b}):
         (x, y), (v, w) = a.get(i, (0, 0)), b.get(i, (0, 0))
-        yield _row(block, i, ids[:0], _packed(counted[0][x:y], counted[1][x:y].astype(np.uint32), tested[0][v:w], *(t[v:w] for t in tested[1:])))
+        yield _row(block, i, ids[:0], _packed(counted[0][x:y], counted[1][x:y].astype(np.uint32), tested[0][v:w], *(t[v:w].astype(np.float32) for t in tested[1:])))
 
 
 def _added(tokens: int):
@@ -184,12 +187,19 @@ def _added(tokens: int):
     return add
 
 
-def _answers(found: pa.Table, counted: np.ndarray, tested: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_unpacked(x) for x in found.sort_by("part")["data"].to_pylist()]
+def _answers(found: pa.Table, counted: np.ndarray, tested: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What the block kept for itself, totals of its n-grams, and which of its contexts are retained."""
+    found = found.sort_by("part")
+    own, parts = [], []
+    for part, data in zip(found["part"].to_pylist(), found["data"].to_pylist()):
+        if part < 0:
+            own = _unpacked(data)
+        else:
+            parts.append(_unpacked(data))
     totals, kept = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in parts)]), np.concatenate([np.zeros(0, bool), *(x[1] for x in parts)])
     if len(totals) != len(counted) or len(kept) != len(tested):
         raise RuntimeError("a block's answers don't fit its questions")
-    return totals, kept
+    return own, totals, kept
 
 
 def _smoothed(c: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -238,82 +248,99 @@ def _kept(tested: np.ndarray, kept: np.ndarray, asked: np.ndarray, keys: np.ndar
 
 def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
     """doc_id, held_out, n_tokens, n_known, base_score, score for each text of ``blocks``, and the number of training tokens."""
+    if depth < 3:
+        raise ValueError("contexts of at least three words")
     spark, kind = blocks.sparkSession, blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    short, answer = range(1, 4), "block long, part int, data binary"
 
-    def opened(batch) -> Iterator[tuple[int, pa.Array, list[np.ndarray]]]:
+    def opened(batch) -> Iterator[tuple[int, pa.Array, Tokens]]:
         for i in range(len(batch["block"])):
-            ids = batch["doc_ids"][i].values
-            yield batch["block"][i].as_py(), ids, _unpacked(batch["data"][i].as_py())
+            yield batch["block"][i].as_py(), batch["doc_ids"][i].values, Tokens(*_unpacked(batch["data"][i].as_py()))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, (held, sizes, at, u) in opened(batch):
+            for data in batch["data"].to_pylist():
+                held, sizes, at, u = _unpacked(data)
                 n = np.bincount(at[np.repeat(~held, sizes)], minlength=len(u))
-                yield pa.record_batch([pa.array(u[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64)), pa.array(np.full((n > 0).sum(), len(at)))], names=["h", "c", "all"])
+                yield pa.record_batch([pa.array(u[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], names=["h", "c"])
 
-    counts = blocks.mapInArrow(count_words, "h long, c long, all long").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = blocks.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 5 // 4 // ENTRIES))
-    if depth < 2:
-        raise ValueError("contexts of at least two words")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRIES))
+
+    def asked_keys(x: Tokens, orders: range, only: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        """n-grams of ``orders``: positions and keys, distinct keys, the place of each among them, and their counts here."""
+        found = x.keys(orders, only) if only is None or len(only) else {}
+        u, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for _, k in found.values())]), return_inverse=True)
+        return found, u, back, np.bincount(back, np.concatenate([np.zeros(0), *(x.train[p] for p, _ in found.values())]), len(u))
+
+    def spread(x: Tokens, found: dict, totals: np.ndarray) -> list[np.ndarray]:
+        """Counts by position of each order."""
+        out, at = [], 0
+        for p, _ in found.values():
+            out.append(np.zeros(len(x.words), np.uint32))
+            out[-1][p] = totals[at : at + len(p)]
+            at += len(p)
+        return out
 
-    def first_keys(x: Tokens) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-        found = x.keys(short)
-        u, back = np.unique(np.concatenate([k for _, k in found.values()]), return_inverse=True)
-        return found, u, back, np.bincount(back, np.concatenate([x.train[p] for p, _ in found.values()]), len(u))
+    def on(x: Tokens, p: np.ndarray, levels: Levels, mine: np.ndarray, d: int) -> np.ndarray:
+        """Those of the tokens ``p`` whose contexts of ``d`` words, which occur ``mine`` times where they end, go on."""
+        return levels.open & (x.age[p] >= d) & (mine[p - 1] >= LEAST)
+
+    def walk(x: Tokens, counts: list[np.ndarray]) -> tuple[np.ndarray, Levels, list]:
+        """Contexts of every token, as long as counts are known, and what to test of them."""
+        p, keys = np.flatnonzero(x.age > 0), x.keys(range(1, len(counts)))
+        levels, tests = Levels(p, (counts[0][p].astype(float) + 1) / (total + distinct + 1), total), []
+        for n, (mine, longer) in enumerate(zip(counts, counts[1:]), 1):
+            key = np.zeros(len(x.words), np.uint64)
+            key[keys[n][0]] = keys[n][1]
+            after = longer[p].astype(np.int64)
+            asked, gain = levels.step(np.where(x.age[p] >= n, mine[p - 1], 0).astype(np.int64), after)
+            tests.append((asked, key[p - 1], gain, after, x.train[p]))
+        return p, levels, tests
+
+    def ends(own: np.ndarray) -> np.ndarray:
+        """The tokens ``own`` and those right before: where their n-grams and contexts end."""
+        return np.union1d(own, own - 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
         for batch in batches:
-            for block, ids, data in opened(batch):
-                _, u, _, n = first_keys(Tokens(*data))
+            for block, ids, x in opened(batch):
+                _, u, _, n = asked_keys(x, range(1, 3))
                 yield from _asks(block, parts, ids, (u, n), none)
 
-    def walk(x: Tokens, counts: list[np.ndarray]) -> tuple[np.ndarray, Levels, list, dict, np.ndarray]:
-        """Contexts of one and two words of every token, what to test of them, n-grams' keys, and the tokens that have longer contexts."""
-        c1, c2, c3 = counts
-        p, keys = np.flatnonzero(x.age > 0), x.keys(range(1, 3))
-        key = {n: np.zeros(len(x.words), np.uint64) for n in (1, 2)}
-        for n, (at, k) in keys.items():
-            key[n][at] = k
-        levels, tests = Levels(p, (c1[p] + 1) / (total + distinct + 1), total), []
-        for n, mine, longer in ((1, c1, c2), (2, c2, c3)):
-            before = np.where(x.age[p] >= n, mine[p - 1], 0)
-            asked, gain = levels.step(before, longer[p])
-            tests.append((asked, key[n][p - 1], gain, longer[p], x.train[p]))
-        on = levels.open & (x.age[p] >= 3) & (c3[p - 1] >= LEAST) if depth > 2 else np.zeros(len(p), bool)
-        return p, levels, tests, key, on
-
-    def long_keys(x: Tokens, on: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
-        """Keys of n-grams of over three words that end at the tokens ``on`` or right before them."""
-        found = x.keys(range(4, depth + 2), np.union1d(on, on - 1)) if len(on) else {}
-        keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in found.values())])
-        return found, *_sums(keys, np.concatenate([np.zeros(0), *(x.train[p] for p, _ in found.values())]))
-
-    def assemble(block: pa.Table, found: pa.Table) -> pa.Table:
-        """Counts of up to three words for a block, and what it asks for next."""
-        (number, ids, data), = opened(block)
-        x = Tokens(*data)
-        keys, u, back, _ = first_keys(x)
-        totals, at, counts = _answers(found, u, u[:0])[0][back], 0, []
-        for p, _ in keys.values():
-            counts.append(np.zeros(len(x.words), np.int64))
-            counts[-1][p] = totals[at : at + len(p)]
-            at += len(p)
-        p, _, tests, _, on = walk(x, counts)
-        _, long, n = long_keys(x, p[on])
-        state = _row(number, -1, ids, _packed(*data, *(c.astype(np.uint32) for c in counts)))
-        return pa.Table.from_batches([state, *_asks(number, parts, ids, (long, n), _tests(tests))])
-
-    def long_walk(x: Tokens, levels: Levels, p: np.ndarray, on: np.ndarray, c3: np.ndarray, found: dict, u: np.ndarray, totals: np.ndarray) -> tuple[Levels, list]:
-        """Contexts of over two words of the tokens ``on``."""
-        own, tests = p[on], []
-        deep = Levels(own, levels.p[on], 0)
-        deep.chain, deep.n = levels.chain[on], levels.n[on]
+    def ask_three(block: pa.Table, found: pa.Table) -> pa.Table:
+        """Gets counts of one and two words; tests contexts of one word, counts three words."""
+        (number, ids, x), = opened(block)
+        keys, u, back, _ = asked_keys(x, range(1, 3))
+        counts = spread(x, keys, _answers(found, u, u[:0])[1][back])
+        p, levels, tests = walk(x, counts)
+        _, three, _, n = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
+        return pa.Table.from_batches([_row(number, -1, ids[:0], _packed(*counts)), *_asks(number, parts, ids, (three, n), _tests(tests))])
+
+    def ask_long(block: pa.Table, found: pa.Table) -> pa.Table:
+        """Gets counts of three words; tests contexts of two words, counts longer n-grams."""
+        (number, ids, x), = opened(block)
+        own = found["part"].to_pylist().index(-1)
+        counts = _unpacked(found["data"][own].as_py())
+        p, levels, tests = walk(x, counts)
+        keys, three, back, _ = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
+        tested = _tests(tests)[0]
+        _, totals, kept = _answers(found, three, tested)
+        kept = _kept(tested, kept, *tests[0][:2])
+        counts += spread(x, keys, totals[back]) or [np.zeros(len(x.words), np.uint32)]
+        p, levels, tests = walk(x, counts)
+        _, long, _, n = asked_keys(x, range(4, depth + 2), ends(p[on(x, p, levels, counts[2], 3)]))
+        return pa.Table.from_batches([_row(number, -1, ids[:0], _packed(*counts, np.packbits(kept))), *_asks(number, parts, ids, (long, n), _tests(tests[1:]))])
+
+    def long_walk(x: Tokens, levels: Levels, p: np.ndarray, goes_on: np.ndarray, c3: np.ndarray, found: dict, u: np.ndarray, totals: np.ndarray) -> tuple[Levels, list]:
+        """Contexts of over two words of the tokens that have any."""
+        own, tests = p[goes_on], []
+        deep = Levels(own, levels.p[goes_on], 0)
+        deep.chain, deep.n = levels.chain[goes_on], levels.n[goes_on]
         known = {n: np.zeros(len(x.words), np.int64) for n in range(4, depth + 2)}
         key = {n: np.zeros(len(x.words), np.uint64) for n in range(3, depth + 2)}
-        known[3] = c3
+        known[3] = c3.astype(np.int64)
         at3, k3 = x.keys(range(3, 4), own - 1)[3] if len(own) else (own, own)
         key[3][at3] = k3
         for n, (at, k) in found.items():
@@ -324,45 +351,52 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
             tests.append((asked, key[d][own - 1], gain, known[d + 1][own], x.train[own]))
         return deep, tests
 
-    def settle(state: pa.Table, found: pa.Table) -> pa.Table:
-        """Sums of the tokens without longer contexts, and what the others ask for."""
-        (number, ids, data), = opened(state)
-        x, counts = Tokens(*data[:4]), [c.astype(np.int64) for c in data[4:]]
-        p, levels, tests, _, on = walk(x, counts)
-        seen, long, _ = long_keys(x, p[on])
-        tested = _tests(tests)[0]
-        totals, kept = _answers(found, long, tested)
-        for d, (asked, keys, *_) in enumerate(tests):
-            levels.use(d, _kept(tested, kept, asked, keys))
-        deep, more = long_walk(x, levels, p, on, counts[2], seen, long, totals)
-        text, c1 = x.text[p], counts[0][p]
-        sums = [np.bincount(text, v, len(x.sizes)) for v in (np.log10(c1 + 1) - np.log10(total + distinct + 1), c1 > 0, np.where(on, 0, np.log10(levels.p)))]
+    def settle(block: pa.Table, found: pa.Table) -> pa.Table:
+        """Sums the tokens without longer contexts, and tests those of the others."""
+        (number, ids, x), = opened(block)
+        own = found["part"].to_pylist().index(-1)
+        *counts, first = _unpacked(found["data"][own].as_py())
+        p, levels, tests = walk(x, counts)
+        goes_on = on(x, p, levels, counts[2], 3)
+        seen, long, _, _ = asked_keys(x, range(4, depth + 2), ends(p[goes_on]))
+        tested = _tests(tests[1:])[0]
+        _, totals, kept = _answers(found, long, tested)
+        levels.use(0, np.unpackbits(first, count=len(p)).astype(bool))
+        levels.use(1, _kept(tested, kept, *tests[1][:2]))
+        deep, more = long_walk(x, levels, p, goes_on, counts[2], seen, long, totals)
+        text, c1 = x.text[p], counts[0][p].astype(np.int64)
+        sums = [np.bincount(text, v, len(x.sizes)) for v in (np.log10(c1 + 1) - np.log10(total + distinct + 1), c1 > 0, np.where(goes_on, 0, np.log10(levels.p)))]
         steps = [(n.astype(np.uint32), c.astype(np.uint32)) for n, c, _, _ in deep.steps]
         tested = _tests(more)
         places = [np.where(asked, np.searchsorted(tested[0], keys), -1).astype(np.int32) for asked, keys, *_ in more]
-        rest = _packed(x.held, x.sizes, *sums, text[on].astype(np.int32), deep.p, np.array([len(tested[0])]), *(y for pair, at in zip(steps, places) for y in (*pair, at)))
-        return pa.Table.from_batches([_row(number, -1, ids, rest), *_asks(number, parts, ids, (long[:0], long[:0]), tested)])
-
-    def finish(state: pa.Table, found: pa.Table) -> pa.Table:
-        (_, ids, (held, sizes, base, known, score, text, p, asked, *steps)), = opened(state)
-        kept = np.append(_answers(found, text[:0], np.empty(asked[0]))[1], False)
+        rest = _packed(*sums, text[goes_on].astype(np.int32), deep.p, *(y for pair, at in zip(steps, places) for y in (*pair, at)))
+        return pa.Table.from_batches([_row(number, -1, ids[:0], rest), *_asks(number, parts, ids, (long[:0], long[:0]), tested)])
+
+    def finish(block: pa.Table, found: pa.Table) -> pa.Table:
+        (_, ids, x), = opened(block)
+        asked = sum(len(_unpacked(d)[1]) for q, d in zip(found["part"].to_pylist(), found["data"].to_pylist()) if q >= 0)
+        (base, known, score, text, p, *steps), _, kept = _answers(found, x.u[:0], np.empty(asked))
+        kept = np.append(kept, False)
         for n, c, at in zip(steps[::3], steps[1::3], steps[2::3]):
             p = np.where(kept[at], _smoothed(c, n, p), p)
-        score = score + np.bincount(text, np.log10(p), len(sizes))
-        columns = [ids, pa.array(held), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+        score = score + np.bincount(text, np.log10(p), len(x.sizes))
+        columns = [ids, pa.array(x.held), pa.array(x.sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    def exchange(asks: DataFrame, state: DataFrame, then, shape: str) -> DataFrame:
-        answers = asks.select("block", "part", "data").groupBy("part").applyInArrow(_added(total), answer)
-        return state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(then, shape)
+    def exchange(asks: DataFrame, then, shape: str) -> DataFrame:
+        rows = asks.select("block", "part", "data")
+        answers = rows.where("part >= 0").groupBy("part").applyInArrow(_added(total), "block long, part int, data binary")
+        if then is not ask_three:  # what blocks kept for themselves
+            answers = answers.unionByName(rows.where("part < 0"))
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(then, shape)
 
     shape = _shape(kind)
-    first = materialise(exchange(blocks.mapInArrow(ask, shape), blocks, assemble, shape), "short")
-    discard(blocks)
-    second = materialise(exchange(first.where("part >= 0"), first.where("part < 0"), settle, shape), "long")
-    discard(first)
-    out = exchange(second.where("part >= 0"), second.where("part < 0"), finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out, total
+    asks = blocks.mapInArrow(ask, shape)
+    for tag, then in (("short", ask_three), ("three", ask_long), ("long", settle)):
+        written = materialise(exchange(asks, then, shape), tag)
+        discard(asks)
+        asks = written
+    return exchange(asks, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
 
 
 def score_documents(docs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:

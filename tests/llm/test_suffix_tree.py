@@ -93,7 +93,7 @@ def test_scores_are_those_of_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     model = brute_check(df, rows)
     assert {len(s) for s in model.kept} == {1, 2, 3, 4, 5}
-    brute_check(df, rows, 2)
+    brute_check(df, rows, 3)
     s = max(model.kept, key=len)
     assert abs(sum(model.chain(s, w, model.kept) for w in [*model.words, "an unknown word"]) - 1) < 1e-9
 
