@@ -154,6 +154,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct entries and how often each occurs, by one sort."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of rows of at most ``most`` bytes each, or of one longer row."""
     out, start = [], 0

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, discard, materialise, mix, slices, table, utf8, word_hashes, words
+from .common import bucketed, discard, distinct, materialise, mix, slices, table, utf8, word_hashes, words
 
 MAX_DEPTH = 5
 #: Occurrences of a candidate.
@@ -56,7 +56,7 @@ LEAST = 2
 #: A state counts as this many observations of its suffix's distribution.
 WEIGHT = 4.0
 #: Texts of a block, and texts that are hashed at a time.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 CHUNK = 2 << 20
 #: N-grams that a task adds up.
 ENTRIES = 2 << 20
@@ -85,7 +85,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
                     for column, x in zip((known, places), np.unique(h, return_inverse=True)):
                         column.append(x)
                     sizes.append(n + 1)
-                u = np.unique(np.concatenate(known))
+                u = distinct(np.concatenate(known))[0]
                 at = np.concatenate([np.searchsorted(u, k).astype(np.uint32)[i] for k, i in zip(known, places)])
                 part = batch.slice(start, end - start)
                 held = part["held"].to_numpy(zero_copy_only=False).astype(bool)
@@ -131,19 +131,22 @@ class Tokens:
         length = sizes + 1
         self.text = np.repeat(np.arange(len(sizes)), length)
         self.age = np.arange(len(self.text)) - np.repeat(np.cumsum(length) - length, length)  # 0 at a start
-        self.words = np.full(len(self.text), START, np.uint64)
-        self.words[self.age > 0] = u[at]
+        self.place = np.full(len(self.text), len(u), np.uint32)  # among the words, of which a start is the last
+        self.place[self.age > 0] = at
+        self.words = np.append(u, START)[self.place]
+        self.single = mix(ODD * ODD + np.append(u, START) + np.uint64(1))
         self.train = ~held[self.text]
 
     def keys(self, orders: range, only: np.ndarray | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """For each order, positions where that many words end and these n-grams' keys; ``only`` some positions."""
         p = np.arange(len(self.words)) if only is None else only
-        g, out = np.full(len(p), ODD), {}
+        g, out = self.single[self.place[p]], {}
         for n in range(1, orders[-1] + 1):
             ok = self.age[p] >= n - 1
             if not ok.all():
                 p, g = p[ok], g[ok]
-            g = mix(g * ODD + self.words[p - n + 1] + np.uint64(n))
+            if n > 1:
+                g = mix(g * ODD + self.words[p - n + 1] + np.uint64(n))
             if n in orders:
                 out[n] = p, g >> np.uint64(64 - BITS)
         return out
@@ -241,8 +244,9 @@ def _tests(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _kept(tested: np.ndarray, kept: np.ndarray, asked: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(asked), bool)
-    out[asked] = kept[np.searchsorted(tested, keys[asked])]
+    out, at = np.zeros(len(asked), bool), np.flatnonzero(asked)
+    order = np.argsort(keys[at])  # neighbours look near each other
+    out[at[order]] = kept[np.searchsorted(tested, keys[at[order]])]
     return out
 
 
@@ -264,24 +268,36 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
                 yield pa.record_batch([pa.array(u[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], names=["h", "c"])
 
     counts = blocks.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRIES))
 
-    def asked_keys(x: Tokens, orders: range, only: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-        """n-grams of ``orders``: positions and keys, distinct keys, the place of each among them, and their counts here."""
+    def asked_keys(x: Tokens, orders: range, only: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
+        """n-grams of ``orders``: positions and keys, and distinct keys in order."""
         found = x.keys(orders, only) if only is None or len(only) else {}
-        u, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for _, k in found.values())]), return_inverse=True)
-        return found, u, back, np.bincount(back, np.concatenate([np.zeros(0), *(x.train[p] for p, _ in found.values())]), len(u))
+        one = x.single >> np.uint64(64 - BITS) if only is None else np.zeros(0, np.uint64)
+        return found, distinct(np.concatenate([one, *(k for _, k in found.values())]))[0]
+
+    def counted(x: Tokens, found: dict, u: np.ndarray) -> np.ndarray:
+        """How often each distinct key stands in the training texts of the block."""
+        own, n = distinct(np.concatenate([np.zeros(0, np.uint64), *(k[x.train[p]] for p, k in found.values())]))
+        out = np.zeros(len(u), np.int64)
+        out[np.searchsorted(u, own)] = n
+        return out
 
-    def spread(x: Tokens, found: dict, totals: np.ndarray) -> list[np.ndarray]:
+    def spread(x: Tokens, found: dict, u: np.ndarray, totals: np.ndarray) -> list[np.ndarray]:
         """Counts by position of each order."""
-        out, at = [], 0
-        for p, _ in found.values():
+        out = []
+        for p, k in found.values():
             out.append(np.zeros(len(x.words), np.uint32))
-            out[-1][p] = totals[at : at + len(p)]
-            at += len(p)
+            order = np.argsort(k)  # neighbours look near each other
+            out[-1][p[order]] = totals[np.searchsorted(u, k[order])]
         return out
 
+    def one_and_two(x: Tokens) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Pairs of words and their keys, distinct keys of words and pairs, and the counts of words in the training texts of the block."""
+        found, u = asked_keys(x, range(2, 3))
+        return found, u, np.bincount(x.place[x.train], minlength=len(x.single))
+
     def on(x: Tokens, p: np.ndarray, levels: Levels, mine: np.ndarray, d: int) -> np.ndarray:
         """Those of the tokens ``p`` whose contexts of ``d`` words, which occur ``mine`` times where they end, go on."""
         return levels.open & (x.age[p] >= d) & (mine[p - 1] >= LEAST)
@@ -289,7 +305,7 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
     def walk(x: Tokens, counts: list[np.ndarray]) -> tuple[np.ndarray, Levels, list]:
         """Contexts of every token, as long as counts are known, and what to test of them."""
         p, keys = np.flatnonzero(x.age > 0), x.keys(range(1, len(counts)))
-        levels, tests = Levels(p, (counts[0][p].astype(float) + 1) / (total + distinct + 1), total), []
+        levels, tests = Levels(p, (counts[0][p].astype(float) + 1) / (total + vocabulary + 1), total), []
         for n, (mine, longer) in enumerate(zip(counts, counts[1:]), 1):
             key = np.zeros(len(x.words), np.uint64)
             key[keys[n][0]] = keys[n][1]
@@ -306,32 +322,39 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
         for batch in batches:
             for block, ids, x in opened(batch):
-                _, u, _, n = asked_keys(x, range(1, 3))
+                found, u, ones = one_and_two(x)
+                n = counted(x, found, u)
+                n[np.searchsorted(u, x.single >> np.uint64(64 - BITS))] += ones
                 yield from _asks(block, parts, ids, (u, n), none)
 
     def ask_three(block: pa.Table, found: pa.Table) -> pa.Table:
         """Gets counts of one and two words; tests contexts of one word, counts three words."""
         (number, ids, x), = opened(block)
-        keys, u, back, _ = asked_keys(x, range(1, 3))
-        counts = spread(x, keys, _answers(found, u, u[:0])[1][back])
+        two, u, _ = one_and_two(x)
+        totals = _answers(found, u, u[:0])[1]
+        ones = totals[np.searchsorted(u, x.single >> np.uint64(64 - BITS))].astype(np.uint32)
+        counts = [ones[x.place], *(spread(x, two, u, totals) or [np.zeros(len(x.words), np.uint32)])]
         p, levels, tests = walk(x, counts)
-        _, three, _, n = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
-        return pa.Table.from_batches([_row(number, -1, ids[:0], _packed(*counts)), *_asks(number, parts, ids, (three, n), _tests(tests))])
+        three, u = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
+        state = _row(number, -1, ids[:0], _packed(ones, counts[1]))
+        return pa.Table.from_batches([state, *_asks(number, parts, ids, (u, counted(x, three, u)), _tests(tests))])
 
     def ask_long(block: pa.Table, found: pa.Table) -> pa.Table:
         """Gets counts of three words; tests contexts of two words, counts longer n-grams."""
         (number, ids, x), = opened(block)
         own = found["part"].to_pylist().index(-1)
-        counts = _unpacked(found["data"][own].as_py())
-        p, levels, tests = walk(x, counts)
-        keys, three, back, _ = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
-        tested = _tests(tests)[0]
-        _, totals, kept = _answers(found, three, tested)
-        kept = _kept(tested, kept, *tests[0][:2])
-        counts += spread(x, keys, totals[back]) or [np.zeros(len(x.words), np.uint32)]
+        ones, c2 = _unpacked(found["data"][own].as_py())
+        p, levels, tests = walk(x, [ones[x.place], c2])
+        three, u = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, c2, 2)]))
+        tested = distinct(tests[0][1][tests[0][0]])[0]
+        _, totals, kept = _answers(found, u, tested)
+        words_kept = np.zeros(len(x.single), bool)
+        words_kept[x.place[p - 1]] = _kept(tested, kept, *tests[0][:2])
+        counts = [ones[x.place], c2, *(spread(x, three, u, totals) or [np.zeros(len(x.words), np.uint32)])]
         p, levels, tests = walk(x, counts)
-        _, long, _, n = asked_keys(x, range(4, depth + 2), ends(p[on(x, p, levels, counts[2], 3)]))
-        return pa.Table.from_batches([_row(number, -1, ids[:0], _packed(*counts, np.packbits(kept))), *_asks(number, parts, ids, (long, n), _tests(tests[1:]))])
+        long, u = asked_keys(x, range(4, depth + 2), ends(p[on(x, p, levels, counts[2], 3)]))
+        state = _row(number, -1, ids[:0], _packed(ones, *counts[1:], words_kept))
+        return pa.Table.from_batches([state, *_asks(number, parts, ids, (u, counted(x, long, u)), _tests(tests[1:]))])
 
     def long_walk(x: Tokens, levels: Levels, p: np.ndarray, goes_on: np.ndarray, c3: np.ndarray, found: dict, u: np.ndarray, totals: np.ndarray) -> tuple[Levels, list]:
         """Contexts of over two words of the tokens that have any."""
@@ -355,17 +378,18 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         """Sums the tokens without longer contexts, and tests those of the others."""
         (number, ids, x), = opened(block)
         own = found["part"].to_pylist().index(-1)
-        *counts, first = _unpacked(found["data"][own].as_py())
+        ones, c2, c3, words_kept = _unpacked(found["data"][own].as_py())
+        counts = [ones[x.place], c2, c3]
         p, levels, tests = walk(x, counts)
         goes_on = on(x, p, levels, counts[2], 3)
-        seen, long, _, _ = asked_keys(x, range(4, depth + 2), ends(p[goes_on]))
-        tested = _tests(tests[1:])[0]
+        seen, long = asked_keys(x, range(4, depth + 2), ends(p[goes_on]))
+        tested = distinct(tests[1][1][tests[1][0]])[0]
         _, totals, kept = _answers(found, long, tested)
-        levels.use(0, np.unpackbits(first, count=len(p)).astype(bool))
+        levels.use(0, words_kept[x.place[p - 1]])
         levels.use(1, _kept(tested, kept, *tests[1][:2]))
         deep, more = long_walk(x, levels, p, goes_on, counts[2], seen, long, totals)
         text, c1 = x.text[p], counts[0][p].astype(np.int64)
-        sums = [np.bincount(text, v, len(x.sizes)) for v in (np.log10(c1 + 1) - np.log10(total + distinct + 1), c1 > 0, np.where(goes_on, 0, np.log10(levels.p)))]
+        sums = [np.bincount(text, v, len(x.sizes)) for v in (np.log10(c1 + 1) - np.log10(total + vocabulary + 1), c1 > 0, np.where(goes_on, 0, np.log10(levels.p)))]
         steps = [(n.astype(np.uint32), c.astype(np.uint32)) for n, c, _, _ in deep.steps]
         tested = _tests(more)
         places = [np.where(asked, np.searchsorted(tested[0], keys), -1).astype(np.int32) for asked, keys, *_ in more]
