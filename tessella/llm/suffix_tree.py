@@ -123,6 +123,11 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
     return [back(x) for x in pickle.loads(zstandard.decompress(data))]
 
 
+def _key(h: np.ndarray, single: bool = False) -> np.ndarray:
+    """``BITS`` bits of a hash; the last one tells single words."""
+    return h >> np.uint64(64 - BITS) | np.uint64(1) if single else h >> np.uint64(64 - BITS) & ~np.uint64(1)
+
+
 class Tokens:
     """Words of a block's texts in a row, each text with a start before and an end after it."""
 
@@ -134,7 +139,7 @@ class Tokens:
         self.place = np.full(len(self.text), len(u), np.uint32)  # among the words, of which a start is the last
         self.place[self.age > 0] = at
         self.words = np.append(u, START)[self.place]
-        self.single = mix(ODD * ODD + np.append(u, START) + np.uint64(1))
+        self.single = mix(np.append(u, START) * ODD + np.uint64(1))
         self.train = ~held[self.text]
 
     def keys(self, orders: range, only: np.ndarray | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -148,7 +153,7 @@ class Tokens:
             if n > 1:
                 g = mix(g * ODD + self.words[p - n + 1] + np.uint64(n))
             if n in orders:
-                out[n] = p, g >> np.uint64(64 - BITS)
+                out[n] = p, _key(g, n == 1)
         return out
 
 
@@ -185,7 +190,9 @@ def _added(tokens: int):
         kept = (gain > 0.5 * k * np.log(max(tokens, 2)) + 1e-9)[back]
         first, second = (np.append(0, np.cumsum([len(x) for x in every[j]])) for j in (0, 2))
         data = [_packed(totals[a:b], kept[c:d]) for a, b, c, d in zip(first, first[1:], second, second[1:])]
-        return pa.table([rows["block"], rows["part"], pa.array(data, pa.binary())], names=["block", "part", "data"])
+        words_ = np.full(len(data), 0)
+        words_[:1] = len(distinct(np.concatenate(every[0])[(totals > 0) & (np.concatenate(every[0]) & np.uint64(1) > 0)])[0])
+        return pa.table([rows["block"], rows["part"], pa.array(data, pa.binary()), pa.array(words_)], names=["block", "part", "data", "words"])
 
     return add
 
@@ -260,21 +267,19 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         for i in range(len(batch["block"])):
             yield batch["block"][i].as_py(), batch["doc_ids"][i].values, Tokens(*_unpacked(batch["data"][i].as_py()))
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch["data"].to_pylist():
-                held, sizes, at, u = _unpacked(data)
-                n = np.bincount(at[np.repeat(~held, sizes)], minlength=len(u))
-                yield pa.record_batch([pa.array(u[n > 0].view(np.int64)), pa.array(n[n > 0].astype(np.int64))], names=["h", "c"])
+            n = [x[1][~x[0]] for x in map(_unpacked, batch["data"].to_pylist())]
+            yield pa.record_batch([pa.array([int(x.sum()) for x in n], pa.int64()), pa.array(list(map(len, n)), pa.int64())], names=["tokens", "texts"])
 
-    counts = blocks.mapInArrow(count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    zero = F.lit(0).cast("long")
+    total, texts = blocks.select("data").mapInArrow(count_tokens, "tokens long, texts long").agg(F.coalesce(F.sum("tokens"), zero), F.coalesce(F.sum("texts"), zero)).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRIES))
 
     def asked_keys(x: Tokens, orders: range, only: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
         """n-grams of ``orders``: positions and keys, and distinct keys in order."""
         found = x.keys(orders, only) if only is None or len(only) else {}
-        one = x.single >> np.uint64(64 - BITS) if only is None else np.zeros(0, np.uint64)
+        one = _key(x.single, True) if only is None else np.zeros(0, np.uint64)
         return found, distinct(np.concatenate([one, *(k for _, k in found.values())]))[0]
 
     def counted(x: Tokens, found: dict, u: np.ndarray) -> np.ndarray:
@@ -324,7 +329,7 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
             for block, ids, x in opened(batch):
                 found, u, ones = one_and_two(x)
                 n = counted(x, found, u)
-                n[np.searchsorted(u, x.single >> np.uint64(64 - BITS))] += ones
+                n[np.searchsorted(u, _key(x.single, True))] += ones
                 yield from _asks(block, parts, ids, (u, n), none)
 
     def ask_three(block: pa.Table, found: pa.Table) -> pa.Table:
@@ -332,7 +337,7 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         (number, ids, x), = opened(block)
         two, u, _ = one_and_two(x)
         totals = _answers(found, u, u[:0])[1]
-        ones = totals[np.searchsorted(u, x.single >> np.uint64(64 - BITS))].astype(np.uint32)
+        ones = totals[np.searchsorted(u, _key(x.single, True))].astype(np.uint32)
         counts = [ones[x.place], *(spread(x, two, u, totals) or [np.zeros(len(x.words), np.uint32)])]
         p, levels, tests = walk(x, counts)
         three, u = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
@@ -407,20 +412,24 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         columns = [ids, pa.array(x.held), pa.array(x.sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    def exchange(asks: DataFrame, then, shape: str) -> DataFrame:
-        rows = asks.select("block", "part", "data")
-        answers = rows.where("part >= 0").groupBy("part").applyInArrow(_added(total), "block long, part int, data binary")
-        if then is not ask_three:  # what blocks kept for themselves
-            answers = answers.unionByName(rows.where("part < 0"))
-        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(then, shape)
+    def answered(asks: DataFrame, tag: str) -> DataFrame:
+        rows = asks.where("part >= 0").select("block", "part", "data").groupBy("part")
+        return materialise(rows.applyInArrow(_added(total), "block long, part int, data binary, words long"), f"{tag}-answers")
+
+    def onward(answers: DataFrame, own: DataFrame | None, then, shape: str) -> DataFrame:
+        found = answers.drop("words")
+        if own is not None:  # what blocks kept for themselves
+            found = found.unionByName(own.where("part < 0").select("block", "part", "data"))
+        return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(then, shape)
 
     shape = _shape(kind)
-    asks = blocks.mapInArrow(ask, shape)
-    for tag, then in (("short", ask_three), ("three", ask_long), ("long", settle)):
-        written = materialise(exchange(asks, then, shape), tag)
-        discard(asks)
-        asks = written
-    return exchange(asks, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
+    answers, asks = answered(blocks.mapInArrow(ask, shape), "short"), None
+    vocabulary = max((answers.agg(F.sum("words")).first()[0] or 0) - (texts > 0), 0)  # without the start of texts
+    for tag, then in (("three", ask_three), ("long", ask_long), ("deep", settle)):
+        written = materialise(onward(answers, asks, then, shape), tag)
+        discard(asks, answers)
+        asks, answers = written, answered(written, tag)
+    return onward(answers, asks, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
 
 
 def score_documents(docs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
