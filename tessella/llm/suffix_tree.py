@@ -23,7 +23,8 @@ to the task that its hash names, and get the total back, as sorted and compresse
 lists.  So there is one entry per block and n-gram, however frequent, and no list of what
 follows a word exists anywhere.  Four exchanges follow each other: counts of 1 and 2 words;
 tests of contexts of 1 word, and counts of 3 words for the tokens whose contexts go on;
-tests of 2 words, and counts of longer n-grams; tests of the longer contexts.  A test
+tests of 2 words, and counts of longer n-grams; tests of the longer contexts.  Only the
+answers are written; a block works out again what it asked before.  A test
 sums over the tokens of all blocks, as k(s) is the sum of 1 / c(s w) over tokens.  Tasks
 hold about ``ENTRIES`` entries, whatever the input, and the blocks themselves never move.
 
@@ -47,6 +48,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bucketed, discard, distinct, materialise, mix, slices, table, utf8, word_hashes, words
 
@@ -197,19 +199,14 @@ def _added(tokens: int):
     return add
 
 
-def _answers(found: pa.Table, counted: np.ndarray, tested: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """What the block kept for itself, totals of its n-grams, and which of its contexts are retained."""
-    found = found.sort_by("part")
-    own, parts = [], []
-    for part, data in zip(found["part"].to_pylist(), found["data"].to_pylist()):
-        if part < 0:
-            own = _unpacked(data)
-        else:
-            parts.append(_unpacked(data))
+def _answers(found: pa.Table, turn: int, counted: int, tested: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of a block's n-grams and which of its contexts are retained, by the answers to what it asked at a turn."""
+    rows = zip(*(found[c].to_pylist() for c in ("turn", "part", "data")))
+    parts = [_unpacked(data) for _, _, data in sorted((r for r in rows if r[0] == turn), key=lambda r: r[1])]
     totals, kept = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in parts)]), np.concatenate([np.zeros(0, bool), *(x[1] for x in parts)])
-    if len(totals) != len(counted) or len(kept) != len(tested):
+    if (len(totals), len(kept)) != (counted, tested):
         raise RuntimeError("a block's answers don't fit its questions")
-    return own, totals, kept
+    return totals, kept
 
 
 def _smoothed(c: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -332,34 +329,40 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
                 n[np.searchsorted(u, _key(x.single, True))] += ones
                 yield from _asks(block, parts, ids, (u, n), none)
 
-    def ask_three(block: pa.Table, found: pa.Table) -> pa.Table:
-        """Gets counts of one and two words; tests contexts of one word, counts three words."""
-        (number, ids, x), = opened(block)
+    def to_two(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list]:
+        """Counts of one and two words by position, and what is known of each token's context of one word."""
         two, u, _ = one_and_two(x)
-        totals = _answers(found, u, u[:0])[1]
+        totals, _ = _answers(found, 0, len(u), 0)
         ones = totals[np.searchsorted(u, _key(x.single, True))].astype(np.uint32)
         counts = [ones[x.place], *(spread(x, two, u, totals) or [np.zeros(len(x.words), np.uint32)])]
-        p, levels, tests = walk(x, counts)
+        return counts, *walk(x, counts)
+
+    def to_three(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list, np.ndarray]:
+        """The same up to three words, and which contexts of one word are retained."""
+        counts, p, levels, tests = to_two(x, found)
         three, u = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
-        state = _row(number, -1, ids[:0], _packed(ones, counts[1]))
-        return pa.Table.from_batches([state, *_asks(number, parts, ids, (u, counted(x, three, u)), _tests(tests))])
+        tested = distinct(tests[0][1][tests[0][0]])[0]
+        totals, kept = _answers(found, 1, len(u), len(tested))
+        kept = _kept(tested, kept, *tests[0][:2])
+        counts += spread(x, three, u, totals) or [np.zeros(len(x.words), np.uint32)]
+        return counts, *walk(x, counts), kept
+
+    def ask_three(block: pa.Table, found: pa.Table) -> pa.Table:
+        """Tests contexts of one word, counts three words."""
+        (number, ids, x), = opened(block)
+        counts, p, levels, tests = to_two(x, found)
+        three, u = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
+        return table_of(_asks(number, parts, ids, (u, counted(x, three, u)), _tests(tests)))
 
     def ask_long(block: pa.Table, found: pa.Table) -> pa.Table:
-        """Gets counts of three words; tests contexts of two words, counts longer n-grams."""
+        """Tests contexts of two words, counts longer n-grams."""
         (number, ids, x), = opened(block)
-        own = found["part"].to_pylist().index(-1)
-        ones, c2 = _unpacked(found["data"][own].as_py())
-        p, levels, tests = walk(x, [ones[x.place], c2])
-        three, u = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, c2, 2)]))
-        tested = distinct(tests[0][1][tests[0][0]])[0]
-        _, totals, kept = _answers(found, u, tested)
-        words_kept = np.zeros(len(x.single), bool)
-        words_kept[x.place[p - 1]] = _kept(tested, kept, *tests[0][:2])
-        counts = [ones[x.place], c2, *(spread(x, three, u, totals) or [np.zeros(len(x.words), np.uint32)])]
-        p, levels, tests = walk(x, counts)
+        counts, p, levels, tests, _ = to_three(x, found)
         long, u = asked_keys(x, range(4, depth + 2), ends(p[on(x, p, levels, counts[2], 3)]))
-        state = _row(number, -1, ids[:0], _packed(ones, *counts[1:], words_kept))
-        return pa.Table.from_batches([state, *_asks(number, parts, ids, (u, counted(x, long, u)), _tests(tests[1:]))])
+        return table_of(_asks(number, parts, ids, (u, counted(x, long, u)), _tests(tests[1:])))
+
+    def table_of(rows: Iterator[pa.RecordBatch]) -> pa.Table:
+        return pa.Table.from_batches([_row(-1, -2, pa.array([], ids_kind), b"").slice(0, 0), *rows])
 
     def long_walk(x: Tokens, levels: Levels, p: np.ndarray, goes_on: np.ndarray, c3: np.ndarray, found: dict, u: np.ndarray, totals: np.ndarray) -> tuple[Levels, list]:
         """Contexts of over two words of the tokens that have any."""
@@ -382,15 +385,12 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
     def settle(block: pa.Table, found: pa.Table) -> pa.Table:
         """Sums the tokens without longer contexts, and tests those of the others."""
         (number, ids, x), = opened(block)
-        own = found["part"].to_pylist().index(-1)
-        ones, c2, c3, words_kept = _unpacked(found["data"][own].as_py())
-        counts = [ones[x.place], c2, c3]
-        p, levels, tests = walk(x, counts)
+        counts, p, levels, tests, first = to_three(x, found)
         goes_on = on(x, p, levels, counts[2], 3)
         seen, long = asked_keys(x, range(4, depth + 2), ends(p[goes_on]))
         tested = distinct(tests[1][1][tests[1][0]])[0]
-        _, totals, kept = _answers(found, long, tested)
-        levels.use(0, words_kept[x.place[p - 1]])
+        totals, kept = _answers(found, 2, len(long), len(tested))
+        levels.use(0, first)
         levels.use(1, _kept(tested, kept, *tests[1][:2]))
         deep, more = long_walk(x, levels, p, goes_on, counts[2], seen, long, totals)
         text, c1 = x.text[p], counts[0][p].astype(np.int64)
@@ -398,13 +398,14 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         steps = [(n.astype(np.uint32), c.astype(np.uint32)) for n, c, _, _ in deep.steps]
         tested = _tests(more)
         places = [np.where(asked, np.searchsorted(tested[0], keys), -1).astype(np.int32) for asked, keys, *_ in more]
-        rest = _packed(*sums, text[goes_on].astype(np.int32), deep.p, *(y for pair, at in zip(steps, places) for y in (*pair, at)))
+        rest = _packed(*sums, text[goes_on].astype(np.int32), deep.p, np.array([len(tested[0])]), *(y for pair, at in zip(steps, places) for y in (*pair, at)))
         return pa.Table.from_batches([_row(number, -1, ids[:0], rest), *_asks(number, parts, ids, (long[:0], long[:0]), tested)])
 
     def finish(block: pa.Table, found: pa.Table) -> pa.Table:
         (_, ids, x), = opened(block)
-        asked = sum(len(_unpacked(d)[1]) for q, d in zip(found["part"].to_pylist(), found["data"].to_pylist()) if q >= 0)
-        (base, known, score, text, p, *steps), _, kept = _answers(found, x.u[:0], np.empty(asked))
+        own = found["part"].to_pylist().index(-1)
+        base, known, score, text, p, asked, *steps = _unpacked(found["data"][own].as_py())
+        _, kept = _answers(found, 3, 0, int(asked[0]))
         kept = np.append(kept, False)
         for n, c, at in zip(steps[::3], steps[1::3], steps[2::3]):
             p = np.where(kept[at], _smoothed(c, n, p), p)
@@ -412,24 +413,26 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         columns = [ids, pa.array(x.held), pa.array(x.sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    def answered(asks: DataFrame, tag: str) -> DataFrame:
+    def answered(asks: DataFrame, turn: int) -> DataFrame:
         rows = asks.where("part >= 0").select("block", "part", "data").groupBy("part")
-        return materialise(rows.applyInArrow(_added(total), "block long, part int, data binary, words long"), f"{tag}-answers")
+        return materialise(rows.applyInArrow(_added(total), "block long, part int, data binary, words long").withColumn("turn", F.lit(turn)), "answers")
 
-    def onward(answers: DataFrame, own: DataFrame | None, then, shape: str) -> DataFrame:
-        found = answers.drop("words")
-        if own is not None:  # what blocks kept for themselves
-            found = found.unionByName(own.where("part < 0").select("block", "part", "data"))
-        return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(then, shape)
+    def onward(found: list[DataFrame], then, shape: str) -> DataFrame:
+        every = found[0].select("block", "part", "data", "turn")
+        for more in found[1:]:
+            every = every.unionByName(more.select("block", "part", "data", "turn"))
+        return blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(then, shape)
 
     shape = _shape(kind)
-    answers, asks = answered(blocks.mapInArrow(ask, shape), "short"), None
-    vocabulary = max((answers.agg(F.sum("words")).first()[0] or 0) - (texts > 0), 0)  # without the start of texts
-    for tag, then in (("three", ask_three), ("long", ask_long), ("deep", settle)):
-        written = materialise(onward(answers, asks, then, shape), tag)
-        discard(asks, answers)
-        asks, answers = written, answered(written, tag)
-    return onward(answers, asks, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
+    ids_kind = to_arrow_type(blocks.schema["doc_ids"].dataType.elementType)
+    found = [answered(blocks.mapInArrow(ask, shape), 0)]
+    vocabulary = max((found[0].agg(F.sum("words")).first()[0] or 0) - (texts > 0), 0)  # without the start of texts
+    found.append(answered(onward(found, ask_three, shape), 1))
+    found.append(answered(onward(found, ask_long, shape), 2))
+    deep = materialise(onward(found, settle, shape), "deep")
+    discard(*found)
+    last = [answered(deep, 3), deep.where("part < 0").withColumn("turn", F.lit(-1))]
+    return onward(last, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
 
 
 def score_documents(docs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
