@@ -20,6 +20,20 @@ def test_empty_table(spark, no_docs):
     assert docs.count() == 0
 
 
+def test_odd_input(spark, odd_docs):
+    """Rows without a language go; of equal and near texts one stays; rows without doc_id and repeated rows pass."""
+    docs = odd_docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == odd_docs.columns
+    left = docs.collect()
+    assert sorted(str(r["doc_id"]) for r in left) == ["4", "5", "5", "8", "None"]
+    text = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
+    assert all(r["text"] == text[r["doc_id"]] for r in left)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in left}
+
+
 def test_queries(spark, sf_dir):
     assert sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES) == list(range(1, 11))
     assert set(registry.SQL) <= set(registry.QUERIES)
