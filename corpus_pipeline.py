@@ -1,4 +1,11 @@
-"""A cleaning pipeline over ``documents``: each stage works on all that the one before kept."""
+"""A cleaning pipeline over ``documents``: each stage works on all that the one before kept.
+
+Null and empty texts, and those without a letter, have no language and go in the first
+stage.  Stages tell documents apart by doc_id: rows that share one are kept or dropped
+together, and rows without doc_id are kept.  Of equal and near texts the smallest doc_id
+stays.  Texts of any length are handled whole; more columns are carried up to the last
+stage, whose rows are pieces; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
