@@ -84,7 +84,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, tag: str) -> DataFrame:
     with _shuffles_dropped(spark):
         df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
     out = spark.table(name)
-    out._written = path
+    out._written, out._buckets = path, buckets
     return out
 
 

@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,7 @@ LEAST = 2
 #: A state counts as this many observations of its suffix's distribution.
 WEIGHT = 4.0
 #: Texts of a block, and texts that are hashed at a time.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 CHUNK = 2 << 20
 #: N-grams that a task adds up.
 ENTRIES = 2 << 20
@@ -110,18 +111,25 @@ def _row(block: int, part: int, ids: pa.Array, data: bytes) -> pa.RecordBatch:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; sorted ones of 64 bits as differences, byte by byte."""
+    """Arrays as compressed bytes; integers byte by byte, sorted ones of 64 bits without sign as differences."""
 
     def one(x: np.ndarray):
-        if x.dtype == np.uint64:
-            return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+        if x.dtype.kind in "iu":
+            y = np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else x
+            return x.dtype.str, y.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
         return x
 
-    return zstandard.compress(pickle.dumps([one(x) for x in arrays], protocol=5), 1)
+    return zstandard.compress(pickle.dumps([one(np.ascontiguousarray(x)) for x in arrays], protocol=5), 1)
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
-    back = lambda x: x if isinstance(x, np.ndarray) else np.cumsum(np.frombuffer(x, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+    def back(x) -> np.ndarray:
+        if isinstance(x, np.ndarray):
+            return x
+        kind = np.dtype(x[0])
+        y = np.frombuffer(x[1], np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel()
+        return np.cumsum(y, dtype=np.uint64) if kind == np.uint64 else y
+
     return [back(x) for x in pickle.loads(zstandard.decompress(data))]
 
 
@@ -136,8 +144,8 @@ class Tokens:
     def __init__(self, held: np.ndarray, sizes: np.ndarray, at: np.ndarray, u: np.ndarray) -> None:
         self.held, self.sizes, self.u = held, sizes, u
         length = sizes + 1
-        self.text = np.repeat(np.arange(len(sizes)), length)
-        self.age = np.arange(len(self.text)) - np.repeat(np.cumsum(length) - length, length)  # 0 at a start
+        self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), length)
+        self.age = (np.arange(len(self.text)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)  # 0 at a start
         self.place = np.full(len(self.text), len(u), np.uint32)  # among the words, of which a start is the last
         self.place[self.age > 0] = at
         self.words = np.append(u, START)[self.place]
@@ -159,9 +167,15 @@ class Tokens:
         return out
 
 
-def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    u, back = np.unique(keys, return_inverse=True)
-    return (u, *(np.bincount(back, v, len(u)) for v in values))
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the place of each key among them, by one sort."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], at
 
 
 def _dealt(parts: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
@@ -171,32 +185,27 @@ def _dealt(parts: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _asks(block: int, parts: int, ids: pa.Array, counted: tuple, tested: tuple) -> Iterator[pa.RecordBatch]:
-    """Rows that ask for totals of n-grams (keys, counts) and for tests of contexts (keys, gains, 1 / c)."""
+    """Rows that ask for totals of n-grams (keys, counts) and for tests of contexts (keys, what divergence exceeds its threshold by)."""
     a, b = ({i: (x, y) for i, x, y in _dealt(parts, keys)} for keys in (counted[0], tested[0]))
     for i in sorted({*a, *b}):
         (x, y), (v, w) = a.get(i, (0, 0)), b.get(i, (0, 0))
-        yield _row(block, i, ids[:0], _packed(counted[0][x:y], counted[1][x:y].astype(np.uint32), tested[0][v:w], *(t[v:w].astype(np.float32) for t in tested[1:])))
-
-
-def _added(tokens: int):
-    """A function that answers the asks of one part: totals, and which contexts are retained."""
+        yield _row(block, i, ids[:0], _packed(counted[0][x:y], counted[1][x:y].astype(np.uint32), tested[0][v:w], tested[1][v:w].astype(np.float32)))
 
-    def add(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("block").combine_chunks()  # sums in the same order whenever a task runs again
-        asked = [_unpacked(x) for x in rows["data"].to_pylist()]
-        every = [[x[j] for x in asked] for j in range(5)]
-        u, back = np.unique(np.concatenate(every[0]), return_inverse=True)
-        totals = np.bincount(back, np.concatenate(every[1]), len(u)).astype(np.int64)[back]
-        u, back = np.unique(np.concatenate(every[2]), return_inverse=True)
-        gain, k = (np.bincount(back, np.concatenate(every[j]), len(u)) for j in (3, 4))
-        kept = (gain > 0.5 * k * np.log(max(tokens, 2)) + 1e-9)[back]
-        first, second = (np.append(0, np.cumsum([len(x) for x in every[j]])) for j in (0, 2))
-        data = [_packed(totals[a:b], kept[c:d]) for a, b, c, d in zip(first, first[1:], second, second[1:])]
-        words_ = np.full(len(data), 0)
-        words_[:1] = len(distinct(np.concatenate(every[0])[(totals > 0) & (np.concatenate(every[0]) & np.uint64(1) > 0)])[0])
-        return pa.table([rows["block"], rows["part"], pa.array(data, pa.binary()), pa.array(words_)], names=["block", "part", "data", "words"])
 
-    return add
+def _added(rows: pa.Table) -> pa.Table:
+    """Answers the asks of one part: totals, and which contexts are retained."""
+    rows = rows.sort_by("block").combine_chunks()  # sums in the same order whenever a task runs again
+    asked = [_unpacked(x) for x in rows["data"].to_pylist()]
+    every = [[x[j] for x in asked] for j in range(4)]
+    u, back = _ranks(np.concatenate(every[0]))
+    totals = np.bincount(back, np.concatenate(every[1]), len(u)).astype(np.int64)[back]
+    u, back = _ranks(np.concatenate(every[2]))
+    kept = (np.bincount(back, np.concatenate(every[3]), len(u)) > 1e-9)[back]
+    first, second = (np.append(0, np.cumsum([len(x) for x in every[j]])) for j in (0, 2))
+    data = [_packed(totals[a:b], kept[c:d]) for a, b, c, d in zip(first, first[1:], second, second[1:])]
+    words_ = np.full(len(data), 0)
+    words_[:1] = len(distinct(np.concatenate(every[0])[(totals > 0) & (np.concatenate(every[0]) & np.uint64(1) > 0)])[0])
+    return pa.table([rows["block"], rows["part"], pa.array(data, pa.binary()), pa.array(words_)], names=["block", "part", "data", "words"])
 
 
 def _answers(found: pa.Table, turn: int, counted: int, tested: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,20 +246,19 @@ class Levels:
         self.p = np.where(kept, _smoothed(c, n, self.p), self.p)
 
 
-def _tests(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (asked, keys, gains, c, trained) by depth: contexts' keys in order, sums of gains and of 1 / c over trained tokens."""
-    keys, gains, ones = ([np.zeros(0, t)] for t in (np.uint64, float, float))
-    for asked, key, gain, c, train in levels:
-        keys.append(key[asked])
-        gains.append((gain * train)[asked])
-        ones.append((train / np.maximum(c, 1))[asked])
-    return _sums(*map(np.concatenate, (keys, gains, ones)))
+def _tests(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], tokens: int) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
+    """Of (asked, keys, gains, c, trained) by depth: contexts' keys in order and by what their divergence over trained tokens exceeds its threshold (1 / c sums to k); and the place of each that is asked for among the keys."""
+    u, at = _ranks(np.concatenate([key[asked] for asked, key, *_ in levels]))
+    each = 0.5 * np.log(max(tokens, 2))
+    over = [np.where(train[asked], gain[asked] - each / np.maximum(c[asked], 1), 0) for asked, _, gain, c, train in levels]
+    places = np.split(at, np.cumsum([np.count_nonzero(asked) for asked, *_ in levels])[:-1])
+    return (u, np.bincount(at, np.concatenate(over), len(u))), places
 
 
-def _kept(tested: np.ndarray, kept: np.ndarray, asked: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    out, at = np.zeros(len(asked), bool), np.flatnonzero(asked)
-    order = np.argsort(keys[at])  # neighbours look near each other
-    out[at[order]] = kept[np.searchsorted(tested, keys[at[order]])]
+def _kept(kept: np.ndarray, asked: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which tokens' contexts are retained; those ``asked`` for are at the places ``at``."""
+    out = np.zeros(len(asked), bool)
+    out[asked] = kept[at]
     return out
 
 
@@ -273,33 +281,26 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
     total, texts = blocks.select("data").mapInArrow(count_tokens, "tokens long, texts long").agg(F.coalesce(F.sum("tokens"), zero), F.coalesce(F.sum("texts"), zero)).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ENTRIES))
 
-    def asked_keys(x: Tokens, orders: range, only: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
-        """n-grams of ``orders``: positions and keys, and distinct keys in order."""
+    def asked_keys(x: Tokens, orders: range, only: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
+        """n-grams of ``orders``: positions, keys and places among the distinct keys; these in order; and the places of single words, which belong to all positions."""
         found = x.keys(orders, only) if only is None or len(only) else {}
         one = _key(x.single, True) if only is None else np.zeros(0, np.uint64)
-        return found, distinct(np.concatenate([one, *(k for _, k in found.values())]))[0]
+        u, at = _ranks(np.concatenate([one, *(k for _, k in found.values())]))
+        single, *places = np.split(at, np.cumsum([len(one), *(len(p) for p, _ in found.values())])[:-1])
+        return {n: (p, k, a) for (n, (p, k)), a in zip(found.items(), places)}, u, single
 
     def counted(x: Tokens, found: dict, u: np.ndarray) -> np.ndarray:
         """How often each distinct key stands in the training texts of the block."""
-        own, n = distinct(np.concatenate([np.zeros(0, np.uint64), *(k[x.train[p]] for p, k in found.values())]))
-        out = np.zeros(len(u), np.int64)
-        out[np.searchsorted(u, own)] = n
-        return out
+        return np.bincount(np.concatenate([np.zeros(0, np.int32), *(at[x.train[p]] for p, _, at in found.values())]), minlength=len(u))
 
-    def spread(x: Tokens, found: dict, u: np.ndarray, totals: np.ndarray) -> list[np.ndarray]:
+    def spread(x: Tokens, found: dict, totals: np.ndarray) -> list[np.ndarray]:
         """Counts by position of each order."""
         out = []
-        for p, k in found.values():
-            out.append(np.zeros(len(x.words), np.uint32))
-            order = np.argsort(k)  # neighbours look near each other
-            out[-1][p[order]] = totals[np.searchsorted(u, k[order])]
+        for p, _, at in found.values():
+            out.append(np.zeros(len(x.words), np.int64))
+            out[-1][p] = totals[at]
         return out
 
-    def one_and_two(x: Tokens) -> tuple[dict, np.ndarray, np.ndarray]:
-        """Pairs of words and their keys, distinct keys of words and pairs, and the counts of words in the training texts of the block."""
-        found, u = asked_keys(x, range(2, 3))
-        return found, u, np.bincount(x.place[x.train], minlength=len(x.single))
-
     def on(x: Tokens, p: np.ndarray, levels: Levels, mine: np.ndarray, d: int) -> np.ndarray:
         """Those of the tokens ``p`` whose contexts of ``d`` words, which occur ``mine`` times where they end, go on."""
         return levels.open & (x.age[p] >= d) & (mine[p - 1] >= LEAST)
@@ -310,72 +311,75 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         levels, tests = Levels(p, (counts[0][p].astype(float) + 1) / (total + vocabulary + 1), total), []
         for n, (mine, longer) in enumerate(zip(counts, counts[1:]), 1):
             key = np.zeros(len(x.words), np.uint64)
-            key[keys[n][0]] = keys[n][1]
-            after = longer[p].astype(np.int64)
-            asked, gain = levels.step(np.where(x.age[p] >= n, mine[p - 1], 0).astype(np.int64), after)
+            at, found = keys.pop(n)
+            key[at] = found
+            after = longer[p]
+            asked, gain = levels.step(np.where(x.age[p] >= n, mine[p - 1], 0), after)
             tests.append((asked, key[p - 1], gain, after, x.train[p]))
         return p, levels, tests
 
-    def ends(own: np.ndarray) -> np.ndarray:
+    def ends(x: Tokens, own: np.ndarray) -> np.ndarray:
         """The tokens ``own`` and those right before: where their n-grams and contexts end."""
-        return np.union1d(own, own - 1)
+        there = np.zeros(len(x.words), bool)
+        there[own] = there[own - 1] = True
+        return np.flatnonzero(there)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+        none = (np.zeros(0, np.uint64), np.zeros(0))
         for batch in batches:
             for block, ids, x in opened(batch):
-                found, u, ones = one_and_two(x)
-                n = counted(x, found, u)
-                n[np.searchsorted(u, _key(x.single, True))] += ones
+                found, u, single = asked_keys(x, range(2, 3))
+                ones = np.bincount(x.place[x.train], minlength=len(x.single))
+                n = counted(x, found, u) + np.bincount(single, ones, len(u)).astype(np.int64)
                 yield from _asks(block, parts, ids, (u, n), none)
 
     def to_two(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list]:
         """Counts of one and two words by position, and what is known of each token's context of one word."""
-        two, u, _ = one_and_two(x)
+        two, u, single = asked_keys(x, range(2, 3))
         totals, _ = _answers(found, 0, len(u), 0)
-        ones = totals[np.searchsorted(u, _key(x.single, True))].astype(np.uint32)
-        counts = [ones[x.place], *(spread(x, two, u, totals) or [np.zeros(len(x.words), np.uint32)])]
+        counts = [totals[single][x.place], *(spread(x, two, totals) or [np.zeros(len(x.words), np.int64)])]
         return counts, *walk(x, counts)
 
     def to_three(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list, np.ndarray]:
         """The same up to three words, and which contexts of one word are retained."""
         counts, p, levels, tests = to_two(x, found)
-        three, u = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
-        tested = distinct(tests[0][1][tests[0][0]])[0]
+        three, u, _ = asked_keys(x, range(3, 4), ends(x, p[on(x, p, levels, counts[1], 2)]))
+        asked, keys, *_ = tests[0]
+        tested, at = _ranks(keys[asked])
         totals, kept = _answers(found, 1, len(u), len(tested))
-        kept = _kept(tested, kept, *tests[0][:2])
-        counts += spread(x, three, u, totals) or [np.zeros(len(x.words), np.uint32)]
+        kept = _kept(kept, asked, at)
+        counts += spread(x, three, totals) or [np.zeros(len(x.words), np.int64)]
         return counts, *walk(x, counts), kept
 
     def ask_three(block: pa.Table, found: pa.Table) -> pa.Table:
         """Tests contexts of one word, counts three words."""
         (number, ids, x), = opened(block)
         counts, p, levels, tests = to_two(x, found)
-        three, u = asked_keys(x, range(3, 4), ends(p[on(x, p, levels, counts[1], 2)]))
-        return table_of(_asks(number, parts, ids, (u, counted(x, three, u)), _tests(tests)))
+        three, u, _ = asked_keys(x, range(3, 4), ends(x, p[on(x, p, levels, counts[1], 2)]))
+        return table_of(_asks(number, parts, ids, (u, counted(x, three, u)), _tests(tests, total)[0]))
 
     def ask_long(block: pa.Table, found: pa.Table) -> pa.Table:
         """Tests contexts of two words, counts longer n-grams."""
         (number, ids, x), = opened(block)
         counts, p, levels, tests, _ = to_three(x, found)
-        long, u = asked_keys(x, range(4, depth + 2), ends(p[on(x, p, levels, counts[2], 3)]))
-        return table_of(_asks(number, parts, ids, (u, counted(x, long, u)), _tests(tests[1:])))
+        long, u, _ = asked_keys(x, range(4, depth + 2), ends(x, p[on(x, p, levels, counts[2], 3)]))
+        return table_of(_asks(number, parts, ids, (u, counted(x, long, u)), _tests(tests[1:], total)[0]))
 
     def table_of(rows: Iterator[pa.RecordBatch]) -> pa.Table:
         return pa.Table.from_batches([_row(-1, -2, pa.array([], ids_kind), b"").slice(0, 0), *rows])
 
-    def long_walk(x: Tokens, levels: Levels, p: np.ndarray, goes_on: np.ndarray, c3: np.ndarray, found: dict, u: np.ndarray, totals: np.ndarray) -> tuple[Levels, list]:
+    def long_walk(x: Tokens, levels: Levels, p: np.ndarray, goes_on: np.ndarray, c3: np.ndarray, found: dict, totals: np.ndarray) -> tuple[Levels, list]:
         """Contexts of over two words of the tokens that have any."""
         own, tests = p[goes_on], []
         deep = Levels(own, levels.p[goes_on], 0)
         deep.chain, deep.n = levels.chain[goes_on], levels.n[goes_on]
         known = {n: np.zeros(len(x.words), np.int64) for n in range(4, depth + 2)}
         key = {n: np.zeros(len(x.words), np.uint64) for n in range(3, depth + 2)}
-        known[3] = c3.astype(np.int64)
+        known[3] = c3
         at3, k3 = x.keys(range(3, 4), own - 1)[3] if len(own) else (own, own)
         key[3][at3] = k3
-        for n, (at, k) in found.items():
-            known[n][at], key[n][at] = totals[np.searchsorted(u, k)], k
+        for n, (at, k, place) in found.items():
+            known[n][at], key[n][at] = totals[place], k
         for d in range(3, depth + 1):
             there = x.age[own] >= d
             asked, gain = deep.step(np.where(there, known[d][own - 1], 0), known[d + 1][own])
@@ -387,24 +391,26 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         (number, ids, x), = opened(block)
         counts, p, levels, tests, first = to_three(x, found)
         goes_on = on(x, p, levels, counts[2], 3)
-        seen, long = asked_keys(x, range(4, depth + 2), ends(p[goes_on]))
-        tested = distinct(tests[1][1][tests[1][0]])[0]
+        seen, long, _ = asked_keys(x, range(4, depth + 2), ends(x, p[goes_on]))
+        asked, keys, *_ = tests[1]
+        tested, at = _ranks(keys[asked])
         totals, kept = _answers(found, 2, len(long), len(tested))
         levels.use(0, first)
-        levels.use(1, _kept(tested, kept, *tests[1][:2]))
-        deep, more = long_walk(x, levels, p, goes_on, counts[2], seen, long, totals)
-        text, c1 = x.text[p], counts[0][p].astype(np.int64)
+        levels.use(1, _kept(kept, asked, at))
+        deep, more = long_walk(x, levels, p, goes_on, counts[2], seen, totals)
+        text, c1 = x.text[p], counts[0][p]
         sums = [np.bincount(text, v, len(x.sizes)) for v in (np.log10(c1 + 1) - np.log10(total + vocabulary + 1), c1 > 0, np.where(goes_on, 0, np.log10(levels.p)))]
-        steps = [(n.astype(np.uint32), c.astype(np.uint32)) for n, c, _, _ in deep.steps]
-        tested = _tests(more)
-        places = [np.where(asked, np.searchsorted(tested[0], keys), -1).astype(np.int32) for asked, keys, *_ in more]
+        steps = [(n, c) for n, c, _, _ in deep.steps]
+        tested, found_at = _tests(more, total)
+        places = [np.full(len(asked), -1, np.int32) for asked, *_ in more]
+        for place, at, (asked, *_) in zip(places, found_at, more):
+            place[asked] = at
         rest = _packed(*sums, text[goes_on].astype(np.int32), deep.p, np.array([len(tested[0])]), *(y for pair, at in zip(steps, places) for y in (*pair, at)))
-        return pa.Table.from_batches([_row(number, -1, ids[:0], rest), *_asks(number, parts, ids, (long[:0], long[:0]), tested)])
+        return pa.Table.from_batches([_row(number, -2, ids[:0], rest), *_asks(number, parts, ids, (long[:0], long[:0]), tested)])
 
     def finish(block: pa.Table, found: pa.Table) -> pa.Table:
-        (_, ids, x), = opened(block)
-        own = found["part"].to_pylist().index(-1)
-        base, known, score, text, p, asked, *steps = _unpacked(found["data"][own].as_py())
+        (_, ids, x), = opened(block.filter(pc.equal(block["part"], -1)))
+        base, known, score, text, p, asked, *steps = _unpacked(block.filter(pc.equal(block["part"], -2))["data"][0].as_py())
         _, kept = _answers(found, 3, 0, int(asked[0]))
         kept = np.append(kept, False)
         for n, c, at in zip(steps[::3], steps[1::3], steps[2::3]):
@@ -415,9 +421,9 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
 
     def answered(asks: DataFrame, turn: int) -> DataFrame:
         rows = asks.where("part >= 0").select("block", "part", "data").groupBy("part")
-        return materialise(rows.applyInArrow(_added(total), "block long, part int, data binary, words long").withColumn("turn", F.lit(turn)), "answers")
+        return materialise(rows.applyInArrow(_added, "block long, part int, data binary, words long").withColumn("turn", F.lit(turn)), "answers")
 
-    def onward(found: list[DataFrame], then, shape: str) -> DataFrame:
+    def onward(blocks: DataFrame, found: list[DataFrame], then, shape: str) -> DataFrame:
         every = found[0].select("block", "part", "data", "turn")
         for more in found[1:]:
             every = every.unionByName(more.select("block", "part", "data", "turn"))
@@ -427,12 +433,12 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
     ids_kind = to_arrow_type(blocks.schema["doc_ids"].dataType.elementType)
     found = [answered(blocks.mapInArrow(ask, shape), 0)]
     vocabulary = max((found[0].agg(F.sum("words")).first()[0] or 0) - (texts > 0), 0)  # without the start of texts
-    found.append(answered(onward(found, ask_three, shape), 1))
-    found.append(answered(onward(found, ask_long, shape), 2))
-    deep = materialise(onward(found, settle, shape), "deep")
+    found.append(answered(onward(blocks, found, ask_three, shape), 1))
+    found.append(answered(onward(blocks, found, ask_long, shape), 2))
+    deep = bucketed(onward(blocks, found, settle, shape), "block", blocks._buckets, "deep")
     discard(*found)
-    last = [answered(deep, 3), deep.where("part < 0").withColumn("turn", F.lit(-1))]
-    return onward(last, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
+    every = blocks.unionByName(deep.where("part = -2"))  # alike in buckets: neither side moves
+    return onward(every, [answered(deep, 3)], finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
 
 
 def score_documents(docs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
