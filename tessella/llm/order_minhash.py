@@ -18,15 +18,15 @@ are tested in these steps; after each, only pairs of different components are as
 1. all members of a bucket (sketch, name) with one leader: a pair for each member (here and
    below, but for pairs whose numbers of words alone put them below the similarity);
 2. all pairs of a bucket of at most ``CROWD`` members;
-3. for members of larger buckets that still hold several components (texts that share a
-   template, say): sketches of two of their labelled k-mers of two and four words that 2 to ``CROWD``
-   of them hold, so of those outside the shared part; a bucket of these has at most
-   ``CROWD`` members, and all its pairs are tested;
-4. in larger buckets one hashed member of each component with that of another, anew with
-   other members until a round finds no link.
+3. all texts of larger buckets that still hold several components (texts that share a
+   template, say) by an exact join.  A link has at least ``SIMILARITY`` of the longer text's
+   labelled words in common, so the rarest words of both texts, one more than may differ, share
+   one: texts meet in lists by these.  Pairs of a list are left out only if their numbers of words, the
+   places of the shared word or parities of their words prove them no links.  Lists of over
+   ``BLOCK`` texts are compared block by block, in several tasks.
 
 No bucket is capped and no row is left out; what can be missed is a pair that collides
-in no sketch, or one in crowded buckets alone whose k-mers outside of them are all frequent.
+in no sketch.  Words are parted by ASCII white space throughout.
 
 Results for odd input: null and empty texts, and those without a word, link with
 nothing.  Texts of any length are sketched and aligned whole.  Repeated rows give a row
@@ -53,8 +53,12 @@ FAMILIES = ((5, 2, 51, 1 << 62), (2, 3, 8, 62))
 SHORT = (4, 9)
 SKETCHES = 96
 SIMILARITY = 0.8
-#: Members of a bucket that are all compared with each other, and most texts that hold a rare k-mer.
+#: Members of a bucket that are compared with each other as they are; larger ones go through the exact join.
 CROWD = 32
+#: Buckets of the numbers that words are ordered by, bits of a text's parities, entries of a task, texts of a list in one block, pairs at a time.
+COUNTS, PARITIES, ENTRIES, BLOCK, PAIRS = 1 << 18, 256, 1 << 20, 1 << 12, 1 << 20
+#: A text in the list of one of its rarest words: ``at`` places before it, ``side`` 0 in a block compared with itself, else 1 or 2.
+ENTRY = np.dtype([("name", "u8"), ("doc", "i8"), ("c", "i8"), ("n", "i8"), ("at", "i4"), ("side", "i4"), ("parity", "u8", PARITIES // 64)])
 CHUNK = 4 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -149,7 +153,7 @@ def distance_within(a: list, b: list, most: int) -> int | None:
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    x, y = a.split(), b.split()
+    x, y = a.encode().split(), b.encode().split()  # at the white space of the sketches
     longest = max(len(x), len(y))
     most = int((1 - least) * longest + 1e-9)
     if not longest or longest - min(len(x), len(y)) > most or longest - (Counter(x) & Counter(y)).total() > most:
@@ -191,41 +195,126 @@ def sketch(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, words long, f1 long, f2 long, names array<long>")
 
 
-def kmers(texts: DataFrame, sizes: tuple[int, ...] = (2, 4)) -> DataFrame:
-    """doc_id, at, name: the labelled k-mers of several sizes of ``texts`` (doc_id, text), numbered in text order."""
+def _counts(texts: DataFrame) -> np.ndarray:
+    """How often labelled words of ``texts`` occur, by ``COUNTS`` buckets of their hashes."""
+    size = COUNTS // 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTS, np.int64)
         for batch in batches:
             data, offsets = utf8(batch["text"])
-            ids = batch["doc_id"].to_numpy()
             for a, b in slices(offsets, CHUNK):
                 starts, ends, first = words(data, offsets[a : b + 1])
-                h = word_hashes(data, starts, ends)
-                for k in sizes:
-                    rows = np.flatnonzero(np.diff(first) >= k)
-                    if len(rows):
-                        e, at = elements(h, first, rows, k)
-                        of = np.repeat(np.arange(len(rows)), np.diff(at))
-                        place = (np.arange(len(e)) - at[of]) * len(sizes) + sizes.index(k)
-                        yield pa.record_batch([pa.array(ids[a:b][rows][of]), pa.array(place), pa.array((e + np.uint64(k)).view(np.int64))], names=["doc_id", "at", "name"])
+                n += np.bincount(_bucket(elements(word_hashes(data, starts, ends), first, np.flatnonzero(np.diff(first)), 1)[0]), minlength=COUNTS)
+        if n.any():
+            yield pa.record_batch([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in n.reshape(16, size)], pa.binary())], names=["part", "n"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        n = np.zeros(size, np.int64)
+        for x in rows["n"]:
+            n += np.frombuffer(x.as_py(), np.int64)
+        return pa.table([rows["part"][:1], pa.array([n.tobytes()], pa.binary())], names=["part", "n"])
+
+    out = np.zeros((16, size), np.int64)
+    for r in texts.select("text").mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():
+        out[r["part"]] = np.frombuffer(r["n"], np.int64)
+    return out.ravel()
+
+
+def _bucket(e: np.ndarray) -> np.ndarray:
+    return (e >> np.uint64(32)).astype(np.int64) % COUNTS
+
+
+def _common(longest: np.ndarray) -> np.ndarray:
+    """Labelled words that a link has in common at least, by the words of the longer text."""
+    return longest - ((1 - SIMILARITY) * longest + 1e-9).astype(np.int64)
+
+
+def _entries(ids: np.ndarray, c: np.ndarray, h: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Entries of texts of at least a word each in the lists of their rarest words."""
+    n, texts = np.diff(first), np.arange(len(first) - 1)
+    e, at = elements(h, first, texts, 1)
+    of = np.repeat(texts, n)
+    parity, bit = np.zeros(len(texts) * (PARITIES // 64), np.uint64), (e % np.uint64(PARITIES)).astype(np.int64)
+    np.bitwise_xor.at(parity, of * (PARITIES // 64) + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    f = counts[_bucket(e)]
+    order = np.lexsort((e, f, of))
+    place = np.arange(len(e)) - np.repeat(at[:-1], n)
+    least = np.min([_common(n + i) for i in range(5)], axis=0)  # a longer text may allow less: the edits grow by one in five words
+    some = (place <= (n - least)[of]) & (f[order] > 1)
+    e, f, place, of = e[order[some]], f[order[some]], place[some], of[some]  # ``order`` keeps texts in order
+    blocks = 1 + f // BLOCK
+    i = np.repeat(np.arange(len(e)), blocks)
+    other = np.arange(len(i)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (mix(ids.astype(np.uint64) * ODD)[of] % blocks.astype(np.uint64)).astype(np.int64)[i]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    out = np.empty(len(i), ENTRY)
+    out["name"] = mix(e[i] + (low * blocks[i] + high).astype(np.uint64) * ODD)
+    out["side"] = np.where(low == high, 0, np.where(own == low, 1, 2))
+    out["doc"], out["c"], out["n"], out["at"], out["parity"] = ids[of][i], c[of][i], n[of][i], place[i], parity.reshape(len(texts), -1)[of][i]
+    return out
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, at long, name long")
 
+def _candidates(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs (u, v) of different components in the lists of entries ``x`` that may be links, maybe several times."""
+    x = x[np.lexsort((x["c"], x["name"]))]
+    new = x["name"][1:] != x["name"][:-1]
+    edges = np.append(np.flatnonzero(new) + 1, len(x)), np.append(np.flatnonzero(new | (x["c"][1:] != x["c"][:-1])) + 1, len(x))
+    stop, start = (b[np.searchsorted(b, np.arange(len(x)), side="right")] for b in edges)  # where an entry's partners end and begin
+    todo = np.flatnonzero(stop > start)
+    n = (stop - start)[todo]
+    sums, lo = np.append(0, np.cumsum(n)), 0
+    while lo < len(todo):
+        hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + PAIRS, side="right")) - 1)
+        a = np.repeat(todo[lo:hi], n[lo:hi])
+        b = start[a] + np.arange(len(a)) - np.repeat(sums[lo:hi] - sums[lo], n[lo:hi])
+        na, nb = x["n"][a], x["n"][b]
+        common = _common(np.maximum(na, nb))
+        may = (np.minimum(na - x["at"][a], nb - x["at"][b]) >= common) & ((x["side"][a] == 0) | (x["side"][a] != x["side"][b]))
+        a, b, differ = a[may], b[may], (na + nb - 2 * common)[may]
+        may = np.bitwise_count(x["parity"][a] ^ x["parity"][b]).sum(1, dtype=np.int64) <= differ
+        u, v = x["doc"][a[may]], x["doc"][b[may]]
+        yield np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1)
+        lo = hi
+
+
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    """Rows (u, v) of all ``pairs``, each once."""
+    every = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    return every[np.append(True, (every[1:] != every[:-1]).any(axis=1))] if len(every) else every
+
+
+def crowd_pairs(held: DataFrame) -> DataFrame:
+    """(u, v): all pairs of different components of ``held`` (doc_id, c, text) that may be links."""
+    counts = _counts(held)
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // (4 * ENTRIES))
+
+    def dealt(x: np.ndarray, part: np.ndarray) -> pa.Table:
+        x, edge = x[np.argsort(part, kind="stable")], np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+        full = np.flatnonzero(np.diff(edge))
+        return pa.table([pa.array(full.astype(np.int32)), pa.array([x[edge[i] : edge[i + 1]].tobytes() for i in full.tolist()], pa.binary())], names=["part", "data"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch["text"])
+            ids, c = batch["doc_id"].to_numpy(), batch["c"].to_numpy()
+            for a, b in slices(offsets, CHUNK):
+                starts, ends, first = words(data, offsets[a : b + 1])
+                x = _entries(ids[a:b], c[a:b], word_hashes(data, starts, ends), first, counts)
+                yield from dealt(x, (x["name"] % np.uint64(parts)).astype(np.int64)).to_batches()
 
-def _rare(held: DataFrame) -> DataFrame:
-    """doc_id, name: sketches of the k-mers of ``held`` that several and at most ``CROWD`` texts hold."""
+    def compare(rows: pa.Table) -> pa.Table:
+        pairs = _distinct(list(_candidates(np.frombuffer(b"".join(rows["data"].to_pylist()), ENTRY))))
+        return dealt(pairs, (mix(pairs[:, 0].astype(np.uint64) * ODD + pairs[:, 1].astype(np.uint64)) % np.uint64(parts)).astype(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e = batch["names"].flatten().to_numpy().view(np.uint64)
-            at = np.append(0, np.cumsum(batch["names"].value_lengths().to_numpy()))
-            if len(batch):
-                out = _sketches(e, at, 2, SKETCHES, 2)
-                yield pa.record_batch([pa.array(np.repeat(batch["doc_id"].to_numpy(), SKETCHES)), pa.array(out.ravel().view(np.int64))], names=["doc_id", "name"])
+    def once(rows: pa.Table) -> pa.Table:
+        pairs = _distinct([np.frombuffer(x, np.int64).reshape(-1, 2) for x in rows["data"].to_pylist()])
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    rare = held.groupBy("name").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= CROWD)).select("name")
-    own = held.join(rare, "name").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("names"))  # of one text
-    return own.where(F.size("names") > 1).mapInArrow(run, "doc_id long, name long")
+    shape = "part int, data binary"
+    found = held.select("doc_id", "c", "text").mapInArrow(deal, shape).groupBy("part").applyInArrow(compare, shape)
+    return found.groupBy("part").applyInArrow(once, "u long, v long")  # a pair has several words in common, so several lists
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -301,26 +390,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     classes.test(stars.select(F.col("lead.doc_id").alias("u"), F.col("doc_id").alias("v")))
     classes.test(_all_pairs(classes.named(members.where((F.col("n") > 2) & (F.col("n") <= CROWD)).select("name", "doc_id", "words"))))
 
-    crowds = members.where(F.col("n") > CROWD).select("name", "doc_id", "words")
-    mixed = classes.named(crowds).groupBy("name").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("name")
-    crowds = materialise(crowds.join(mixed, "name", "left_semi"), "crowds")
+    crowds = materialise(classes.named(members.where(F.col("n") > CROWD).select("name", "doc_id")), "crowds")
+    mixed = crowds.groupBy("name").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("name")
+    crowds = crowds.join(mixed, "name", "left_semi")
     if not crowds.isEmpty():
-        held = materialise(kmers(texts.join(crowds.select("doc_id").distinct(), "doc_id", "left_semi")), "kmers")
-        few = materialise(_rare(held), "rare")
-        found = few.join(few.groupBy("name").count().where("count > 1").select("name"), "name").join(crowds.select("doc_id", "words").distinct(), "doc_id")
-        classes.test(_all_pairs(classes.named(found)))
-        discard(held, few)
-        turn = 0
-        while True:
-            turn += 1
-            mine = classes.named(crowds).select("name", "c", F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("h"), "doc_id", "words").alias("m"))
-            each = materialise(mine.groupBy("name", "c").agg(F.min("m").alias("m")), "choices")
-            lead = each.groupBy("name").agg(F.min("m").alias("lead"), F.count("*").alias("n")).where("n > 1").select("name", "lead")
-            rest = each.join(lead, "name").where((F.col("m.doc_id") != F.col("lead.doc_id")) & _near(F.col("m.words"), F.col("lead.words")))
-            found = classes.test(rest.select(F.col("m.doc_id").alias("u"), F.col("lead.doc_id").alias("v")))
-            discard(each)
-            if not found:
-                break
+        held = materialise(crowds.select("doc_id", "c").distinct().join(texts, "doc_id"), "crowded")
+        classes.test(crowd_pairs(held))
+        discard(held)
     of = rep_of.withColumnRenamed("doc_id", "own").withColumnRenamed("rep", "doc_id")
     of = materialise(classes.named(of).groupBy(F.col("own").alias("doc_id")).agg(F.min("c").alias("class_id")), "class-of")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(of, "doc_id", "left")

@@ -154,3 +154,38 @@ def test_odd_input(spark, odd_docs, no_docs):
     assert sorted((r["doc_id"], r["class_id"]) for r in near_classes(two).collect()) == [(1, 1), (2, 2), (3, 1), (3, 1)]
     kept = keep_one(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "5", "7", "8", "None"]
+
+
+@pytest.mark.parametrize("block", (7, 1 << 12))
+def test_the_join_of_crowds_leaves_out_no_link(spark, documents, texts, block, monkeypatch):
+    """All links among the table's texts, as if they were one crowd of one-text components; some lists in several blocks."""
+    from tessella.llm import order_minhash
+
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    held = documents.where("trim(text) <> ''").selectExpr("doc_id", "doc_id c", "text")
+    got = {(r["u"], r["v"]) for r in order_minhash.crowd_pairs(held).collect()}
+    bags = {d: Counter(t.encode().split()) for d, t in texts.items() if t}
+    size = {d: b.total() for d, b in bags.items()}
+    pairs = [(a, b) for a in bags for b in bags if a < b and min(size[a], size[b]) >= SIMILARITY * max(size[a], size[b]) - 1e-9]
+    want = {(a, b) for a, b in pairs if (bags[a] & bags[b]).total() >= SIMILARITY * max(size[a], size[b]) - 1e-9 and similar(texts[a], texts[b])}
+    assert len(want) > 20 and want <= got and len(got) < len(pairs) / 10
+
+
+def test_crowds_without_rare_words(spark):
+    """1,200 texts of 44 places with five words each that half of the texts have, and 50 words that all have: every bucket is crowded, every k-mer frequent."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(50)]
+    codes = [rng.getrandbits(44) for _ in range(1100)]
+    for i in range(100):
+        codes.append(codes[i] ^ sum(1 << p for p in rng.sample(range(44), 10)))
+    rows = [(d, " ".join(template + [f"p{p}v{x >> p & 1}w{i}" for p in range(44) for i in range(5)])) for d, x in enumerate(codes)]
+    links = [(a, b) for b, y in enumerate(codes) for a, x in enumerate(codes[:b]) if 5 * (x ^ y).bit_count() <= 54]  # of 270 words
+    want = parents(range(len(codes)), links)
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert len(links) >= 100 and got == want
+
+
+def test_white_space_of_sketches_and_alignment_is_one():
+    """No-break spaces part no words, so one word of ten differs."""
+    base = [f"w{i}" for i in range(9)]
+    assert similar(" ".join([*base, "q"]), "\t".join([*base, "q\u00a0r\u00a0s\u00a0t\u00a0u"]))
