@@ -115,10 +115,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = materialise(rows.mapInArrow(select, PLACES), "suffixes")
-    asked = _shared(names).groupBy("doc_id").agg(F.collect_list("start").alias("asked"))  # at most one for each word of the document
+    few, hot = _shared(names)
+    asked = _cold(names, few, hot).drop("first_doc_id").unionByName(names.where(_among(hot)))
+    asked = asked.groupBy("doc_id").agg(F.collect_list("start").alias("asked"))  # at most one for each word of the document
     held = materialise(rows.join(asked, "doc_id").mapInArrow(windows, PLACES), "windows")
-    found = _shared(held).where("first_doc_id < doc_id")
-    spans = _merged(found.select("doc_id", "start", (F.col("start") + min_words).alias("end"), "first_doc_id"), ["doc_id"], F.min("first_doc_id").alias("first_doc_id"))
+    few, hot = _shared(held)
+    found = _cold(held, few, hot).where("first_doc_id < doc_id").select("doc_id", "start", (F.col("start") + min_words).alias("end"), "first_doc_id")
+    spans = _merged(found.unionByName(_hot_stretches(held, hot, min_words)), ["doc_id"], F.min("first_doc_id").alias("first_doc_id"))
     return spans.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "first_doc_id")
 
 
@@ -126,8 +129,8 @@ def _places(name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBa
     return pa.record_batch([pa.array(name.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32))], names=["name", "doc_id", "start"])
 
 
-def _shared(places: DataFrame) -> DataFrame:
-    """Those of ``places`` whose names several documents hold, with the first of these.
+def _shared(places: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Names of ``places`` that several documents hold, with the first of these: a table, and those of very frequent names.
 
     Rows of a very frequent name stay where they are: these names, at most ``FREQUENT`` of
     them, are sent to all tasks, and the rows of the others are shuffled by name.
@@ -135,10 +138,36 @@ def _shared(places: DataFrame) -> DataFrame:
     held = places.groupBy("name").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     held = materialise(held.where("first_doc_id < last").drop("last"), "shared")
     most = max(FREQUENT, (held.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
-    hot = F.broadcast(held.where(F.col("n") > most).select("name", F.col("first_doc_id").alias("hot")))
-    marked = places.join(hot, "name", "left")
-    rest = marked.where("hot IS NULL").drop("hot").join(held.where(F.col("n") <= most).select("name", "first_doc_id"), "name")
-    return rest.unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "first_doc_id"))
+    hot = {r["name"]: r["first_doc_id"] for r in held.where(F.col("n") > most).select("name", "first_doc_id").collect()}
+    return held.where(F.col("n") <= most).select("name", "first_doc_id"), hot
+
+
+def _among(hot: dict[int, int]) -> Column:
+    return F.col("name").isin(sorted(hot)) if hot else F.lit(False)
+
+
+def _cold(places: DataFrame, few: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """Those of ``places`` whose names several documents hold, with the first of these; without very frequent names."""
+    return places.where(~_among(hot)).join(few, "name")
+
+
+def _hot_stretches(places: DataFrame, hot: dict[int, int], min_words: int) -> DataFrame:
+    """doc_id, start, end, first_doc_id of the windows of very frequent names that an earlier document holds, those that follow each other in a document as one."""
+    name = np.array(sorted(hot), np.int64)
+    first_of = np.array([hot[x] for x in name.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, doc, start = first_of[np.searchsorted(name, batch["name"].to_numpy())], batch["doc_id"].to_numpy(), batch["start"].to_numpy()
+            later = first < doc
+            first, doc, start = first[later], doc[later], start[later]
+            if len(doc):
+                step = np.diff(start)
+                begin = np.append(0, np.flatnonzero((doc[1:] != doc[:-1]) | (step < 0) | (step > min_words)) + 1)
+                end = start[np.append(begin[1:], len(doc)) - 1] + np.int32(min_words)
+                yield pa.record_batch([pa.array(doc[begin]), pa.array(start[begin]), pa.array(end), pa.array(np.minimum.reduceat(first, begin))], names=["doc_id", "start", "end", "first_doc_id"])
+
+    return places.where(_among(hot)).mapInArrow(run, "doc_id long, start int, end int, first_doc_id long")
 
 
 def _merged(pieces: DataFrame, key: list[str], *aggregates: Column) -> DataFrame:

@@ -89,6 +89,19 @@ def test_a_very_common_passage(spark):
     assert spans(repeats(df)) == {d: [(20, 90)] for d in range(1, 200)}
 
 
+def test_windows_of_a_very_common_passage_move_as_one(spark, monkeypatch):
+    """A document sends a stretch of the passage that all hold, not each of its windows."""
+    from tessella.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 64)
+    merged, pieces = suffix_dedup._merged, []
+    monkeypatch.setattr(suffix_dedup, "_merged", lambda df, *rest: (pieces.append(df.count()), merged(df, *rest))[1])
+    common = " ".join(f"c{i}" for i in range(100))
+    df = spark.createDataFrame([(d, f"a{d} b{d} {common} e{d} {common} f{d}") for d in range(200)], "doc_id bigint, text string").repartition(3)
+    assert spans(repeats(df)) == {d: [(2, 102), (103, 203)] for d in range(1, 200)}
+    assert pieces[0] <= 2 * 199 + 20  # a batch may end inside a stretch
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_a_later_document_holds_the_whole_passage(spark, seed):
     """The first document of a passage holds only part of it, and passages come in many versions."""
