@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from tessella.llm import registry
 
@@ -46,3 +48,18 @@ def test_sql(spark, sf_dir, duck):
         columns = sorted(want.columns)
         key = lambda x: sorted(map(str, x[columns].itertuples(index=False, name=None)))
         assert sorted(got.columns) == columns and key(got) == key(want)
+
+
+def test_near_dedup_loses_no_link_of_a_crowd(spark):
+    """1,200 texts whose buckets are all crowded and whose k-mers are all frequent: 44 places of five words that half of the texts have."""
+    rng = random.Random(5)
+    codes = [rng.getrandbits(44) for _ in range(1100)]
+    codes += [x ^ sum(1 << p for p in rng.sample(range(44), 10)) for x in codes[:100]]
+    rows = [(d, " ".join([f"t{i}" for i in range(50)] + [f"p{p}v{x >> p & 1}w{i}" for p in range(44) for i in range(5)])) for d, x in enumerate(codes)]
+    near = {d: [e for e, y in enumerate(codes) if 5 * (x ^ y).bit_count() <= 54] for d, x in enumerate(codes)}  # of 270 words
+    least, before = {d: d for d in near}, None
+    while least != before:
+        least, before = {d: min(least[e] for e in near[d]) for d in near}, least
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    kept = {r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "").collect()}
+    assert len(kept) <= 1100 and kept == {d for d in least if least[d] == d}
