@@ -30,7 +30,8 @@ in no sketch.  Words are parted by ASCII white space throughout.
 
 Results for odd input: null and empty texts, and those without a word, link with
 nothing.  Texts of any length are sketched and aligned whole.  Repeated rows give a row
-each; rows of one doc_id with different texts share a class, the least of theirs.  Rows
+each; rows of one doc_id with different texts share a class, the least of theirs, and each of these
+texts is compared.  Rows
 with a null doc_id are their own class, which is null.  Ties go to the smaller doc_id;
 more columns are ignored; an empty table gives no rows.
 """
@@ -318,7 +319,7 @@ def crowd_pairs(held: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose texts are similar."""
+    """Those of ``pairs`` (u, v) of which any two texts are similar, maybe several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +385,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     buckets = sketched.join(copies.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"], "left_semi").select("doc_id", "words", F.explode("names").alias("name"))
     shared = materialise(buckets.groupBy("name").agg(F.min(F.struct("doc_id", "words")).alias("lead"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = materialise(buckets.join(shared, "name").select("name", "n", "lead", "doc_id", "words"), "members")
-    texts = materialise(_texts(docs).dropDuplicates(["doc_id"]).join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    every = _texts(docs).repartition("doc_id").dropDuplicates(["doc_id", "text"])  # all texts of a doc_id; dealt by it once, for the join too
+    texts = materialise(every.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     classes = _Classes(texts)
     stars = members.where((F.col("lead.doc_id") != F.col("doc_id")) & _near(F.col("lead.words"), F.col("words")))
     classes.test(stars.select(F.col("lead.doc_id").alias("u"), F.col("doc_id").alias("v")))

@@ -189,3 +189,14 @@ def test_white_space_of_sketches_and_alignment_is_one():
     """No-break spaces part no words, so one word of ten differs."""
     base = [f"w{i}" for i in range(9)]
     assert similar(" ".join([*base, "q"]), "\t".join([*base, "q\u00a0r\u00a0s\u00a0t\u00a0u"]))
+
+
+def test_each_text_of_a_doc_id_is_compared(spark):
+    """Rows of one doc_id with two texts, one near to each of two other documents."""
+    base = [[f"{x}{i}" for i in range(100)] for x in "ab"]
+    near = [" ".join([*b[:50], "changed", *b[51:]]) for b in base]
+    rows = [(1, " ".join(base[0])), (2, " ".join(base[1])), (3, near[0]), (3, near[1]), (4, "no link of these")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string").coalesce(1)
+        assert sorted((r["doc_id"], r["class_id"]) for r in near_classes(df).collect()) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4)]
+        assert sorted(r["doc_id"] for r in keep_one(spark, df, "").collect()) == [1, 4]
