@@ -20,11 +20,14 @@ A token is scored in the longest retained context; score sums log10 P.
 All counts cover all training texts and nothing is sampled.  Texts are split into words
 once, into blocks of ``BLOCK_BYTES``, which send every distinct n-gram once, with its count,
 to the task that its hash names, and get the total back, as sorted and compressed
-lists.  So there is one entry per block and n-gram, however frequent, and no list of what
-follows a word exists anywhere.  Four exchanges follow each other: counts of 1 and 2 words;
+lists; contexts whose counts alone prove that they can't be retained are not tested, and
+not followed where that holds for all longer ones.  So there is one entry per block and n-gram, however frequent, and no list of what
+follows a word exists anywhere.  Five exchanges follow each other: counts of 1 and 2 words;
 tests of contexts of 1 word, and counts of 3 words for the tokens whose contexts go on;
-tests of 2 words, and counts of longer n-grams; tests of the longer contexts.  Only the
-answers are written; a block works out again what it asked before.  A test
+tests of 2 words, and counts of 4; tests of 3 words, and counts of longer n-grams, again only for
+tokens whose contexts go on, as most n-grams of 4 words occur once; tests of the longer contexts.
+Of blocks' work only the tokens that wait for tests of over 2 words are written, and all
+answers; a block works out again what it asked before.  A test
 sums over the tokens of all blocks, as k(s) is the sum of 1 / c(s w) over tokens.  Tasks
 hold about ``ENTRIES`` entries, whatever the input, and the blocks themselves never move.
 
@@ -168,9 +171,14 @@ class Tokens:
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the place of each key among them, by one sort."""
-    order = np.argsort(keys)
+    """Distinct keys in order, and the place of each key among them, by one sort: of numbers made of a key's first bits and its position, if they fit."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    lost = np.uint64(max(0, BITS + bits - 64))
+    order = (np.sort(keys >> lost << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
     ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():  # keys that differ in their last bits only
+        order = np.argsort(keys)
+        ordered = keys[order]
     new = np.ones(len(keys), bool)
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     at = np.empty(len(keys), np.int32)
@@ -178,6 +186,13 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], at
 
 
+def _marked(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the distinct ``keys`` in order that are at ``places``, and the place of each among them."""
+    mark = np.zeros(len(keys), bool)
+    mark[places] = True
+    return keys[mark], (np.cumsum(mark, dtype=np.int32) - 1)[places]
+
+
 def _dealt(parts: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, from, to) of sorted keys."""
     bounds = np.searchsorted(keys, (np.arange(parts + 1, dtype=object) * (1 << BITS) // parts).astype(np.uint64))
@@ -192,13 +207,16 @@ def _asks(block: int, parts: int, ids: pa.Array, counted: tuple, tested: tuple)
         yield _row(block, i, ids[:0], _packed(counted[0][x:y], counted[1][x:y].astype(np.uint32), tested[0][v:w], tested[1][v:w].astype(np.float32)))
 
 
-def _added(rows: pa.Table) -> pa.Table:
-    """Answers the asks of one part: totals, and which contexts are retained."""
+def _added(rows: pa.Table, alone: bool) -> pa.Table:
+    """Answers the asks of one part: totals (if ``alone``, 1 only where one block alone asks, else one more than there are), and which contexts are retained."""
     rows = rows.sort_by("block").combine_chunks()  # sums in the same order whenever a task runs again
     asked = [_unpacked(x) for x in rows["data"].to_pylist()]
     every = [[x[j] for x in asked] for j in range(4)]
     u, back = _ranks(np.concatenate(every[0]))
-    totals = np.bincount(back, np.concatenate(every[1]), len(u)).astype(np.int64)[back]
+    totals = np.bincount(back, np.concatenate(every[1]), len(u)).astype(np.int64)
+    if alone:
+        totals += (totals > 1) | (totals == 1) & (np.bincount(back, minlength=len(u)) > 1)
+    totals = totals[back]
     u, back = _ranks(np.concatenate(every[2]))
     kept = (np.bincount(back, np.concatenate(every[3]), len(u)) > 1e-9)[back]
     first, second = (np.append(0, np.cumsum([len(x) for x in every[j]])) for j in (0, 2))
@@ -222,39 +240,50 @@ def _smoothed(c: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (c + WEIGHT * p) / (n + WEIGHT)
 
 
+def _may_diverge(n: np.ndarray, c: np.ndarray, suffix: np.ndarray, tokens: int) -> np.ndarray:
+    """Which contexts can be retained that occur ``n`` times, ``c`` times before one word, and whose suffixes occur ``suffix`` times.
+
+    P'(w | suffix) is at least c(s w) / (n(suffix) + WEIGHT), so the sum over words is at most n ln((n(suffix) + WEIGHT) / n); k is at least 2 if a word follows, but not always.
+    """
+    return n * np.log((suffix + WEIGHT) / n) > 0.5 * np.log(max(tokens, 2)) * (1 + ((c > 0) & (c < n)))
+
+
+def _may_deepen(n: np.ndarray, tokens: int) -> np.ndarray:
+    """Which contexts that occur ``n`` times can have longer ones that :func:`_may_diverge`: m ln((n + WEIGHT) / m) is at most (n + WEIGHT) / e."""
+    return n + WEIGHT > 0.5 * np.e * np.log(max(tokens, 2))
+
+
 class Levels:
     """Counts along the contexts of some tokens, one depth after the other."""
 
     def __init__(self, p: np.ndarray, root: np.ndarray, all_: int) -> None:
-        self.chain = self.p = root  # P' and P
+        self.at, self.chain, self.p = p, root, root  # P' and P
         self.open = np.ones(len(p), bool)  # no shorter context has one next word only
         self.n = np.full(len(p), all_)
         self.steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def step(self, n: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """To contexts of one word more that occur ``n`` times, ``c`` times before the token; which are asked for, and each token's part of the divergence."""
+    def step(self, n: np.ndarray, c: np.ndarray, tokens: int = 0) -> np.ndarray:
+        """To contexts of one word more that occur ``n`` times, ``c`` times before the token; which are asked for: of those with a suffix, with the number of ``tokens``, only what :func:`_may_diverge`."""
         asked = (n >= LEAST) & (n < self.n) & self.open
-        gain = np.log(np.maximum(c, 1) / np.maximum(n, 1)) - np.log(self.chain)
+        if tokens:
+            asked[asked] = _may_diverge(n[asked], c[asked], self.n[asked], tokens)
         self.steps.append((n, c, asked, self.chain))
         self.chain = np.where(n >= LEAST, _smoothed(c, n, self.chain), self.chain)
         self.open = self.open & (c < n) & (n >= LEAST)
         self.n = n
-        return asked, gain
+        return asked
+
+    def over(self, depth: int, train: np.ndarray, tokens: int) -> np.ndarray:
+        """Of contexts that were asked for, each token's part of the divergence less its part of the threshold (1 / c sums to k); 0 unless it is trained on."""
+        n, c, asked, chain = self.steps[depth]
+        n, c = np.maximum(n[asked], 1), np.maximum(c[asked], 1)
+        return np.where(train[asked], np.log(c / n) - np.log(chain[asked]) - 0.5 * np.log(max(tokens, 2)) / c, 0)
 
     def use(self, depth: int, kept: np.ndarray) -> None:
         n, c, _, _ = self.steps[depth]
         self.p = np.where(kept, _smoothed(c, n, self.p), self.p)
 
 
-def _tests(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], tokens: int) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
-    """Of (asked, keys, gains, c, trained) by depth: contexts' keys in order and by what their divergence over trained tokens exceeds its threshold (1 / c sums to k); and the place of each that is asked for among the keys."""
-    u, at = _ranks(np.concatenate([key[asked] for asked, key, *_ in levels]))
-    each = 0.5 * np.log(max(tokens, 2))
-    over = [np.where(train[asked], gain[asked] - each / np.maximum(c[asked], 1), 0) for asked, _, gain, c, train in levels]
-    places = np.split(at, np.cumsum([np.count_nonzero(asked) for asked, *_ in levels])[:-1])
-    return (u, np.bincount(at, np.concatenate(over), len(u))), places
-
-
 def _kept(kept: np.ndarray, asked: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which tokens' contexts are retained; those ``asked`` for are at the places ``at``."""
     out = np.zeros(len(asked), bool)
@@ -283,7 +312,7 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
 
     def asked_keys(x: Tokens, orders: range, only: np.ndarray | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
         """n-grams of ``orders``: positions, keys and places among the distinct keys; these in order; and the places of single words, which belong to all positions."""
-        found = x.keys(orders, only) if only is None or len(only) else {}
+        found = x.keys(orders, only) if orders and (only is None or len(only)) else {}
         one = _key(x.single, True) if only is None else np.zeros(0, np.uint64)
         u, at = _ranks(np.concatenate([one, *(k for _, k in found.values())]))
         single, *places = np.split(at, np.cumsum([len(one), *(len(p) for p, _ in found.values())])[:-1])
@@ -302,26 +331,17 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         return out
 
     def on(x: Tokens, p: np.ndarray, levels: Levels, mine: np.ndarray, d: int) -> np.ndarray:
-        """Those of the tokens ``p`` whose contexts of ``d`` words, which occur ``mine`` times where they end, go on."""
-        return levels.open & (x.age[p] >= d) & (mine[p - 1] >= LEAST)
-
-    def walk(x: Tokens, counts: list[np.ndarray]) -> tuple[np.ndarray, Levels, list]:
-        """Contexts of every token, as long as counts are known, and what to test of them."""
-        p, keys = np.flatnonzero(x.age > 0), x.keys(range(1, len(counts)))
-        levels, tests = Levels(p, (counts[0][p].astype(float) + 1) / (total + vocabulary + 1), total), []
-        for n, (mine, longer) in enumerate(zip(counts, counts[1:]), 1):
-            key = np.zeros(len(x.words), np.uint64)
-            at, found = keys.pop(n)
-            key[at] = found
-            after = longer[p]
-            asked, gain = levels.step(np.where(x.age[p] >= n, mine[p - 1], 0), after)
-            tests.append((asked, key[p - 1], gain, after, x.train[p]))
-        return p, levels, tests
-
-    def ends(x: Tokens, own: np.ndarray) -> np.ndarray:
-        """The tokens ``own`` and those right before: where their n-grams and contexts end."""
+        """Those of the tokens ``p`` whose contexts of ``d`` words, which occur ``mine`` times where they end, go on: they or longer ones can be retained."""
+        n = mine[p - 1]
+        out = levels.open & (x.age[p] >= d) & (n >= LEAST)
+        out[out] = _may_deepen(n[out], total) | _may_diverge(n[out], np.zeros(1), levels.n[out], total)
+        return out
+
+    def ends(x: Tokens, own: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The tokens ``own`` and those right before some of them: where their n-grams and contexts end."""
         there = np.zeros(len(x.words), bool)
-        there[own] = there[own - 1] = True
+        there[own] = True
+        there[own[before] - 1] = True
         return np.flatnonzero(there)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,95 +353,160 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
                 n = counted(x, found, u) + np.bincount(single, ones, len(u)).astype(np.int64)
                 yield from _asks(block, parts, ids, (u, n), none)
 
-    def to_two(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list]:
-        """Counts of one and two words by position, and what is known of each token's context of one word."""
+    def to_two(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Counts of one and two words by position, what is known of each token's context of one word, its key and the token's, and which 3-grams to count."""
         two, u, single = asked_keys(x, range(2, 3))
         totals, _ = _answers(found, 0, len(u), 0)
-        counts = [totals[single][x.place], *(spread(x, two, totals) or [np.zeros(len(x.words), np.int64)])]
-        return counts, *walk(x, counts)
-
-    def to_three(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list, np.ndarray]:
-        """The same up to three words, and which contexts of one word are retained."""
-        counts, p, levels, tests = to_two(x, found)
-        three, u, _ = asked_keys(x, range(3, 4), ends(x, p[on(x, p, levels, counts[1], 2)]))
-        asked, keys, *_ = tests[0]
-        tested, at = _ranks(keys[asked])
-        totals, kept = _answers(found, 1, len(u), len(tested))
-        kept = _kept(kept, asked, at)
-        counts += spread(x, three, totals) or [np.zeros(len(x.words), np.int64)]
-        return counts, *walk(x, counts), kept
+        p, one = np.flatnonzero(x.age > 0), totals[single][x.place]
+        at = np.zeros(len(x.words), np.int32)
+        at[p] = two[2][2]
+        c2 = np.zeros(len(x.words), np.int64)
+        c2[p] = totals[two[2][2]]
+        levels = Levels(p, (one[p].astype(float) + 1) / (total + vocabulary + 1), total)
+        levels.step(one[p - 1], c2[p])
+        own = p[on(x, p, levels, c2, 2)]
+        return [one, c2], p, levels, [u, single[x.place[p - 1]], at[p - 1]], ends(x, own, (x.age[own] >= 3) & (c2[own - 2] >= LEAST) & _may_deepen(c2[own - 1], total))
+
+    def to_three(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, tuple[np.ndarray, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """The same up to three words; contexts of two words to test; which of one word are retained; and of tokens that go on the contexts of three words, and which 4-grams to count."""
+        counts, p, levels, (u, first, second), there = to_two(x, found)
+        three, u3, _ = asked_keys(x, range(3, 4), there)
+        asked = levels.steps[0][2]
+        tested, at = _marked(u, first[asked])
+        totals, kept = _answers(found, 1, len(u3), len(tested))
+        c3, at3 = np.zeros(len(x.words), np.int64), np.zeros(len(x.words), np.int32)
+        for q, _, place in three.values():
+            c3[q], at3[q] = totals[place], place
+        again = levels.step(np.where(x.age[p] >= 2, counts[1][p - 1], 0), c3[p], total)
+        goes_on = on(x, p, levels, c3, 3)
+        own = p[goes_on]
+        there = ends(x, own, (x.age[own] >= 4) & _may_deepen(c3[own - 1], total) & (counts[1][own - 3] >= LEAST) & (c3[own - 2] != 1))  # no context of four words that occurs once
+        return [*counts, c3], p, levels, _marked(u, second[again]), _kept(kept, asked, at), (u3, at3[own - 1]), goes_on, there
 
     def ask_three(block: pa.Table, found: pa.Table) -> pa.Table:
         """Tests contexts of one word, counts three words."""
         (number, ids, x), = opened(block)
-        counts, p, levels, tests = to_two(x, found)
-        three, u, _ = asked_keys(x, range(3, 4), ends(x, p[on(x, p, levels, counts[1], 2)]))
-        return table_of(_asks(number, parts, ids, (u, counted(x, three, u)), _tests(tests, total)[0]))
+        _, p, levels, (u, first, _), there = to_two(x, found)
+        tested, at = _marked(u, first[levels.steps[0][2]])
+        three, u, _ = asked_keys(x, range(3, 4), there)
+        return table_of(_asks(number, parts, ids, (u, counted(x, three, u)), (tested, np.bincount(at, levels.over(0, x.train[p], total), len(tested)))))
 
-    def ask_long(block: pa.Table, found: pa.Table) -> pa.Table:
-        """Tests contexts of two words, counts longer n-grams."""
+    def ask_four(block: pa.Table, found: pa.Table) -> pa.Table:
+        """Tests contexts of two words, counts four words."""
         (number, ids, x), = opened(block)
-        counts, p, levels, tests, _ = to_three(x, found)
-        long, u, _ = asked_keys(x, range(4, depth + 2), ends(x, p[on(x, p, levels, counts[2], 3)]))
-        return table_of(_asks(number, parts, ids, (u, counted(x, long, u)), _tests(tests[1:], total)[0]))
+        _, p, levels, (tested, at), _, _, _, there = to_three(x, found)
+        four, u, _ = asked_keys(x, range(4, 5), there)
+        return table_of(_asks(number, parts, ids, (u, counted(x, four, u)), (tested, np.bincount(at, levels.over(1, x.train[p], total), len(tested)))))
 
     def table_of(rows: Iterator[pa.RecordBatch]) -> pa.Table:
         return pa.Table.from_batches([_row(-1, -2, pa.array([], ids_kind), b"").slice(0, 0), *rows])
 
-    def long_walk(x: Tokens, levels: Levels, p: np.ndarray, goes_on: np.ndarray, c3: np.ndarray, found: dict, totals: np.ndarray) -> tuple[Levels, list]:
-        """Contexts of over two words of the tokens that have any."""
-        own, tests = p[goes_on], []
-        deep = Levels(own, levels.p[goes_on], 0)
-        deep.chain, deep.n = levels.chain[goes_on], levels.n[goes_on]
-        known = {n: np.zeros(len(x.words), np.int64) for n in range(4, depth + 2)}
-        key = {n: np.zeros(len(x.words), np.uint64) for n in range(3, depth + 2)}
-        known[3] = c3
-        at3, k3 = x.keys(range(3, 4), own - 1)[3] if len(own) else (own, own)
-        key[3][at3] = k3
-        for n, (at, k, place) in found.items():
-            known[n][at], key[n][at] = totals[place], k
-        for d in range(3, depth + 1):
-            there = x.age[own] >= d
-            asked, gain = deep.step(np.where(there, known[d][own - 1], 0), known[d + 1][own])
-            tests.append((asked, key[d][own - 1], gain, known[d + 1][own], x.train[own]))
-        return deep, tests
+    def at_positions(x: Tokens, n: int, p: np.ndarray) -> np.ndarray:
+        """Keys of the n-grams of ``n`` words that end at ``p``; 0 where there is none."""
+        out = np.zeros(len(p), np.uint64)
+        if len(p):
+            out[x.age[p] >= n - 1] = x.keys(range(n, n + 1), p)[n][1]
+        return out
+
+    def long_keys(x: Tokens, own: np.ndarray, sure: np.ndarray, before: np.ndarray) -> tuple[dict, np.ndarray]:
+        """n-grams of over four words as of :func:`asked_keys`: those that end at the tokens ``own`` but where counts are ``sure``, and contexts that may occur twice, ``before`` some tokens."""
+        found = {}
+        for n in range(5, depth + 2) if len(own) else ():
+            there = np.zeros(len(x.words), bool)
+            there[own[~sure if n == 5 else before & ~sure]] = True
+            if n <= depth:
+                there[own[before] - 1] = True
+            found[n] = x.keys(range(n, n + 1), np.flatnonzero(there))[n]
+        u, at = _ranks(np.concatenate([np.zeros(0, np.uint64), *(k for _, k in found.values())]))
+        places = np.split(at, np.cumsum([len(k) for _, k in found.values()])[:-1]) if found else []
+        return {n: (p, k, a) for (n, (p, k)), a in zip(found.items(), places)}, u
 
     def settle(block: pa.Table, found: pa.Table) -> pa.Table:
-        """Sums the tokens without longer contexts, and tests those of the others."""
+        """Sums the tokens without longer contexts, tests those of three words of the others and counts n-grams of over four."""
         (number, ids, x), = opened(block)
-        counts, p, levels, tests, first = to_three(x, found)
-        goes_on = on(x, p, levels, counts[2], 3)
-        seen, long, _ = asked_keys(x, range(4, depth + 2), ends(x, p[goes_on]))
-        asked, keys, *_ = tests[1]
-        tested, at = _ranks(keys[asked])
-        totals, kept = _answers(found, 2, len(long), len(tested))
+        counts, p, levels, (tested, at), first, (u3, at3), goes_on, there = to_three(x, found)
+        four, u, _ = asked_keys(x, range(4, 5), there)
+        totals, kept = _answers(found, 2, len(u), len(tested))
         levels.use(0, first)
-        levels.use(1, _kept(kept, asked, at))
-        deep, more = long_walk(x, levels, p, goes_on, counts[2], seen, totals)
-        text, c1 = x.text[p], counts[0][p]
-        sums = [np.bincount(text, v, len(x.sizes)) for v in (np.log10(c1 + 1) - np.log10(total + vocabulary + 1), c1 > 0, np.where(goes_on, 0, np.log10(levels.p)))]
-        steps = [(n, c) for n, c, _, _ in deep.steps]
-        tested, found_at = _tests(more, total)
-        places = [np.full(len(asked), -1, np.int32) for asked, *_ in more]
-        for place, at, (asked, *_) in zip(places, found_at, more):
-            place[asked] = at
-        rest = _packed(*sums, text[goes_on].astype(np.int32), deep.p, np.array([len(tested[0])]), *(y for pair, at in zip(steps, places) for y in (*pair, at)))
-        return pa.Table.from_batches([_row(number, -2, ids[:0], rest), *_asks(number, parts, ids, (long[:0], long[:0]), tested)])
+        levels.use(1, _kept(kept, levels.steps[1][2], at))
+        own, alone = p[goes_on], totals == 1
+        totals = totals - (totals > 1)
+        c4, at4 = np.zeros(len(x.words), np.int64), np.zeros(len(x.words), np.int32)
+        for q, _, place in four.values():
+            c4[q], at4[q] = totals[place], place
+            alone[place[~x.train[q]]] = False
+        sure = np.where(x.train[own], alone[at4[own]], c4[own] == 0)  # the n-grams that end there are as often as those of four words: once, in no text held out, or never
+        deep = Levels(own, levels.p[goes_on], 0)
+        deep.chain, deep.n = levels.chain[goes_on], levels.n[goes_on]
+        n, c = counts[2][own - 1], c4[own]
+        asked = deep.step(n, c, total)
+        tested, at = _marked(u3, at3[asked])
+        over = np.bincount(at, deep.over(0, x.train[own], total), len(tested))
+        place = np.full(len(own), -1, np.int32)
+        place[asked] = at
+        further = on(x, own, deep, c4, 4) if depth > 3 else np.zeros(len(own), bool)
+        far, sure = own[further], sure[further]
+        before = (x.age[far] >= 5) & _may_deepen(c4[far - 1], total) & (counts[1][far - 4] >= LEAST) & (counts[2][far - 3] != 1) & (c4[far - 2] != 1)
+        long, u = long_keys(x, far, sure, before)
+        wait = asked | further
+        waits = np.zeros(len(p), bool)
+        waits[np.flatnonzero(goes_on)[wait]] = True
+        done, text, c1 = levels.p, x.text[p], counts[0][p]
+        sums = [np.bincount(text, v, len(x.sizes)) for v in (np.log10(c1 + 1) - np.log10(total + vocabulary + 1), c1 > 0, np.where(waits, 0, np.log10(done)))]
+        waiting = text[waits], done[waits], n[wait].astype(np.uint32), c[wait].astype(np.uint32), place[wait], np.array([len(tested)])
+        rest = _packed(*sums, *waiting, np.flatnonzero(further[wait]).astype(np.int32), far.astype(np.int32), sure, before, deep.chain[further], c4[far - 1].astype(np.uint32))
+        return pa.Table.from_batches([_row(number, -2, ids[:0], rest), *_asks(number, parts, ids, (u, counted(x, long, u)), (tested, over))])
+
+    def deepened(x: Tokens, waiting: list[np.ndarray], found: pa.Table) -> tuple[np.ndarray, np.ndarray, Levels, np.ndarray, list[np.ndarray]]:
+        """Probabilities of the tokens that wait by contexts of up to three words; which of them have longer ones, these; keys to test, and the places of the tokens' among them."""
+        p, n, c, place, waited, further, own, sure, before, chain, n4 = waiting
+        long, u = long_keys(x, own, sure, before)
+        totals, kept = _answers(found, 3, len(u), int(waited[0]))
+        n, c, n4 = n.astype(np.int64), c.astype(np.int64), n4.astype(np.int64)
+        p = np.where(np.append(kept, False)[place], _smoothed(c, n, p), p)
+        deep, keys = Levels(own, p[further], 0), []
+        deep.chain, deep.n = chain, n[further]
+        known = dict(zip(long, spread(x, long, totals)))
+        for d in range(4, depth + 1):
+            mine = n4 if d == 4 else known[d][own - 1] if d in known else np.zeros(len(own), np.int64)
+            after = np.where(sure, x.train[own], known[d + 1][own]) if d + 1 in known else np.zeros(len(own), np.int64)
+            asked = deep.step(np.where(x.age[own] >= d, mine, 0), after, total)
+            keys.append(at_positions(x, d, own - 1)[asked])
+        tested, at = _ranks(np.concatenate([np.zeros(0, np.uint64), *keys]))
+        return p, further, deep, tested, np.split(at, np.cumsum(list(map(len, keys)))[:-1]) if keys else []
+
+    def reopened(block: pa.Table) -> tuple[int, pa.Array, Tokens, list[np.ndarray]]:
+        """A block and what it wrote when it settled."""
+        (number, ids, x), = opened(block.filter(pc.equal(block["part"], -1)))
+        return number, ids, x, _unpacked(block.filter(pc.equal(block["part"], -2))["data"][0].as_py())
+
+    def ask_last(block: pa.Table, found: pa.Table) -> pa.Table:
+        """Tests contexts of over three words."""
+        number, ids, x, (_, _, _, _, *waiting) = reopened(block)
+        _, _, deep, tested, places = deepened(x, waiting, found)
+        none, sums = np.zeros(0, np.uint64), np.zeros(len(tested))
+        for i, at in enumerate(places):
+            sums += np.bincount(at, deep.over(i, x.train[deep.at], total), len(tested))
+        return table_of(_asks(number, parts, ids, (none, none), (tested, sums)))
 
     def finish(block: pa.Table, found: pa.Table) -> pa.Table:
-        (_, ids, x), = opened(block.filter(pc.equal(block["part"], -1)))
-        base, known, score, text, p, asked, *steps = _unpacked(block.filter(pc.equal(block["part"], -2))["data"][0].as_py())
-        _, kept = _answers(found, 3, 0, int(asked[0]))
-        kept = np.append(kept, False)
-        for n, c, at in zip(steps[::3], steps[1::3], steps[2::3]):
-            p = np.where(kept[at], _smoothed(c, n, p), p)
+        _, ids, x, (base, known, score, text, *waiting) = reopened(block)
+        p, further, deep, tested, places = deepened(x, waiting, found)
+        _, kept = _answers(found, 4, 0, len(tested))
+        for i, at in enumerate(places):
+            deep.use(i, _kept(kept, deep.steps[i][2], at))
+        p[further] = deep.p
         score = score + np.bincount(text, np.log10(p), len(x.sizes))
         columns = [ids, pa.array(x.held), pa.array(x.sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     def answered(asks: DataFrame, turn: int) -> DataFrame:
         rows = asks.where("part >= 0").select("block", "part", "data").groupBy("part")
-        return materialise(rows.applyInArrow(_added, "block long, part int, data binary, words long").withColumn("turn", F.lit(turn)), "answers")
+
+        def added(rows: pa.Table) -> pa.Table:
+            return _added(rows, turn == 2)
+
+        return materialise(rows.applyInArrow(added, "block long, part int, data binary, words long").withColumn("turn", F.lit(turn)), "answers")
 
     def onward(blocks: DataFrame, found: list[DataFrame], then, shape: str) -> DataFrame:
         every = found[0].select("block", "part", "data", "turn")
@@ -434,11 +519,14 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
     found = [answered(blocks.mapInArrow(ask, shape), 0)]
     vocabulary = max((found[0].agg(F.sum("words")).first()[0] or 0) - (texts > 0), 0)  # without the start of texts
     found.append(answered(onward(blocks, found, ask_three, shape), 1))
-    found.append(answered(onward(blocks, found, ask_long, shape), 2))
+    found.append(answered(onward(blocks, found, ask_four, shape), 2))
     deep = bucketed(onward(blocks, found, settle, shape), "block", blocks._buckets, "deep")
     discard(*found)
     every = blocks.unionByName(deep.where("part = -2"))  # alike in buckets: neither side moves
-    return onward(every, [answered(deep, 3)], finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
+    found = [answered(deep, 3)]
+    if depth > 3:
+        found.append(answered(onward(every, found, ask_last, shape), 4))
+    return onward(every, found, finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), total
 
 
 def score_documents(docs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:

@@ -136,3 +136,21 @@ def test_odd_input(spark, odd_docs, no_docs):
     held = spark.createDataFrame([(alone, "some words")], "doc_id bigint, text string")
     row = score_documents(held).first()
     assert (row["train_tokens"], row["n_known"], row["score"]) == (0, 0, pytest.approx(row["base_score"]))
+
+
+def test_only_contexts_that_may_be_retained_are_tested(documents, texts, monkeypatch):
+    """Few of the contexts that could be asked for are; n-grams of over four words only where those of four occur twice and go on."""
+    from tessella.llm import suffix_tree
+
+    rows, write = [], suffix_tree.materialise
+    monkeypatch.setattr(suffix_tree, "materialise", lambda df, tag: _noted(write(df, tag), rows))
+    suffix_tree.score_documents(documents).count()
+    counted, tested = ([sum(len(suffix_tree._unpacked(r["data"])[j]) for r in rows if r["turn"] == t) for t in range(5)] for j in range(2))
+    model = Brute([t for d, t in texts.items() if zlib.crc32(str(d).encode()) % 7 != 2])
+    asked = {n: sum(len(s) == n and model.n[s] >= LEAST and model.n[s] < model.n[s[1:]] and all(len(model.next[s[i:]]) > 1 for i in range(1, n)) for s in model.next if s) for n in (2, 3)}
+    assert tested[2] < asked[2] / 2 and tested[3] < asked[3] / 2 and counted[3] < counted[2] / 2
+
+
+def _noted(df, rows):
+    rows += df.collect()
+    return df
