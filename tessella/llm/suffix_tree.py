@@ -21,17 +21,19 @@ All counts cover all training texts and nothing is sampled.  Texts are split int
 once, into blocks of ``BLOCK_BYTES``, which send every distinct n-gram once, with its count,
 to the task that its hash names, and get the total back, as sorted and compressed
 lists; contexts whose counts alone prove that they can't be retained are not tested, and
-not followed where that holds for all longer ones.  So there is one entry per block and n-gram, however frequent, and no list of what
-follows a word exists anywhere.  Five exchanges follow each other: counts of 1 and 2 words;
+not followed where that holds for all longer ones.  Two words that occur once, in no text
+held out, or never, tell the counts of all longer n-grams that end with them, so these are
+not asked for.  So there is one entry per block and n-gram, however frequent, and no list of what
+follows a word exists anywhere.  Six exchanges follow each other: counts of 1 and 2 words, in two halves;
 tests of contexts of 1 word, and counts of 3 words for the tokens whose contexts go on;
 tests of 2 words, and counts of 4; tests of 3 words, and counts of longer n-grams, again only for
 tokens whose contexts go on, as most n-grams of 4 words occur once; tests of the longer contexts.
 Of blocks' work only the tokens that wait for tests of over 2 words are written, and all
-answers; a block works out again what it asked before.  A test
+answers, dealt like the blocks once the questions' files are gone, so that they move once; a block works out again what it asked before.  A test
 sums over the tokens of all blocks, as k(s) is the sum of 1 / c(s w) over tokens.  Tasks
 hold about ``ENTRIES`` entries, whatever the input, and the blocks themselves never move.
 
-Hashes have ``BITS`` bits of each n-gram; colliding ones would share a count.
+Hashes have ``BITS`` bits of each word and n-gram; colliding ones would share a count.
 
 Results for odd input: a null or empty text is the end token alone.  If nothing is
 left to train on, all counts are 0 and score equals base_score.  Texts of any length are
@@ -67,13 +69,15 @@ CHUNK = 2 << 20
 #: N-grams that a task adds up.
 ENTRIES = 2 << 20
 BITS = 52
+#: Entries from which an array's bytes are compressed one by one.
+LONG = 4096
 #: Stand for the end and the start of a text among word hashes.
 END, START = np.uint64(1), np.uint64(2)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Blocks of tokens, written: ids, held-out flags and numbers of tokens of the texts, the place of each token in words (packed), distinct words' hashes in order."""
+    """Blocks of tokens, written: ids, held-out flags and numbers of tokens of the texts, the place of each token in words (packed), distinct words' hashes, those of frequent words first, as small places pack well."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,15 +91,18 @@ def tokenised(docs: DataFrame) -> DataFrame:
                     starts, ends, first = words(data[lo:hi], offsets[start + a : start + b + 1] - lo)
                     n = np.diff(first)
                     h = np.full(len(starts) + len(n), END, np.uint64)  # an end after each text
-                    h[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = word_hashes(data[lo:hi], starts, ends, lower=True)
+                    h[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = word_hashes(data[lo:hi], starts, ends, lower=True) >> np.uint64(64 - BITS)
                     for column, x in zip((known, places), np.unique(h, return_inverse=True)):
                         column.append(x)
                     sizes.append(n + 1)
                 u = distinct(np.concatenate(known))[0]
                 at = np.concatenate([np.searchsorted(u, k).astype(np.uint32)[i] for k, i in zip(known, places)])
+                order = np.argsort(-np.bincount(at, minlength=len(u)), kind="stable")  # equally frequent ones by hash
+                place = np.empty(len(u), np.uint32)
+                place[order] = np.arange(len(u), dtype=np.uint32)
                 part = batch.slice(start, end - start)
                 held = part["held"].to_numpy(zero_copy_only=False).astype(bool)
-                yield _row(block, -1, part["doc_id"], _packed(held, np.concatenate(sizes), at, u))
+                yield _row(block, -1, part["doc_id"], _packed(held, np.concatenate(sizes), place[at], u[order]))
                 block += 1
 
     rows = docs.select("doc_id", F.coalesce("held", F.lit(False)).alias("held"), "text")
@@ -114,26 +121,26 @@ def _row(block: int, part: int, ids: pa.Array, data: bytes) -> pa.RecordBatch:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; integers byte by byte, sorted ones of 64 bits without sign as differences."""
+    """Arrays as compressed bytes, byte by byte, those of 64 bits without sign as differences, which are small where they are sorted; of long arrays each byte is compressed by itself, as its own frequencies tell more."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
 
-    def one(x: np.ndarray):
-        if x.dtype.kind in "iu":
-            y = np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else x
-            return x.dtype.str, y.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-        return x
+    def one(x: np.ndarray) -> tuple[str, bytes | list[bytes]]:
+        y = np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else x
+        planes = np.ascontiguousarray(y.view(np.uint8).reshape(-1, x.itemsize).T)
+        return x.dtype.str, [squeeze(plane) for plane in planes] if len(x) >= LONG else planes.tobytes()
 
-    return zstandard.compress(pickle.dumps([one(np.ascontiguousarray(x)) for x in arrays], protocol=5), 1)
+    return squeeze(pickle.dumps([one(np.ascontiguousarray(x)) for x in arrays], protocol=5))
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
-    def back(x) -> np.ndarray:
-        if isinstance(x, np.ndarray):
-            return x
-        kind = np.dtype(x[0])
-        y = np.frombuffer(x[1], np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel()
-        return np.cumsum(y, dtype=np.uint64) if kind == np.uint64 else y
+    spread = zstandard.ZstdDecompressor().decompress
 
-    return [back(x) for x in pickle.loads(zstandard.decompress(data))]
+    def back(kind: str, planes: bytes | list[bytes]) -> np.ndarray:
+        found = np.frombuffer(planes if isinstance(planes, bytes) else b"".join(map(spread, planes)), np.uint8)
+        y = found.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+        return np.cumsum(y, dtype=np.uint64) if y.dtype == np.uint64 else y
+
+    return [back(*x) for x in pickle.loads(spread(data))]
 
 
 def _key(h: np.ndarray, single: bool = False) -> np.ndarray:
@@ -236,6 +243,11 @@ def _answers(found: pa.Table, turn: int, counted: int, tested: int) -> tuple[np.
     return totals, kept
 
 
+def _alone(totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals, and which n-grams occur once and are asked for by this block alone, of answers that tell these apart."""
+    return totals - (totals > 1), totals == 1
+
+
 def _smoothed(c: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (c + WEIGHT * p) / (n + WEIGHT)
 
@@ -337,56 +349,76 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         out[out] = _may_deepen(n[out], total) | _may_diverge(n[out], np.zeros(1), levels.n[out], total)
         return out
 
-    def ends(x: Tokens, own: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """The tokens ``own`` and those right before some of them: where their n-grams and contexts end."""
+    def looked_up(x: Tokens, found: dict, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By position, counts of the n-grams asked for (of one order), their places, and where these stand once in all texts, held-out ones included."""
+        totals, alone = _alone(totals)
+        c, at = np.zeros(len(x.words), np.int64), np.full(len(x.words), -1, np.int32)
+        for p, _, place in found.values():
+            c[p], at[p] = totals[place], place
+            alone[place[~x.train[p]]] = False
+        return c, at, np.append(alone, False)[at]
+
+    def known(x: Tokens, p: np.ndarray, c: np.ndarray, once: np.ndarray) -> np.ndarray:
+        """At which tokens ``p`` longer n-grams are as often as those counted: once, in no text held out, or never."""
+        return np.where(x.train[p], once[p], c[p] == 0)
+
+    def ends(x: Tokens, own: np.ndarray, sure: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The tokens ``own`` but where counts are ``sure``, and those right before some of them: where their n-grams and contexts end."""
         there = np.zeros(len(x.words), bool)
-        there[own] = True
+        there[own[~sure]] = True
         there[own[before] - 1] = True
         return np.flatnonzero(there)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.zeros(0, np.uint64), np.zeros(0))
-        for batch in batches:
-            for block, ids, x in opened(batch):
-                found, u, single = asked_keys(x, range(2, 3))
-                ones = np.bincount(x.place[x.train], minlength=len(x.single))
-                n = counted(x, found, u) + np.bincount(single, ones, len(u)).astype(np.int64)
-                yield from _asks(block, parts, ids, (u, n), none)
-
-    def to_two(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Counts of one and two words by position, what is known of each token's context of one word, its key and the token's, and which 3-grams to count."""
+    def ask(half: int):
+        """Counts of one and two words: half of all keys at a time, as these questions are the most."""
+        low, middle, high = ((1 << BITS) * (i * parts // 2) // parts for i in range(3))
+        low, high = (np.uint64(x) for x in ((low, middle), (middle, high))[half])
+
+        def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            none = (np.zeros(0, np.uint64), np.zeros(0))
+            for batch in batches:
+                for block, ids, x in opened(batch):
+                    (p, keys), one = x.keys(range(2, 3))[2], _key(x.single, True)
+                    ones = np.bincount(x.place[x.train], minlength=len(one))
+                    here, there = ((k >= low) & (k < high) for k in (one, keys))
+                    u, at = _ranks(np.concatenate([one[here], keys[there]]))
+                    n = np.bincount(at, np.concatenate([ones[here], x.train[p[there]]]), len(u)).astype(np.int64)
+                    yield from _asks(block, parts, ids, (u, n), none)
+
+        return asks
+
+    def to_two(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, list[np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """Counts of one and two words by position, what is known of each token's context of one word, its key and the token's, tokens that go on whose 3-grams are sure, and which 3-grams to count."""
         two, u, single = asked_keys(x, range(2, 3))
         totals, _ = _answers(found, 0, len(u), 0)
-        p, one = np.flatnonzero(x.age > 0), totals[single][x.place]
-        at = np.zeros(len(x.words), np.int32)
-        at[p] = two[2][2]
-        c2 = np.zeros(len(x.words), np.int64)
-        c2[p] = totals[two[2][2]]
+        p, one = np.flatnonzero(x.age > 0), _alone(totals)[0][single][x.place]
+        c2, at, once = looked_up(x, two, totals)
         levels = Levels(p, (one[p].astype(float) + 1) / (total + vocabulary + 1), total)
         levels.step(one[p - 1], c2[p])
         own = p[on(x, p, levels, c2, 2)]
-        return [one, c2], p, levels, [u, single[x.place[p - 1]], at[p - 1]], ends(x, own, (x.age[own] >= 3) & (c2[own - 2] >= LEAST) & _may_deepen(c2[own - 1], total))
+        sure = known(x, own, c2, once)
+        return [one, c2], p, levels, [u, single[x.place[p - 1]], at[p - 1]], own[sure], ends(x, own, sure, (x.age[own] >= 3) & (c2[own - 2] >= LEAST) & _may_deepen(c2[own - 1], total))
 
-    def to_three(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, tuple[np.ndarray, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-        """The same up to three words; contexts of two words to test; which of one word are retained; and of tokens that go on the contexts of three words, and which 4-grams to count."""
-        counts, p, levels, (u, first, second), there = to_two(x, found)
+    def to_three(x: Tokens, found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, Levels, tuple[np.ndarray, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """The same up to three words; contexts of two words to test; which of one word are retained; and of tokens that go on the contexts of three words, at which the 4-grams are sure, and which to count."""
+        counts, p, levels, (u, first, second), sure, there = to_two(x, found)
         three, u3, _ = asked_keys(x, range(3, 4), there)
         asked = levels.steps[0][2]
         tested, at = _marked(u, first[asked])
         totals, kept = _answers(found, 1, len(u3), len(tested))
-        c3, at3 = np.zeros(len(x.words), np.int64), np.zeros(len(x.words), np.int32)
-        for q, _, place in three.values():
-            c3[q], at3[q] = totals[place], place
+        c3, at3, _ = looked_up(x, three, totals)
+        c3[sure] = x.train[sure]
         again = levels.step(np.where(x.age[p] >= 2, counts[1][p - 1], 0), c3[p], total)
         goes_on = on(x, p, levels, c3, 3)
         own = p[goes_on]
-        there = ends(x, own, (x.age[own] >= 4) & _may_deepen(c3[own - 1], total) & (counts[1][own - 3] >= LEAST) & (c3[own - 2] != 1))  # no context of four words that occurs once
-        return [*counts, c3], p, levels, _marked(u, second[again]), _kept(kept, asked, at), (u3, at3[own - 1]), goes_on, there
+        sure = np.isin(own, sure)
+        there = ends(x, own, sure, (x.age[own] >= 4) & _may_deepen(c3[own - 1], total) & (counts[1][own - 3] >= LEAST) & (c3[own - 2] != 1))  # no context of four words that occurs once
+        return [*counts, c3], p, levels, _marked(u, second[again]), _kept(kept, asked, at), (u3, at3[own - 1]), goes_on, sure, there
 
     def ask_three(block: pa.Table, found: pa.Table) -> pa.Table:
         """Tests contexts of one word, counts three words."""
         (number, ids, x), = opened(block)
-        _, p, levels, (u, first, _), there = to_two(x, found)
+        _, p, levels, (u, first, _), _, there = to_two(x, found)
         tested, at = _marked(u, first[levels.steps[0][2]])
         three, u, _ = asked_keys(x, range(3, 4), there)
         return table_of(_asks(number, parts, ids, (u, counted(x, three, u)), (tested, np.bincount(at, levels.over(0, x.train[p], total), len(tested)))))
@@ -394,7 +426,7 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
     def ask_four(block: pa.Table, found: pa.Table) -> pa.Table:
         """Tests contexts of two words, counts four words."""
         (number, ids, x), = opened(block)
-        _, p, levels, (tested, at), _, _, _, there = to_three(x, found)
+        _, p, levels, (tested, at), _, _, _, _, there = to_three(x, found)
         four, u, _ = asked_keys(x, range(4, 5), there)
         return table_of(_asks(number, parts, ids, (u, counted(x, four, u)), (tested, np.bincount(at, levels.over(1, x.train[p], total), len(tested)))))
 
@@ -424,18 +456,15 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
     def settle(block: pa.Table, found: pa.Table) -> pa.Table:
         """Sums the tokens without longer contexts, tests those of three words of the others and counts n-grams of over four."""
         (number, ids, x), = opened(block)
-        counts, p, levels, (tested, at), first, (u3, at3), goes_on, there = to_three(x, found)
+        counts, p, levels, (tested, at), first, (u3, at3), goes_on, sure, there = to_three(x, found)
         four, u, _ = asked_keys(x, range(4, 5), there)
         totals, kept = _answers(found, 2, len(u), len(tested))
         levels.use(0, first)
         levels.use(1, _kept(kept, levels.steps[1][2], at))
-        own, alone = p[goes_on], totals == 1
-        totals = totals - (totals > 1)
-        c4, at4 = np.zeros(len(x.words), np.int64), np.zeros(len(x.words), np.int32)
-        for q, _, place in four.values():
-            c4[q], at4[q] = totals[place], place
-            alone[place[~x.train[q]]] = False
-        sure = np.where(x.train[own], alone[at4[own]], c4[own] == 0)  # the n-grams that end there are as often as those of four words: once, in no text held out, or never
+        own = p[goes_on]
+        c4, _, once = looked_up(x, four, totals)
+        c4[own[sure]], once[own[sure]] = x.train[own[sure]], x.train[own[sure]]
+        sure = known(x, own, c4, once)
         deep = Levels(own, levels.p[goes_on], 0)
         deep.chain, deep.n = levels.chain[goes_on], levels.n[goes_on]
         n, c = counts[2][own - 1], c4[own]
@@ -504,20 +533,23 @@ def score_blocks(blocks: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame,
         rows = asks.where("part >= 0").select("block", "part", "data").groupBy("part")
 
         def added(rows: pa.Table) -> pa.Table:
-            return _added(rows, turn == 2)
+            return _added(rows, turn < 3)
 
-        return materialise(rows.applyInArrow(added, "block long, part int, data binary, words long").withColumn("turn", F.lit(turn)), "answers")
+        by_part = materialise(rows.applyInArrow(added, "block long, part int, data binary, words long").withColumn("turn", F.lit(turn)), "answers")
+        by_block = bucketed(by_part.repartition(blocks._buckets, "block"), "block", blocks._buckets, "answers")  # when the questions are gone; no later turn moves them
+        discard(by_part)
+        return by_block
 
     def onward(blocks: DataFrame, found: list[DataFrame], then, shape: str) -> DataFrame:
-        every = found[0].select("block", "part", "data", "turn")
-        for more in found[1:]:
-            every = every.unionByName(more.select("block", "part", "data", "turn"))
+        every, *others = (x.select("block", "part", "data", "turn").where("part >= 0") for x in found)  # all; a union of scans without a filter would not keep their buckets
+        for more in others:
+            every = every.unionByName(more)
         return blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(then, shape)
 
     shape = _shape(kind)
     ids_kind = to_arrow_type(blocks.schema["doc_ids"].dataType.elementType)
-    found = [answered(blocks.mapInArrow(ask, shape), 0)]
-    vocabulary = max((found[0].agg(F.sum("words")).first()[0] or 0) - (texts > 0), 0)  # without the start of texts
+    found = [answered(blocks.mapInArrow(ask(half), shape), 0) for half in range(2)]
+    vocabulary = max(sum(x.agg(F.sum("words")).first()[0] or 0 for x in found) - (texts > 0), 0)  # without the start of texts
     found.append(answered(onward(blocks, found, ask_three, shape), 1))
     found.append(answered(onward(blocks, found, ask_four, shape), 2))
     deep = bucketed(onward(blocks, found, settle, shape), "block", blocks._buckets, "deep")

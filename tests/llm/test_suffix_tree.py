@@ -154,3 +154,42 @@ def test_only_contexts_that_may_be_retained_are_tested(documents, texts, monkeyp
 def _noted(df, rows):
     rows += df.collect()
     return df
+
+
+def test_counts_that_two_words_tell_are_not_asked_for(spark, monkeypatch):
+    """Two words that occur once, in no text held out, or never, tell the counts of longer n-grams; those that a text held out has too don't."""
+    from tessella.llm import suffix_tree
+
+    rows, write = [], suffix_tree.materialise
+    monkeypatch.setattr(suffix_tree, "materialise", lambda df, tag: _noted(write(df, tag), rows))
+    held = {d for d in range(300) if zlib.crc32(str(d).encode()) % 7 == 2}
+    learned = min({*range(300)} - held)
+    docs = [(d, f"{'a' if d % 2 else 'c'} a b x{learned if d == min(held) else d}") for d in range(300)]
+    brute_check(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), docs)
+    asked = [sum(len(suffix_tree._unpacked(r["data"])[0]) for r in rows if r["turn"] == t) for t in range(3)]
+    assert 0 < asked[1] < 20 and asked[2] < 20  # of 300 that end with an x
+
+
+def test_answers_do_not_move_again(documents, monkeypatch):
+    """Blocks and the answers to them lie in the same buckets, so what settles them needs no exchange."""
+    from tessella.llm import suffix_tree
+
+    plans, write = {}, suffix_tree.bucketed
+    monkeypatch.setattr(suffix_tree, "bucketed", lambda df, key, buckets, tag: plans.setdefault(tag, df._jdf.queryExecution().executedPlan().toString()) and write(df, key, buckets, tag))
+    suffix_tree.score_documents(documents).count()
+    assert "FlatMapCoGroupsInArrow" in plans["deep"] and "Exchange" not in plans["deep"]
+
+
+def test_packed_arrays_come_back_and_take_few_bytes(documents):
+    from tessella.llm import suffix_tree
+
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 46, 12000, dtype=np.uint64))  # a part's share of the keys of a block
+    arrays = [keys, np.minimum(rng.zipf(3, len(keys)), 1000).astype(np.uint32), rng.normal(size=len(keys)), np.arange(3), np.zeros(0, np.uint64), np.array([True, False])]
+    for x, y in zip(arrays, suffix_tree._unpacked(suffix_tree._packed(*arrays)), strict=True):
+        assert x.dtype == y.dtype and np.array_equal(x, y)
+    bits = np.log2(np.e * (1 << 46) / len(keys))  # what differences of sorted random numbers tell
+    assert len(suffix_tree._packed(keys)) < 1.03 * len(keys) * bits / 8
+    _, _, at, u = suffix_tree._unpacked(suffix_tree.tokenised(documents.selectExpr("doc_id", "false AS held", "text")).first()["data"])
+    times = np.bincount(at, minlength=len(u))
+    assert (times[1:] <= times[:-1]).all()  # frequent words have small places
