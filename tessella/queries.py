@@ -105,7 +105,8 @@ def reduce_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NaN in a segment wins in every reduction."""
     value = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
     s = lines(spark, sf_dir, value=value)
-    out = s.reduce("max", name="a").join(s.reduce("min", name="b"), "sid").join(s.reduce("sum", name="c"), "sid")
+    # left joins, as a null sid equals none: its segment is empty, so nothing in it is NaN
+    out = s.reduce("max", name="a").join(s.reduce("min", name="b"), "sid", "left").join(s.reduce("sum", name="c"), "sid", "left")
     return out.select("sid", F.isnan("a").alias("max_is_nan"), F.isnan("b").alias("min_is_nan"), F.isnan("c").alias("sum_is_nan"), F.when(F.isnan("a"), F.lit(0.0)).otherwise(F.col("a")).alias("finite_max"))
 
 

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella import queries
 
@@ -39,3 +40,17 @@ def test_works_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, check=True, timeout=60)
+
+
+def test_reduce_nan_keeps_the_order_without_a_key(spark, sf_dir, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    key = "CASE WHEN o_orderkey = 7 THEN NULL ELSE o_orderkey END AS o_orderkey"
+    for table, columns in (("orders", f"* REPLACE ({key})"), ("lineitem", "*")):
+        con.execute(f"COPY (SELECT {columns} FROM '{sf_dir}/{table}.parquet') TO '{tmp_path}/{table}.parquet'")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    got = queries.reduce_nan(spark, str(tmp_path)).withColumn("sid", F.col("sid").cast("string")).toPandas()
+    want = con.execute(f"SELECT * REPLACE (CAST(sid AS VARCHAR) AS sid) FROM ({queries.SQL['reduce_nan']})").df()
+    assert rows(got.fillna("none")) == rows(want.fillna("none"))
+    assert got["sid"].isna().sum() == 1
